@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canon, split
+from foliant.llm import canon, split, truncated
 from foliant.llm.common import read
 
 
@@ -30,11 +30,19 @@ def p4_pieces(spark: SparkSession, data: str) -> DataFrame:
     return split.split(read(spark, data, "archive_document"), read(spark, data, "size_limit"))
 
 
+def p10_found(spark: SparkSession, data: str) -> DataFrame:
+    return truncated.truncated(read(spark, data, "documents")).filter("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, data: str) -> DataFrame:
+    return truncated.rates(read(spark, data, "documents"))
+
+
 P4_SQL = """
 WITH l AS (SELECT lower(trim(split_part(original_type, ';', 1))) AS k, min(max_chars) AS m FROM size_limit GROUP BY 1)
 SELECT DISTINCT d.id FROM archive_document d LEFT JOIN l ON l.k = lower(trim(split_part(d.original_type, ';', 1)))
 WHERE length(d.text_content) > coalesce(l.m, (SELECT m FROM l WHERE k = '*'))
 """
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_pieces": p4_pieces}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_pieces": p4_pieces, "p10_found": p10_found, "p10_rates": p10_rates}
 SQL = {"p4_found": P4_SQL}
