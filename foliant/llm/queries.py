@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canon, split, truncated
+from foliant.llm import canon, leak, split, truncated
 from foliant.llm.common import read
 
 
@@ -38,11 +38,21 @@ def p10_rates(spark: SparkSession, data: str) -> DataFrame:
     return truncated.rates(read(spark, data, "documents"))
 
 
+def p8_found(spark: SparkSession, data: str) -> DataFrame:
+    return leak.leaks(read(spark, data, "documents"), read(spark, data, "benchmark")).select("item_id", "doc_id")
+
+
+def p8_items(spark: SparkSession, data: str) -> DataFrame:
+    """The leaked items, with the documents that hold a passage of them and the longest passage in words."""
+    out = leak.leaks(read(spark, data, "documents"), read(spark, data, "benchmark"))
+    return out.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"))
+
+
 P4_SQL = """
 WITH l AS (SELECT lower(trim(split_part(original_type, ';', 1))) AS k, min(max_chars) AS m FROM size_limit GROUP BY 1)
 SELECT DISTINCT d.id FROM archive_document d LEFT JOIN l ON l.k = lower(trim(split_part(d.original_type, ';', 1)))
 WHERE length(d.text_content) > coalesce(l.m, (SELECT m FROM l WHERE k = '*'))
 """
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_pieces": p4_pieces, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_pieces": p4_pieces, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_rates": p10_rates}
 SQL = {"p4_found": P4_SQL}
