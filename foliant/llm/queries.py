@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canon, leak, split, truncated
+from foliant.llm import canon, langid, leak, split, truncated
 from foliant.llm.common import read
 
 
+def p1_found(spark: SparkSession, data: str) -> DataFrame:
+    return langid.mislabelled(read(spark, data, "archive_document"))
+
+
+def p1_languages(spark: SparkSession, data: str) -> DataFrame:
+    """Every document and every paragraph of a mixed document, with its language and confidence."""
+    return langid.languages(read(spark, data, "archive_document"))
+
+
 def p2_found(spark: SparkSession, data: str) -> DataFrame:
     out = canon.map_values(read(spark, data, "tag"), read(spark, data, "tag_vocabulary"))
     return out.select(F.col("id").alias("tag_id"), "entry_id")
@@ -54,5 +63,5 @@ SELECT DISTINCT d.id FROM archive_document d LEFT JOIN l ON l.k = lower(trim(spl
 WHERE length(d.text_content) > coalesce(l.m, (SELECT m FROM l WHERE k = '*'))
 """
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_pieces": p4_pieces, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_pieces": p4_pieces, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_rates": p10_rates}
 SQL = {"p4_found": P4_SQL}
