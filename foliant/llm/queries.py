@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canon, langid, leak, split, truncated
+from foliant.llm import canon, langid, leak, names, split, truncated
 from foliant.llm.common import read
 
 
@@ -30,6 +30,15 @@ def p2_unmatched(spark: SparkSession, data: str) -> DataFrame:
     return tags.select("id", "name").dropDuplicates(["id"]).join(out, "id", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("tags"))
 
 
+def p3_found(spark: SparkSession, data: str) -> DataFrame:
+    return names.same_pairs(read(spark, data, "people"))
+
+
+def p3_entities(spark: SparkSession, data: str) -> DataFrame:
+    """Every row of people with its entity."""
+    return names.entities(read(spark, data, "people"))
+
+
 def p4_found(spark: SparkSession, data: str) -> DataFrame:
     out = split.split(read(spark, data, "archive_document"), read(spark, data, "size_limit"), with_text=False)
     return out.filter("piece = 2").select("id").distinct()
@@ -63,5 +72,5 @@ SELECT DISTINCT d.id FROM archive_document d LEFT JOIN l ON l.k = lower(trim(spl
 WHERE length(d.text_content) > coalesce(l.m, (SELECT m FROM l WHERE k = '*'))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p4_found": p4_found, "p4_pieces": p4_pieces, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_pieces": p4_pieces, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_rates": p10_rates}
 SQL = {"p4_found": P4_SQL}
