@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canon, langid, leak, names, ocr, split, truncated
+from foliant.llm import canon, langid, leak, names, ocr, split, subjects, truncated
 from foliant.llm.common import read
 
 
@@ -64,6 +64,14 @@ def p5_repaired(spark: SparkSession, data: str) -> DataFrame:
     return ocr.repaired(read(spark, data, "archive_document"))
 
 
+def p6_found(spark: SparkSession, data: str) -> DataFrame:
+    return subjects.areas(read(spark, data, "archive_document"), read(spark, data, "subject_label")).select("id", "subject_id")
+
+
+def p6_shares(spark: SparkSession, data: str) -> DataFrame:
+    return subjects.composition(read(spark, data, "archive_document"), read(spark, data, "subject_label"))
+
+
 def p8_found(spark: SparkSession, data: str) -> DataFrame:
     return leak.leaks(read(spark, data, "documents"), read(spark, data, "benchmark")).select("item_id", "doc_id")
 
@@ -80,5 +88,5 @@ SELECT DISTINCT d.id FROM archive_document d LEFT JOIN l ON l.k = lower(trim(spl
 WHERE length(d.text_content) > coalesce(l.m, (SELECT m FROM l WHERE k = '*'))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_repaired": p5_repaired, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_shares": p6_shares, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_rates": p10_rates}
 SQL = {"p4_found": P4_SQL}
