@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import canon, langid, leak, names, ocr, split, subjects, truncated
+from foliant.llm import canon, langid, leak, mix, names, ocr, split, subjects, truncated
 from foliant.llm.common import read
 
 
@@ -48,6 +48,14 @@ def p4_pieces(spark: SparkSession, data: str) -> DataFrame:
     return split.split(read(spark, data, "archive_document"), read(spark, data, "size_limit"))
 
 
+def p9_mixture(spark: SparkSession, data: str) -> DataFrame:
+    return mix.mixture(read(spark, data, "documents"), read(spark, data, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, data: str) -> DataFrame:
+    return mix.shares(p9_mixture(spark, data), read(spark, data, "mix_target"))
+
+
 def p10_found(spark: SparkSession, data: str) -> DataFrame:
     return truncated.truncated(read(spark, data, "documents")).filter("cut").select("doc_id")
 
@@ -88,5 +96,5 @@ SELECT DISTINCT d.id FROM archive_document d LEFT JOIN l ON l.k = lower(trim(spl
 WHERE length(d.text_content) > coalesce(l.m, (SELECT m FROM l WHERE k = '*'))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_shares": p6_shares, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_languages": p1_languages, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_shares": p6_shares, "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 SQL = {"p4_found": P4_SQL}
