@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import orphan_queries
+from foliant.plans import archive_queries, orphan_queries, text_queries
 
-_PARTS = [orphan_queries]
+_PARTS = [archive_queries, text_queries, orphan_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, data: str) -> DataFrame:
-    return orphan_queries.p7_found(spark, data)
+    return archive_queries.flagship(spark, data)
