@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.sources.tables import table
 
@@ -28,3 +29,12 @@ def in_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema:
                 yield f(b)
 
     return df.mapInPandas(run, schema)
+
+
+def bounded(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows of df, those with the least hashes of the key. A first cut at a share of all hashes, from the row count, leaves little
+    more than n rows to order, so no task sees more than a bounded number of texts."""
+    total = df.select(key).count()
+    if total > 2 * n:
+        df = df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(31)), F.lit(1_000_000)) < int(1_000_000 * 1.5 * n / total) + 1)
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(31)), key).limit(n)

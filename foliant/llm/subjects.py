@@ -26,7 +26,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import in_batches
+from foliant.llm.common import bounded, in_batches
 from foliant.session import stored
 
 FIT_LABELLED, FIT_MORE, FIT_CHARS, ROUNDS = 8000, 3000, 20_000, 2
@@ -167,7 +167,7 @@ def fit(df: DataFrame, labels: DataFrame):
     sc = df.sparkSession.sparkContext
     labels = labels.filter("key is not null and subject is not null").distinct().groupBy("key").agg(F.collect_set("subject").alias("subjects"))
     short = df.filter((F.length("text") > 0) & (F.length("text") <= FIT_CHARS))
-    sample = stored(short.join(labels, "key").orderBy(F.xxhash64("key"), "key").limit(FIT_LABELLED), "labelled")
+    sample = stored(short.join(bounded(labels, "key", FIT_LABELLED), "key"), "labelled")
     pairs = sample.select("type", F.explode("subjects").alias("c")).groupBy("type", "c").count().collect()
     of_type, of_subject, total = Counter(), Counter(), 0
     for r in pairs:
@@ -178,7 +178,7 @@ def fit(df: DataFrame, labels: DataFrame):
     types = {(int(r.type), r.c): max(-1.0, min(1.0, math.log((r["count"] + 1) * total / ((of_type[r.type] + 8) * of_subject[r.c])))) for r in pairs if r.type is not None}
     one = sample.filter(F.size("subjects") == 1).select("text", F.col("subjects")[0].alias("subject"))
     rules = mine(one, types)
-    more = stored(short.join(labels, "key", "left_anti").orderBy(F.xxhash64("key"), "key").limit(FIT_MORE), "more") if rules.single else None
+    more = stored(bounded(df, "key", FIT_MORE).filter((F.length("text") > 0) & (F.length("text") <= FIT_CHARS)).join(labels, "key", "left_anti"), "more") if rules.single else None
     for _ in range(ROUNDS if more is not None else 0):
         held = sc.broadcast(rules)
         best = F.max(F.struct("share", "subject"))
