@@ -4,7 +4,7 @@ Each name is read into a kind (person or organisation), its distinctive words (f
 business; titles, legal forms, branch notes, case, accents and the order of the parts fall away, nicknames stand for the full
 name. Names that read the same are one record from there on.
 
-Blocking: the suffixes of every distinctive word, of at least MIN_SUFFIX letters, index the records, those of the word and, as a
+Blocking: the suffixes of every distinctive word, of MIN_SUFFIX to MAX_SUFFIX letters, index the records, those of the word and, as a
 slip at its end spoils them all, of the reversed word. A suffix that more than MAX_BLOCK records share is refined with other fields
 (kind, first letters of the given name or of the line of business), and what is still larger then with the full given name or line; only a refined block that is still larger than MAX_REFINED is discarded,
 and never that of a whole word. Pairs within a block are compared by the ratio of their longest common subsequence, word by word.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import in_batches
 from foliant.session import stored
 
-MIN_SUFFIX, MAX_BLOCK, MAX_REFINED = 5, 60, 120
+MIN_SUFFIX, MAX_SUFFIX, MAX_BLOCK, MAX_REFINED = 5, 40, 60, 120
 FAMILY_RATIO, GIVEN_RATIO = 0.8, 0.79
 
 # Nicknames and forms of given names, a group a line.
@@ -266,11 +266,13 @@ def readings(people: DataFrame, key: str, name: str, native: str) -> DataFrame:
 def _blocks(recs: DataFrame) -> DataFrame:
     """sig, block: the blocks each record is compared in."""
     w = recs.select("sig", "kind", "initials", "line", "words", F.explode("words").alias("w"))
-    rev = F.reverse("w")
+    # The suffixes of a very long word are those of its last MAX_SUFFIX letters (and, reversed, of its first).
+    rev = F.substring(F.reverse("w"), -MAX_SUFFIX, MAX_SUFFIX)
+    tail = F.substring("w", -MAX_SUFFIX, MAX_SUFFIX)
     ends = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - MIN_SUFFIX + 1, F.lit(1))), lambda i: F.struct(c.substr(i, F.length(c)).alias("s"), (i == 1).alias("whole")))
     marked = lambda c, m: F.transform(ends(c), lambda x: F.struct(F.concat(F.lit(m), x["s"]).alias("s"), x["whole"]))
     long = F.length("w") >= MIN_SUFFIX
-    keys = F.when(long, F.concat(marked(F.col("w"), ">"), marked(rev, "<"))).otherwise(F.array(F.struct(F.concat(F.lit("="), F.col("w")).alias("s"), F.lit(True).alias("whole"))))
+    keys = F.when(long, F.concat(marked(tail, ">"), marked(rev, "<"))).otherwise(F.array(F.struct(F.concat(F.lit("="), F.col("w")).alias("s"), F.lit(True).alias("whole"))))
     other = F.array_join(F.filter("words", lambda x: x != F.col("w")), " ")
     field = F.when(F.col("kind") == "o", F.substring("line", 1, 3)).otherwise(F.coalesce(F.substring(F.when(other != "", other), 1, 1), F.element_at(F.when(F.size("initials") > 0, F.col("initials")), 1), F.lit("")))
     full = F.when(F.col("kind") == "o", F.col("line")).otherwise(F.concat_ws(" ", other, F.array_join("initials", " ")))
