@@ -1,0 +1,186 @@
+"""The core's functions on small cases."""
+
+from datetime import datetime
+from io import BytesIO
+from zipfile import ZipFile
+
+import pytest
+from pyspark.sql import functions as F
+
+from foliant.functions import fts
+from foliant.functions import text as T
+from foliant.operators import backup, enrich, ingest, search, state, textrank
+from foliant.operators.orphans import Reference, orphan_report, orphans
+from foliant.sources import files, logs
+
+
+def one(spark, expr, *values):
+    df = spark.createDataFrame([values], [f"c{i}" for i in range(len(values))])
+    return df.select(expr.alias("v")).first().v
+
+
+@pytest.mark.parametrize("text, n, want", [("   ", 10, "Unknown"), ("Hello World This Is A Test", 12, "Hello World"), ("日本語のテキスト", 5, "日本語のテ"), ("short", 10, "short")])
+def test_truncate(spark, text, n, want):
+    assert one(spark, T.truncate(F.col("c0"), n), text) == want
+
+
+@pytest.mark.parametrize("text, want", [("", 0), ("hello", 2), ("日本語のテキスト文字列", 17), ("hello world 你好", 6)])
+def test_estimate_tokens(spark, text, want):
+    assert one(spark, T.estimate_tokens(F.col("c0")), text) == want
+
+
+@pytest.mark.parametrize("text, want", [("José García", "jose garcia"), ("O'Brien", "obrien"), ("αβγ", ""), ("author123", "author"), ("a—b", "a b"), ("  A   B ", "a b")])
+def test_normalize(spark, text, want):
+    assert T.normalize_name(text) == want
+    assert one(spark, T.normalize_for_db("c0"), text) == want
+
+
+def test_text_functions(spark):
+    assert one(spark, T.head_tail_words(F.col("c0"), 2, 2), "a b c d e") == "a b\n\n[...]\n\nd e"
+    assert one(spark, T.head_tail_words(F.col("c0"), 9, 2), "a b") == "a b"
+    assert one(spark, T.strip_tags(F.col("c0")), "a <b>c</b> < d") == "a c < d"
+    assert one(spark, T.sanitize_snippet(F.col("c0")), "<b>x</b><i>") == "<b>x</b>&lt;i&gt;"
+    assert one(spark, T.normalize_tags(F.col("c0")), ["A-b", "a b", "É!", "9"]) == ["a b", "e"]
+    assert one(spark, T.truncate_bytes(4)(F.col("c0")), "éé€") == "éé"
+    assert one(spark, T.split_sentences(F.col("c0")), "One. Two! Three") == ["One.", "Two!", "Three"]
+
+
+def test_filter_tags(spark):
+    def f(tags, people=(), known=(), title="", types=()):
+        df = spark.createDataFrame([(list(tags), list(people), list(known), title, list(types))], "t array<string>, p array<string>, k array<string>, h string, y array<string>")
+        return df.select(enrich.filter_tags(*[F.col(c) for c in "tpkhy"]).alias("v")).first().v
+
+    assert f(["a b c d", "", "john smith", "tax"], people=["john doe"]) == ["tax"]
+    assert f(["john doe"], known=["john doe smith"]) == [] and f(["young"], known=["andrew young"]) == ["young"]
+    assert f(["annual report", "tax"], types=["report"]) == ["tax"] and f(["big tax", "tax"], title="tax letter") == ["big tax"]
+    assert f(list("abcdefg")) == list("abcde")
+
+
+def test_query_language():
+    f = search.parse_query('tag:"computer science" author:Ann lang:deu size:>2kb created:2020..2021-05 missing:tags foo:bar free text', {"author"})
+    assert f.tags == ("computer science",) and f.people == (("Ann", "author"),) and f.size == (2048, None) and f.created == ("2020", "2021-05") and f.untagged and f.query == "foo:bar free text"
+    assert search.parse_query("size:5").size == (5, 5) and search.parse_query("created:2020").created == ("2020", None)
+    assert search.parse_query(search.format_query(f), {"author"}) == f
+    assert search.clamp_limit(0) == 50 and search.clamp_limit(1000) == 100 and search.coerce("x", 7) == 7 and search.coerce("99", 7, 1, 10) == 7
+
+
+def test_fts(spark):
+    assert one(spark, fts.matches(F.col("c0"), "Q1 report"), "the report of q1") and not one(spark, fts.matches(F.col("c0"), "Q1 report"), "the reports of q1")
+    assert not one(spark, fts.matches(F.col("c0"), " "), "x")
+    assert fts.headline("a b c budget d", {"budget"}, 64, 2) == "<b>budget</b> d" or "<b>budget</b>" in fts.headline("a b c budget d", {"budget"}, 64, 2)
+
+
+def test_textrank():
+    text = " ".join(f"Sentence {i} speaks of topic{i % 7} and item{i}." for i in range(400))
+    out = textrank.reduce_text(text, 300, 50)
+    assert out.startswith("Sentence 0 ") and 300 <= len(out.replace("[...]", "").split()) < 420
+    assert textrank.reduce_text(text, 0) == text and textrank.reduce_text("a b", 5) == "a b"
+    assert textrank.target_words(10_000, -4) == 2500 and textrank.target_words(100, -4) == 2000
+    assert textrank.chunked("A b. C d.".split(), 2) == [(["A", "b."], 1), (["b.", "C", "d."], 0)]
+
+
+def test_state(spark):
+    now = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    ddl = "id long, task_id string, task_type string, status string, batch_id string, payload string, result string, dedup_key string, created_at timestamp, started_at timestamp, completed_at timestamp, error string, attempts int"
+    t0 = datetime(2024, 1, 1)
+    row = lambda i, kind, st, payload=None, att=0, key=None: (i, f"t{i}", kind, st, "b", payload, None, key, t0, t0, None, None, att)
+    task = spark.createDataFrame([row(1, "consume", "failed", '{"on_completed": "t2"}'), row(2, "enrich", "waiting", '{"waiting_for": "t1"}'), row(3, "consume", "processing", att=3), row(4, "consume", "processing", att=1), row(5, "consume", "pending", key="k")], ddl)
+    status = lambda df: {r.id: r.status for r in df.collect()}
+    assert status(state.discard_waiting(task))[2] == "discarded"
+    assert status(state.restore_discarded(state.retry(state.discard_waiting(task), F.lit(True))))[2] == "waiting"
+    got = {r.id: (r.status, r.attempts, r.error) for r in state.reclaim_stale(task, now).collect()}
+    assert got[3] == ("failed", 3, "Max retries exceeded (3)") and got[4] == ("pending", 2, None)
+    assert state.next_pending(task, "consume").first().id == 5 and state.next_pending(task, gate_closed=True).count() == 0
+    claimed = state.claim(task, 5, now)
+    assert status(claimed)[5] == "processing" and state.affected(task, state.claim(claimed, 5, now)).count() == state.affected(task, claimed).count()
+    new = spark.createDataFrame([row(0, "consume", "pending", key="k"), row(0, "consume", "pending", key="new")], ddl).withColumn("task_id", F.concat("task_id", "dedup_key"))
+    assert {r.dedup_key for r in state.enqueue(task, new).filter("id > 5").collect()} == {"new"}
+    owner = spark.createDataFrame([("b", "x", 1, t0, t0)], "batch_id string, owner_id string, pid long, acquired_at timestamp, last_heartbeat timestamp")
+    assert state.acquire_owner(owner, "b", "me", 2, now).first().owner_id == "me" and state.acquire_owner(state.heartbeat(owner, "x", now), "b", "me", 2, now).first().owner_id == "x"
+    tags = spark.createDataFrame([(1, "a", t0)], "id long, name string, created_at timestamp")
+    out, codes = state.create_named(tags, ["a", "b", "b", " "], now)
+    assert [r.code for r in codes.collect()] == ["Conflict", "Created", "Conflict", "Invalid"] and {(r.id, r.name) for r in out.collect()} == {(1, "a"), (2, "b")}
+    out, codes = state.delete_named(out, [1, 2, 9], spark.createDataFrame([(2,)], "x long"))
+    assert [r.code for r in codes.collect()] == ["Deleted", "Conflict", "NotFound"] and out.count() == 1
+
+
+def test_orphans(spark):
+    t = lambda d: datetime(2024, 1, d)
+    u = "0a1b2c3d-0000-1111-2222-333344445555"
+    parents = spark.createDataFrame([(u, t(2)), (u, t(9)), (None, t(1))], "id string, created_at timestamp")
+    kids = spark.createDataFrame([(1, u.upper(), t(3)), (2, "{" + u + "}", t(1)), (2, "{" + u + "}", t(1)), (3, "urn:uuid:" + u, None), (4, None, t(1)), (5, " ", t(1)), (6, "0", t(1)), (7, u.replace("-", ""), t(3))], "id long, batch_id string, at timestamp").withColumns({"key": F.lit("x"), "child": F.lit("y"), "salt": F.lit("z")})
+    ref = Reference("task", kids, "id", "batch_id", "at", parents, "id", "created_at", "uuid")
+    assert {(r.row_id, r.kind) for r in orphans([ref]).collect()} == {(2, "late"), (6, "missing")}
+    nums = spark.createDataFrame([(1, 5, t(1)), (2, 0, t(1)), (3, -7, t(1)), (4, 99, None), (5, 10, t(1)), (6, None, t(1))], "id long, fk long, at timestamp")
+    up = spark.createDataFrame([(10, None), (4, t(1))], "id long, created_at timestamp")
+    r2 = Reference("x", nums, "id", "fk", "at", up, "id", "created_at")
+    assert {(r.row_id, r.kind) for r in orphans([r2]).collect()} == {(1, "deleted"), (2, "missing"), (3, "missing"), (4, "missing")}
+    assert orphans([Reference("x", nums.limit(0), "id", "fk", "at", up, "id", "created_at")]).count() == 0
+    assert orphans([Reference("x", nums, "id", "fk", "at", up.limit(0), "id", "created_at")]).count() == 5
+    assert {r.month for r in orphan_report([r2]).collect()} == {"2024-01", None}
+
+
+def test_skewed_orphans(spark):
+    kids = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("fk"), F.lit(None).cast("timestamp").alias("at"))
+    up = spark.range(0, 30_000, 2).select("id", F.lit(None).cast("timestamp").alias("created_at"))
+    want = sum(1 for i in range(30_000) if (7 if i % 3 == 0 else i) % 2)
+    assert orphans([Reference("x", kids, "id", "fk", "at", up, "id", "created_at")]).count() == want
+
+
+def _zip(name, xml):
+    b = BytesIO()
+    with ZipFile(b, "w") as z:
+        z.writestr(name, xml)
+    return b.getvalue()
+
+
+def test_office_text():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    assert files.office_text(_zip("word/document.xml", f'<w:document xmlns:w="{w}"><w:p><w:t>One</w:t><w:t> two</w:t></w:p><w:p><w:t>Three</w:t></w:p></w:document>')) == "One two\nThree"
+    t = "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
+    assert files.office_text(_zip("content.xml", f'<d xmlns:t="{t}"><t:h>Head</t:h><t:p>Body</t:p></d>')) == "Head\nBody"
+    assert files.office_text(b"junk") is None
+
+
+def test_inbox_stream(spark, tmp_path):
+    from foliant.streaming import inbox
+
+    src = tmp_path / "in"
+    src.mkdir()
+    docx = _zip("word/document.xml", '<w:document xmlns:w="x"><w:p><w:t>Hello there</w:t></w:p></w:document>')
+    (src / "a.docx").write_bytes(docx)
+    (src / "b.txt").write_text("no supported type")
+    paths = [str(tmp_path / x) for x in ("out", "rej", "cp")]
+    inbox.start(spark, str(src), *paths).awaitTermination(60)
+    (src / "c.docx").write_bytes(docx)
+    inbox.start(spark, str(src), *paths).awaitTermination(60)
+    assert [(r.text, r.words) for r in spark.read.parquet(paths[0]).collect()] == [("Hello there", 2)]
+    assert spark.read.parquet(paths[1]).count() == 1
+
+
+def test_logs(spark):
+    df = spark.createDataFrame([("f", 0, "cont"), ("f", 1, "2024-01-01 a"), ("f", 2, " x"), ("f", 3, "2024-01-02 b")], "file string, pos int, line string")
+    assert {r.text for r in logs.tail(df, 500).collect()} == {"2024-01-01 a\n x", "2024-01-02 b"}
+    assert (logs.clamp(0), logs.clamp(1), logs.clamp(9999)) == (500, 100, 5000)
+
+
+def test_backup(spark, tmp_path):
+    df = spark.createDataFrame([(1, "/old/a/old/b")], "id long, storage_path string")
+    backup.export({"document": df}, str(tmp_path / "b"), datetime(2024, 1, 1))
+    assert backup.restore(spark, str(tmp_path / "b"), "/old", "/new")["document"].first().storage_path == "/new/a/old/b"
+    assert backup.expired(["a", "c", "b"], 2) == ["a"]
+    assert backup.next_time(datetime(2024, 1, 1, 12), 1, "03:00") == datetime(2024, 1, 2, 3) and backup.next_time(datetime(2024, 1, 1, 12), 0.25, "03:00") == datetime(2024, 1, 1, 15)
+    assert backup.minutes("24:00", True) == 1440
+    with pytest.raises(ValueError):
+        backup.minutes("25:00")
+    assert backup.in_windows(datetime(2024, 1, 1, 9), []) and not backup.in_windows(datetime(2024, 1, 1, 9), [("10:00", "24:00")])
+
+
+def test_people(spark):
+    now = F.to_timestamp(F.lit("2024-01-01"))
+    people = spark.createDataFrame([(1, "José García", None, "jose garcia", None)], "id long, name string, name_native string, normalized_name string, created_at timestamp")
+    found = spark.createDataFrame([(9, "Jose Garcia", "Χοσέ", "author"), (9, "Ann Lee", None, None), (8, "Ann  Lee", None, "sender")], "document_id long, name string, native string, role string")
+    out, links = enrich.upsert_people(people, found, now)
+    assert {(r.id, r.name_native) for r in out.collect()} == {(1, "Χοσέ"), (2, None)}
+    assert {(r.document_id, r.people_id, r.role) for r in links.collect()} == {(9, 1, "author"), (9, 2, "unknown"), (8, 2, "sender")}
+    assert ingest.rewrite_prefix is not None and enrich.retry_target(1000, 50, 100) == 450 and enrich.retry_target(100, 10, 100) is None
