@@ -25,8 +25,8 @@ def in_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                yield f(b)
+            if len(b) and len(out := f(b)):
+                yield out
 
     return df.mapInPandas(run, schema)
 
