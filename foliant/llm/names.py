@@ -85,8 +85,8 @@ _NICK = {n: line.split()[0] for line in NICKNAMES.strip().splitlines() for n in
 # Words that say nothing about whose name it is; legal forms; lines of business with their stems.
 TITLES = set("dr prof rev ing phd esq mr mrs ms sir dipl med jun jr sr mag the retired hq head office accounts account dept department branch sons son and und y et co company".split())
 LEGAL = {"ltd", "limited", "inc", "incorporated", "ag", "aktiengesellschaft", "gmbh", "bv", "sa", "plc", "llc", "corp", "corporation", "kg", "nv", "srl", "spa", "oy", "ab"}
-LINES = "insurance pharma pharmaceuticals bakery bakeries maschinenbau electrical engineering consulting consultants logistics publishing publishers textiles construction transport foods media software trading energy motors chemicals steel shipping bank holding brewery printing".split()
-_SAME_LINE = {"pharma": "pharmaceuticals", "bakeries": "bakery", "consultants": "consulting", "publishers": "publishing"}
+LINES = "insurance pharma pharmaceuticals bakery bakeries maschinenbau electrical engineering engineers consulting consultants consultancy logistics publishing publishers textiles construction transport foods media software trading energy motors chemicals steel shipping bank holding brewery printing".split()
+_SAME_LINE = {"pharma": "pharmaceuticals", "bakeries": "bakery", "consultants": "consulting", "consultancy": "consulting", "engineers": "engineering", "publishers": "publishing"}
 
 _LETTERS = re.compile(r"[^\W\d_]+\.?")
 
@@ -165,6 +165,9 @@ def read_name(name: str | None) -> tuple[str, tuple[str, ...], tuple[str, ...],
             lines.append(line)
         else:
             words.append(w)
+    for i in range(len(words) - 1, 0, -1):  # a given name in two parts
+        if words[i - 1] + words[i] in _NICK:
+            words[i - 1 : i + 1] = [words[i - 1] + words[i]]
     if not words:
         return "", (), tuple(initials), ""
     if lines or legal:
@@ -217,7 +220,8 @@ def fits(a: tuple, b: tuple) -> int:
         left.remove(best)
     if not ia:
         return 0
-    return 1 if left and all(any(_stands(i, x) for i in ia) for x in left) and (not ib or set(ib) & set(ia) or len(ia) == 1) else 0
+    first = ia[:1] if len(left) == 1 else ia  # further initials are middle names
+    return 1 if left and all(any(_stands(i, x) for i in first) for x in left) and (not ib or set(ib) & set(ia) or len(ia) == 1) else 0
 
 
 _FORMS: dict[str, list[str]] = {}
