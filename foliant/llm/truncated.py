@@ -39,7 +39,7 @@ MARKS = r"(?:\[\s*(?:\.\.\.|…|more|mehr|cut|snip|truncated|continued|gekürzt|
 ABBREVIATIONS = {"no", "nr", "núm", "num", "n", "p", "pp", "vgl", "art", "dr", "st", "fig", "approx", "bzw", "ca", "resp"}
 
 _WORD = re.compile(r"[^\W_]+")
-_STOP = re.compile(r"([^\W_]+)[)\]\"”»’']*(?:[.!?;:]|[ \t]*\r?\n)")
+_STOP = re.compile(r"\b([^\W_]++)[)\]\"”»’']*+(?:[.!?;:]|[ \t]*+\r?\n)")
 _ITEM = re.compile(r"(?m)^[ \t]*(?:[-*•–]|\d{1,3}[.)])[ \t]+[^\n]*?([^\W_]+)[^\w\n]*\n")
 _STRUCT = re.compile(r"[()\[\]{}«»“”„\"]|</?[A-Za-z][^<>\s]{0,40}(?:\s[^<>]*)?>|<(?=[A-Za-z/])|\n[ \t\r]*\n|\f")
 _CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
@@ -89,7 +89,7 @@ def tail(text: str | None) -> tuple[str, str]:
     """(state, last word): complete; cut; word or item (its last word decides); sure (an ellipsis: its last word or a limit decides); dot (a limit decides)."""
     if not text or not (t := text.rstrip()):
         return "complete", ""
-    marked = _MARKED.search(t)
+    marked = _MARKED.search(t, max(0, len(t) - 60))
     if marked:
         before = t[: marked.start()].rstrip()
         return ("complete" if _TERMINATOR.search(before) and not before.endswith("...") else "cut"), ""
