@@ -11,6 +11,7 @@ from foliant.functions import text as T
 from foliant.operators import catalog as C
 from foliant.operators import dashboard as D
 from foliant.operators import ingest as I
+from foliant.operators import pipeline as P
 from foliant.operators import search as S
 from foliant.operators import state as M
 from foliant.sources.views import AS_OF, SQL as VIEWS, Archive
@@ -124,7 +125,7 @@ add("retry_failed", lambda a: M.retry(a.task, F.col("batch_id").isNotNull()).sel
 _HIT = "task_type = 'enrich' AND status = '{}' AND task_id IN (SELECT json_extract_string(payload, '$.on_completed') FROM tasks WHERE task_type = 'consume' AND status = '{}')"
 add("discard_waiting", lambda a: M.discard_waiting(a.task).select("id", "status"), f"SELECT id, CASE WHEN {_HIT.format('waiting', 'failed')} THEN 'discarded' ELSE status END AS status FROM tasks")
 add("restore_discarded", lambda a: M.restore_discarded(M.retry(a.task, F.lit(True))).select("id", "status"), "SELECT id, CASE WHEN task_type = 'enrich' AND status = 'discarded' AND task_id IN (SELECT json_extract_string(payload, '$.on_completed') FROM tasks WHERE task_type = 'consume' AND status IN ('pending', 'failed')) THEN 'waiting' WHEN status = 'failed' THEN 'pending' ELSE status END AS status FROM tasks")
-add("cancel_batch", lambda a: M.cancel(a.task.join(a.batch.orderBy("id").limit(1).select(F.col("id").alias("batch_id")), "batch_id", "left_semi"), "", D.now()).select("id", "status"), "SELECT id, status FROM tasks WHERE batch_id = (SELECT min(id) FROM batches)")
+add("cancel_batch", lambda a: M.cancel(a.task, a.batch.agg(F.min("id")).first()[0], D.now()).select("id", "status"), "SELECT id, CASE WHEN batch_id = (SELECT min(id) FROM batches) AND status IN ('pending', 'processing') THEN 'cancelled' ELSE status END AS status FROM tasks")
 add("purge_expired", lambda a: M.purge_expired(a.document, 30, D.now()).select("id"), f"SELECT id FROM document WHERE deleted_at IS NULL OR deleted_at >= {NOW} - INTERVAL 30 DAY")
 add("purge_cascade", lambda a: M.cascade(a.document_tag, M.purge_expired(a.document, 30, D.now())), f"SELECT document_id, tag_id FROM document_tag WHERE document_id IN (SELECT id FROM document WHERE deleted_at IS NULL OR deleted_at >= {NOW} - INTERVAL 30 DAY)")
 
@@ -144,3 +145,11 @@ add("needs_ocr", lambda a: a.live.filter(I.needs_ocr(F.col("text_content"), F.co
 
 def flagship(spark: SparkSession, data: str) -> DataFrame:
     return S.search(Archive(spark, data), S.parse_query("lang:eng created:2020.. size:>1kb".replace("2020..", ">2020")))
+
+
+# Links and gates
+add("assign_tags", lambda a: P.assign_tags(a.document_tag, a.live, a.document.filter("document_type_id = 7").select(F.col("id").alias("document_id")), a.tag.filter("name = 'swimming club'").select(F.col("id").alias("tag_id")))[0], "SELECT document_id, tag_id FROM document_tag UNION SELECT l.id, t.id FROM live l, tag t WHERE l.document_type_id = 7 AND t.name = 'swimming club'")
+add("replace_tags", lambda a: P.assign_tags(a.document_tag, a.live, a.document.filter("document_type_id = 7").select(F.col("id").alias("document_id")), a.tag.filter("name = 'swimming club'").select(F.col("id").alias("tag_id")), True)[0], "SELECT document_id, tag_id FROM document_tag WHERE document_id NOT IN (SELECT id FROM live WHERE document_type_id = 7) UNION SELECT l.id, t.id FROM live l, tag t WHERE l.document_type_id = 7 AND t.name = 'swimming club'")
+add("admit_batches", lambda a: P.admit(a.batch, a.batch_owner.limit(0), D.now()).select("id"), "SELECT id FROM batches WHERE status = 'queued' ORDER BY created_at NULLS LAST, id LIMIT 4")
+add("document_tag_insert", lambda a: M.insert_absent(a.document_tag, a.document.select(F.col("id").alias("document_id"), F.lit(1).cast("long").alias("tag_id")), ["document_id", "tag_id"]), "SELECT document_id, tag_id FROM document_tag UNION SELECT id, 1 FROM document")
+add("task_enqueue_dedup", lambda a: M.enqueue(a.task, a.task.filter("status = 'pending'").withColumn("task_id", F.concat(F.lit("again-"), "task_id"))).groupBy("task_type", "status").agg(F.count(F.lit(1)).alias("n")), "SELECT task_type, status, count(*) AS n FROM (SELECT task_type, status FROM tasks UNION ALL SELECT task_type, status FROM tasks WHERE status = 'pending' AND dedup_key IS NULL) GROUP BY ALL")

@@ -69,23 +69,24 @@ add("textrank_reduce", lambda s, d: R.reduce(_docs(s, d), "doc_id", "text", -4))
 add("analyze_documents", lambda s, d: E.analyze(R.reduce(_docs(s, d), "doc_id", "text", 2000), "doc_id", "text"))
 
 
-def _vec(s: SparkSession, d: str, tags: bool) -> DataFrame:
-    e = table(s, d, "embeddings")
-    return e.filter((F.col("vec_id") % 10 == 0) if tags else (F.col("vec_id") % 10 != 0))
+def _centroids(s: SparkSession, d: str) -> DataFrame:
+    """A tag vector for each label: the mean of its vectors."""
+    return V.mean_pool(table(s, d, "embeddings"), "label", "embedding", 64)
 
 
 def tag_match_topn(s: SparkSession, d: str) -> DataFrame:
-    return V.similar(_vec(s, d, False).selectExpr("vec_id as q", "embedding as v"), _vec(s, d, True).selectExpr("vec_id as t", "embedding as v"), 0.3)
+    return V.similar(table(s, d, "embeddings").selectExpr("vec_id as q", "embedding as v"), _centroids(s, d).selectExpr("label as t", "embedding as v"), 0.02, 3)
 
 
 def tag_consolidate(s: SparkSession, d: str) -> DataFrame:
-    q = _vec(s, d, False).selectExpr("vec_id as q", "embedding as v", "cast(vec_id as string) as name")
-    return V.consolidate(q, _vec(s, d, True).selectExpr("cast(vec_id as string) as t", "embedding as v"), 0.3).select("q", "result")
+    q = table(s, d, "embeddings").selectExpr("vec_id as q", "embedding as v", "cast(vec_id as string) as name")
+    return V.consolidate(q, _centroids(s, d).selectExpr("concat('label ', label) as t", "embedding as v"), 0.03).select("q", "result")
 
 
-_SIM = "SELECT q.vec_id AS q, t.vec_id AS t, round(list_dot_product(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings t WHERE q.vec_id % 10 <> 0 AND t.vec_id % 10 = 0"
-add("tag_match_topn", tag_match_topn, f"SELECT q, t, similarity FROM ({_SIM}) WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, t) <= 15")
-add("tag_consolidate", tag_consolidate, f"SELECT v.vec_id AS q, coalesce(x.t::VARCHAR, v.vec_id::VARCHAR) AS result FROM embeddings v LEFT JOIN (SELECT q, t FROM ({_SIM}) WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, t::VARCHAR) = 1) x ON x.q = v.vec_id WHERE v.vec_id % 10 <> 0")
+_CENTROIDS = "SELECT label, list(v ORDER BY i) AS c FROM (SELECT label, i, round(avg(v), 6) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label"
+_SIM = f"SELECT e.vec_id AS q, l.label AS t, round(list_dot_product(e.embedding::DOUBLE[], l.c), 6) AS similarity FROM embeddings e, ({_CENTROIDS}) l"
+add("tag_match_topn", tag_match_topn, f"SELECT q, t, similarity FROM ({_SIM}) WHERE similarity >= 0.02 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, t) <= 3")
+add("tag_consolidate", tag_consolidate, f"SELECT v.vec_id AS q, coalesce('label ' || x.t, v.vec_id::VARCHAR) AS result FROM embeddings v LEFT JOIN (SELECT q, t FROM ({_SIM}) WHERE similarity >= 0.03 QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, t::VARCHAR) = 1) x ON x.q = v.vec_id")
 add("mean_pool", lambda s, d: V.mean_pool(table(s, d, "embeddings"), "label", "embedding", 64).select("label", F.posexplode("embedding").alias("i", "v")), "SELECT label, i - 1 AS i, round(avg(v), 6) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
 add("encode_tags", lambda s, d: V.encode(Archive(s, d).tag, "name", V.hashed_encoder(16)))
 
