@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import in_batches
 
+BROADCAST_TYPES = 10_000
+
 _BOUNDARY = re.compile(r"(?P<p>\n[ \t\r]*\n\s*|\f\s*)|(?P<l>\r?\n[ \t]*)|(?P<s>(?<=[.!?。！？])[\"'”»)\]]*[ \t]+)|(?P<w>[ \t ]+)")
 _LEVEL = {"p": 3, "l": 2, "s": 2, "w": 1}
 
@@ -110,10 +112,11 @@ def type_key(c: Column) -> Column:
 
 
 def with_limits(docs: DataFrame, limits: DataFrame, kind: str = "original_type") -> DataFrame:
-    """docs with max_chars and overlap_chars. The limits are one row a type (a table of media types, reduced to one row each before it is broadcast)."""
+    """docs with max_chars and overlap_chars. The limits are reduced to one row a type; up to BROADCAST_TYPES of them are broadcast."""
     each = limits.groupBy(type_key(F.col("original_type")).alias("_type")).agg(F.min(F.struct("max_chars", "overlap_chars")).alias("_limit"))
     star = each.filter("_type = '*'").select(F.col("_limit").alias("_star"))
-    df = docs.withColumn("_type", type_key(F.col(kind))).join(F.broadcast(each.limit(10_000)), "_type", "left")
+    few = each.limit(BROADCAST_TYPES + 1).count() <= BROADCAST_TYPES
+    df = docs.withColumn("_type", type_key(F.col(kind))).join(F.broadcast(each) if few else each, "_type", "left")
     df = df.join(F.broadcast(star), F.lit(True), "left")
     limit = F.coalesce("_limit", "_star")
     most = F.greatest(F.coalesce(limit["max_chars"], F.lit(0)), F.lit(0))
