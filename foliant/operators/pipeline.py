@@ -49,7 +49,8 @@ def assign_tags(document_tag: DataFrame, live: DataFrame, ids: DataFrame, tag_id
     ask = ids.select("document_id").distinct()
     found = ask.join(live.select(F.col("id").alias("document_id"), F.lit(True).alias("there")), "document_id", "left")
     ok = found.filter("there").select("document_id")
-    links = ok.join(F.broadcast(tag_ids.select("tag_id").distinct().limit(10_000)), F.lit(True))
+    each = tag_ids.agg(F.collect_set("tag_id").alias("tag_ids"))  # the request's list, one row
+    links = ok.join(F.broadcast(each), F.lit(True)).select("document_id", F.explode("tag_ids").alias("tag_id"))
     base = document_tag.join(ok, "document_id", "left_anti") if replace else document_tag
     out = base.select("document_id", "tag_id").unionByName(links).distinct()
     return out, found.select("document_id", F.when(F.col("there"), "Updated").otherwise("NotFound").alias("result"))
