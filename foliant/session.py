@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     if (d := sc.getCheckpointDir()) is None:
         d = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not d:
-            d = os.path.join(tempfile.gettempdir(), f"foliant-{os.getpid()}")
+            d = os.path.join(tempfile.gettempdir(), f"foliant-{os.getpid()}")  # local mode and tests only
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
     return d
