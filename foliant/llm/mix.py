@@ -166,7 +166,7 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
         base = one.withColumn("base", F.coalesce(F.sum("k").over(Window.partitionBy("j").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for CHUNK shards
         base = base.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "base"))), lambda x: x["base"]).alias("base"))
         drawn_slots = base.repartition(min(chunks, 2000)).mapInPandas(placed, schema)
-    out = drawn_slots.join(parts, ["source", "block"])
+    out = drawn_slots.join(parts.hint("merge"), ["source", "block"])  # no side may be broadcast, however small it looks
     return out.select("shard", "slot", "source", "turn", "block", "at", F.col("key").alias(key), "first", "last")
 
 
