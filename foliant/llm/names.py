@@ -4,10 +4,10 @@ Each name is read into a kind (person or organisation), its distinctive words (f
 business; titles, legal forms, branch notes, case, accents and the order of the parts fall away, nicknames stand for the full
 name. Names that read the same are one record from there on.
 
-Blocking: the suffixes of every distinctive word, of MIN_SUFFIX to MAX_SUFFIX letters, index the records, those of the word and, as a
-slip at its end spoils them all, of the reversed word. A suffix that more than MAX_BLOCK records share is refined with other fields
-(kind, first letters of the given name or of the line of business), and what is still larger then with the full given name or line; only a refined block that is still larger than MAX_REFINED is discarded,
-and never that of a whole word. Pairs within a block are compared by the ratio of their longest common subsequence, word by word.
+Blocking: the last and the first MIN_SUFFIX letters of every distinct word (its suffix, and that of the reversed word) index the vocabulary,
+and words that meet are alike if the ratio of their longest common subsequence says so. Each word of a record must be like
+a word of the one it fits, so a record is compared with all that have a word like its rarest one. No block is cut: one of more than
+BLOCK rows is dealt to sub-blocks that are joined one by one, and pairs that cannot fit are dropped before the full comparison.
 
 Links join full names first; their connected components are the entities. A name that has only an initial (or no line of business)
 joins an entity if it is the only one that it fits. Components come from label propagation over shuffled tables, each round
@@ -23,13 +23,13 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import in_batches
 from foliant.session import stored
 
-MIN_SUFFIX, MAX_SUFFIX, MAX_BLOCK, MAX_REFINED = 5, 40, 60, 120
+MIN_SUFFIX, BLOCK = 5, 2000
 FAMILY_RATIO, GIVEN_RATIO = 0.8, 0.79
 
 # Nicknames and forms of given names, a group a line.
@@ -267,29 +267,74 @@ def readings(people: DataFrame, key: str, name: str, native: str) -> DataFrame:
     return in_batches(df, run, _PARSED)
 
 
-def _blocks(recs: DataFrame) -> DataFrame:
-    """sig, block: the blocks each record is compared in."""
-    w = recs.select("sig", "kind", "initials", "line", "words", F.explode("words").alias("w"))
-    # The suffixes of a very long word are those of its last MAX_SUFFIX letters (and, reversed, of its first).
-    rev = F.substring(F.reverse("w"), -MAX_SUFFIX, MAX_SUFFIX)
-    tail = F.substring("w", -MAX_SUFFIX, MAX_SUFFIX)
-    ends = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - MIN_SUFFIX + 1, F.lit(1))), lambda i: F.struct(c.substr(i, F.length(c)).alias("s"), (i == 1).alias("whole")))
-    marked = lambda c, m: F.transform(ends(c), lambda x: F.struct(F.concat(F.lit(m), x["s"]).alias("s"), x["whole"]))
-    long = F.length("w") >= MIN_SUFFIX
-    keys = F.when(long, F.concat(marked(tail, ">"), marked(rev, "<"))).otherwise(F.array(F.struct(F.concat(F.lit("="), F.col("w")).alias("s"), F.lit(True).alias("whole"))))
-    other = F.array_join(F.filter("words", lambda x: x != F.col("w")), " ")
-    field = F.when(F.col("kind") == "o", F.substring("line", 1, 3)).otherwise(F.coalesce(F.substring(F.when(other != "", other), 1, 1), F.element_at(F.when(F.size("initials") > 0, F.col("initials")), 1), F.lit("")))
-    full = F.when(F.col("kind") == "o", F.col("line")).otherwise(F.concat_ws(" ", other, F.array_join("initials", " ")))
-    k = w.select("sig", "kind", F.concat(F.col("kind"), field).alias("field"), F.concat(F.col("kind"), full).alias("full"), F.explode(keys).alias("x")).select("sig", "kind", "field", "full", "x.s", "x.whole")
-    n1 = k.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    k = k.join(n1, "s").filter("n > 1")
-    small = k.filter(F.col("n") <= MAX_BLOCK).select("sig", F.col("s").alias("block"))
-    large = k.filter(F.col("n") > MAX_BLOCK)
-    refined = large.groupBy("s", "field").agg(F.count(F.lit(1)).alias("m"))
-    large = large.join(refined, ["s", "field"])
-    fine = large.filter(F.col("m") <= MAX_REFINED).select("sig", F.concat_ws("|", "s", "field").alias("block"))
-    finer = large.filter((F.col("m") > MAX_REFINED) & F.col("whole")).select("sig", F.concat_ws("|", "s", "full").alias("block"))
-    return small.unionByName(fine).unionByName(finer).dropDuplicates()
+def _keys(word: str) -> set[str]:
+    """The keys under which a word meets the words that are like it."""
+    n = MIN_SUFFIX
+    return {"=" + word} if len(word) < n else {">" + word[-n:], "<" + word[:n]}
+
+
+def _salted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """left and right joined; the rows of right that share a value are dealt to sub-blocks of about BLOCK rows, each of which meets all of left."""
+    n = right.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("salts"))
+    l = left.join(n, on).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    r = right.join(n, on).withColumn("salt", F.pmod(F.xxhash64(*right.columns), F.col("salts")).cast("int")).drop("salts")
+    return l.join(r, [on, "salt"]).drop("salt")
+
+
+def _near(w: str | Column, v: str | Column) -> Column:
+    """False only for words under GIVEN_RATIO: with i letters of one and j of the other outside the common subsequence, the edit distance is at most the larger of i and j."""
+    return 2 * F.levenshtein(w, v) <= F.lit(1 - GIVEN_RATIO + 1e-9) * (F.length(w) + F.length(v)) + F.abs(F.length(w) - F.length(v))
+
+
+def _alike(pairs: DataFrame, least: float) -> DataFrame:
+    """w, v (both ways): the pairs of words whose ratio is at least that; equal words are alike."""
+    pairs = pairs.dropDuplicates()
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return p[[lcs_ratio(w, v) >= least for w, v in zip(p.w, p.v)]]
+
+    return in_batches(pairs, run, "w string, v string")
+
+
+def _keyed(words: DataFrame) -> DataFrame:
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        rows = [(w, k) for w in b.w for k in sorted(_keys(w))]
+        return pd.DataFrame(rows, columns=["w", "k"])
+
+    return in_batches(words, run, "w string, k string")
+
+
+def candidates(recs: DataFrame) -> DataFrame:
+    """a, b: the records that are compared, a < b."""
+    own = recs.select("sig", "kind", F.array_distinct("words").alias("words"), "initials").withColumn("size", F.size("words"))
+    word = stored(own.select("sig", "kind", "size", F.explode("words").alias("w")), "words")
+    vocabulary = word.select("w").distinct()
+    keys = stored(_keyed(vocabulary), "keys")
+    met = _salted(keys, keys.withColumnRenamed("w", "v"), "k").filter("w < v").filter(_near("w", "v")).select("w", "v")
+    like = _alike(met, GIVEN_RATIO)
+    like = stored(like.unionByName(like.select(F.col("v").alias("w"), F.col("w").alias("v"))).unionByName(vocabulary.select("w", F.col("w").alias("v"))), "alike")
+    # Of two records that fit, each word of the one with fewer words is like a word of the other: its rarest one is looked up.
+    count = like.join(word.groupBy(F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("n")), "v").groupBy("w").agg(F.sum("n").alias("n"))
+    rarest = word.join(count, "w").groupBy("sig").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+    ask = rarest.join(like, "w").select("v", F.col("sig").alias("a"))
+    both = _salted(ask, word.select(F.col("w").alias("v"), F.col("sig").alias("b")).dropDuplicates(), "v").filter("a <> b").select("a", "b")
+    side = lambda s: own.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "words", "initials", "size")])
+    both = both.dropDuplicates().join(side("a"), "a").join(side("b"), "b")
+    letters = F.transform("initials_a", lambda i: F.substring(i, 1, 1))
+    # What no pair that fits lacks: the other words alike; for a given name left over, an initial that may stand for it.
+    stands = F.exists("initials_a", lambda i: F.length(i) > 1) | F.exists("words_b", lambda x: F.array_contains(letters, F.substring(x, 1, 1)))
+    both = both.filter("kind_a = kind_b and size_a <= size_b and (kind_a = 'p' or size_a = size_b)").filter((F.col("size_a") == F.col("size_b")) | stands)
+    both = both.filter(F.forall("words_a", lambda x: F.exists("words_b", lambda y: _near(x, y)))).select("a", "b")
+    # A name in one word may be another's words run together.
+    persons = own.filter("kind = 'p'")
+    single = persons.filter("size = 1").select("sig", F.col("words")[0].alias("w")).filter(F.length("w") >= 12)
+    runs = F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), ""))
+    joined = persons.filter("size > 1").select("sig", F.explode(runs).alias("w")).filter(F.length("w") >= 10)
+    k1, k2 = _keyed(single.select("w").distinct()), _keyed(joined.select("w").distinct()).withColumnRenamed("w", "v")
+    met = _alike(_salted(k1, k2, "k").filter(_near("w", "v")).select("w", "v"), 0.92)
+    run_on = met.join(single.select("w", F.col("sig").alias("a")), "w").join(joined.select(F.col("w").alias("v"), F.col("sig").alias("b")), "v").select("a", "b")
+    both = both.unionByName(run_on)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").dropDuplicates()
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -313,9 +358,7 @@ def entities(people: DataFrame, key: str = "id", name: str = "name", native: str
     alone = rows.filter("kind = ''").select("id", F.col("id").alias("entity"))
     named = rows.filter("kind <> ''")
     recs = stored(named.groupBy(sig_cols).agg(F.min("id").alias("sig")), "records")
-    blocks = stored(_blocks(recs), "blocks")
-    a, b = blocks.select("block", F.col("sig").alias("a")), blocks.select("block", F.col("sig").alias("b"))
-    pairs = a.join(b, "block").filter("a < b").select("a", "b").dropDuplicates()
+    pairs = candidates(recs)
     side = lambda s: recs.select(F.col("sig").alias(s), F.struct(*sig_cols).alias(f"r{s}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     flat = pairs.select("a", "b", *[F.col(f"r{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in sig_cols])

@@ -170,3 +170,23 @@ def test_language_model():
 def test_sentences_leave_furniture_out():
     got = subjects.sentences("Dear Anna,\n\nThe nurse gave the patient a vaccine today.\n- a list item of some words\n\nYours sincerely\nBob")
     assert got == [["the", "nurse", "gave", "the", "patient", "vaccine", "today"]]
+
+
+def _compared(spark, people):
+    """The pairs that fit, by brute force, and the pairs that the operator compares."""
+    df = spark.createDataFrame([(i, n, None) for i, n in enumerate(people)], "id long, name string, native string")
+    recs = names.readings(df, "id", "name", "native").filter("kind <> ''").withColumnRenamed("id", "sig").cache()
+    read = [(r.sig, (r.kind, tuple(r.words), tuple(r.initials), r.line, r.native)) for r in recs.collect()]
+    fit = {(min(i, j), max(i, j)) for i, a in read for j, b in read if i < j and names.fits(a, b)}
+    return fit, {(r.a, r.b) for r in names.candidates(recs).collect()}
+
+
+def test_names_of_one_family(spark):
+    rnd = random.Random(5)
+    given = sorted({"".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(150)})
+    people = [f"{g.title()} Pergurapen" for g in given] + [f"J{g} Pergurapen" for g in given]
+    people += ["Jonathan Pergurapen", "J. Pergurapen", "Jonathan A. Pergurapen", "Jonathen Pergurapen", "JonathanPergurapen", "Wm. Pergurapen", "William Pergurapen"]
+    people += ["Pergurapen Ltd", "Pergurapen Pharma"] + [f"Pergurapen {g.title()} Pharma" for g in given]
+    fit, got = _compared(spark, people)
+    at = 2 * len(given)
+    assert {(at, at + 1), (at, at + 2), (at + 1, at + 2), (at, at + 4), (at + 5, at + 6), (at + 7, at + 8)} <= fit & got
