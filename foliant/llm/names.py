@@ -5,7 +5,8 @@ business; titles, legal forms, branch notes, case, accents and the order of the
 name. Names that read the same are one record from there on.
 
 Blocking: the last and the first MIN_SUFFIX letters of every distinct word (its suffix, and that of the reversed word) index the vocabulary,
-and words that meet are alike if the ratio of their longest common subsequence says so. Each word of a record must be like
+as do the word with a letter or two left out and, of a long word, any three letters in a row, so that no single slip keeps two words apart;
+words that meet are alike if the ratio of their longest common subsequence says so. Each word of a record must be like
 a word of the one it fits, so a record is compared with all that have a word like its rarest one. No block is cut: one of more than
 BLOCK rows is dealt to sub-blocks that are joined one by one, and pairs that cannot fit are dropped before the full comparison.
 
@@ -267,10 +268,17 @@ def readings(people: DataFrame, key: str, name: str, native: str) -> DataFrame:
     return in_batches(df, run, _PARSED)
 
 
-def _keys(word: str) -> set[str]:
-    """The keys under which a word meets the words that are like it."""
-    n = MIN_SUFFIX
-    return {"=" + word} if len(word) < n else {">" + word[-n:], "<" + word[:n]}
+def _keys(word: str, near: bool = False) -> set[str]:
+    """The keys under which a word meets the words that are like it: any two one slip apart (a letter changed, added, left out or two swapped)
+    share one. Unless only near ones are asked for, longer words also meet at two slips (7 to 12 letters) or by any three letters in a row (from 13)."""
+    n, e = MIN_SUFFIX, len(word)
+    out = {"=" + word} | ({">" + word[-n:], "<" + word[:n]} if e >= n else set())
+    less = {word[:i] + word[i + 1 :] for i in range(e)} if e > 2 else set()
+    if not near and 7 <= e <= 12:
+        less |= {x[:i] + x[i + 1 :] for x in less for i in range(len(x))}
+    if not near and e >= 13:
+        out |= {"*" + word[i : i + 3] for i in range(e - 2)}
+    return out | {"=" + x for x in less}
 
 
 def _salted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -282,8 +290,8 @@ def _salted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def _near(w: str | Column, v: str | Column) -> Column:
-    """False only for words under GIVEN_RATIO: with i letters of one and j of the other outside the common subsequence, the edit distance is at most the larger of i and j."""
-    return 2 * F.levenshtein(w, v) <= F.lit(1 - GIVEN_RATIO + 1e-9) * (F.length(w) + F.length(v)) + F.abs(F.length(w) - F.length(v))
+    """False only for words under GIVEN_RATIO: the edit distance is at most the number of letters outside the common subsequence."""
+    return F.levenshtein(w, v) <= F.lit(1 - GIVEN_RATIO + 1e-9) * (F.length(w) + F.length(v))
 
 
 def _alike(pairs: DataFrame, least: float) -> DataFrame:
@@ -296,9 +304,9 @@ def _alike(pairs: DataFrame, least: float) -> DataFrame:
     return in_batches(pairs, run, "w string, v string")
 
 
-def _keyed(words: DataFrame) -> DataFrame:
+def _keyed(words: DataFrame, near: bool = False) -> DataFrame:
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        rows = [(w, k) for w in b.w for k in sorted(_keys(w))]
+        rows = [(w, k) for w in b.w for k in sorted(_keys(w, near))]
         return pd.DataFrame(rows, columns=["w", "k"])
 
     return in_batches(words, run, "w string, k string")
@@ -330,7 +338,7 @@ def candidates(recs: DataFrame) -> DataFrame:
     single = persons.filter("size = 1").select("sig", F.col("words")[0].alias("w")).filter(F.length("w") >= 12)
     runs = F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), ""))
     joined = persons.filter("size > 1").select("sig", F.explode(runs).alias("w")).filter(F.length("w") >= 10)
-    k1, k2 = _keyed(single.select("w").distinct()), _keyed(joined.select("w").distinct()).withColumnRenamed("w", "v")
+    k1, k2 = _keyed(single.select("w").distinct(), True), _keyed(joined.select("w").distinct(), True).withColumnRenamed("w", "v")
     met = _alike(_salted(k1, k2, "k").filter(_near("w", "v")).select("w", "v"), 0.92)
     run_on = met.join(single.select("w", F.col("sig").alias("a")), "w").join(joined.select(F.col("w").alias("v"), F.col("sig").alias("b")), "v").select("a", "b")
     both = both.unionByName(run_on)

@@ -190,3 +190,16 @@ def test_names_of_one_family(spark):
     fit, got = _compared(spark, people)
     at = 2 * len(given)
     assert {(at, at + 1), (at, at + 2), (at + 1, at + 2), (at, at + 4), (at + 5, at + 6), (at + 7, at + 8)} <= fit & got
+
+
+def test_names_one_slip_apart(spark):
+    rnd = random.Random(7)
+    people = []
+    for w in ("Gamdu", "Bexilo", "Nervam", "Salgrez", "Bodkarin", "Pergurape", "Misfevokad", "Dorvantilek"):
+        people.append(f"{w} Insurance")
+        for k in range(len(w)):
+            people += [f"{w[:k]}x{w[k + 1:]} Insurance".title(), f"{w[:k]}{w[k + 1:]} Insurance".title(), f"{w[:k]}{w[k:k + 2][::-1]}{w[k + 2:]} Insurance".title()]
+    given = sorted({"".join(rnd.choice("bdgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(120)})
+    people += [f"{g.title()} Pergurapen" for g in given]
+    fit, got = _compared(spark, people)
+    assert len(fit) > 500 and fit <= got, sorted((people[i], people[j]) for i, j in fit - got)[:9]
