@@ -2,7 +2,7 @@
 
 All shingles of five words of the normalised test items form one Aho-Corasick automaton, which every task builds from
 the broadcast items. A text is normalised to words (case, punctuation, line breaks and hyphens at them are layout), and scanned
-once. Where a shingle is hit that at most RARE items share, the passage is followed to both sides, over single words that
+once. Where a shingle is hit, the passage is followed in each item that has it to both sides, over single words that
 were altered, dropped, added, split or joined, as long as the words around them go on in the item's order; it counts if it
 covers at least 20 words of the item and most of these are unaltered. Offsets are mapped to the original text.
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, LEAST, RARE = 5, 20, 6
+SHINGLE, LEAST = 5, 20
 #: Of the words a passage covers, this share at least is unaltered.
 UNALTERED = 0.88
 CHUNK_ITEMS = 20_000
@@ -87,9 +87,7 @@ class Items:
             same.setdefault(tuple(ws), []).append(item)
         self.twins = {g[0]: g for g in same.values()}
         for k, at in shingles.items():
-            at = [(i, p) for i, p in at if i in self.twins]  # one of the items with the same words stands for all
-            if len({i for i, _ in at}) <= RARE:
-                self.automaton.add_word(k, at)
+            self.automaton.add_word(k, [(i, p) for i, p in at if i in self.twins])  # one of the items with the same words stands for all
         self.any = len(self.automaton) > 0
         if self.any:
             self.automaton.make_automaton()

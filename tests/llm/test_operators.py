@@ -203,3 +203,11 @@ def test_names_one_slip_apart(spark):
     people += [f"{g.title()} Pergurapen" for g in given]
     fit, got = _compared(spark, people)
     assert len(fit) > 500 and fit <= got, sorted((people[i], people[j]) for i, j in fit - got)[:9]
+
+
+def test_leak_shared_by_many_items():
+    rnd = random.Random(11)
+    shared = [f"{rnd.choice(WORDS)}{i}" for i in range(24)]
+    items = [(i, " ".join([*shared, *(f"{rnd.choice(WORDS)}x{i}y{j}" for j in range(6))])) for i in range(30)]
+    found = leak.Items(items).find("before " + " ".join(shared) + " after")
+    assert {x[0] for x in found} == set(range(30)) and {x[1:3] for x in found} == {(0, 24)}
