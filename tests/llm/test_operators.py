@@ -211,3 +211,12 @@ def test_leak_shared_by_many_items():
     items = [(i, " ".join([*shared, *(f"{rnd.choice(WORDS)}x{i}y{j}" for j in range(6))])) for i in range(30)]
     found = leak.Items(items).find("before " + " ".join(shared) + " after")
     assert {x[0] for x in found} == set(range(30)) and {x[1:3] for x in found} == {(0, 24)}
+
+
+def test_header_among_many_lines():
+    rnd = random.Random(13)
+    names = sorted({"".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(7)) for _ in range(900)})
+    lines = [f"Account {n.title()}" for n in names]
+    heads = ["Account Ledger of Harbour House", "Account Ledger of Harbour Housc"]
+    text = "\n".join([*lines[:700], heads[0], *lines[700:], heads[1]])
+    assert {700, len(lines) + 1} <= {i for i, _ in pages.pairs(pages.split_lines(text))}
