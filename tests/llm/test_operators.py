@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from foliant.llm import canon, leak, mix, names, ocr, pages, split, subjects, truncated
+from foliant.llm import canon, glyphs, leak, mix, names, ocr, pages, split, subjects, truncated
 from foliant.llm.boost import Boosted
 from foliant.llm.langid import Model, label_batch
 
@@ -220,3 +220,51 @@ def test_header_among_many_lines():
     heads = ["Account Ledger of Harbour House", "Account Ledger of Harbour Housc"]
     text = "\n".join([*lines[:700], heads[0], *lines[700:], heads[1]])
     assert {700, len(lines) + 1} <= {i for i, _ in pages.pairs(pages.split_lines(text))}
+
+
+def _texts(seed, n):
+    rnd = random.Random(seed)
+    sentence = lambda: " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(5, 14))).capitalize() + "."
+    return [" ".join(sentence() for _ in range(rnd.randint(20, 60))) for _ in range(n)]
+
+
+def test_furniture_on_made_up_pages():
+    """Held-out recall and precision of lines of furniture."""
+    model, rnd = pages.Lines(_texts(1, 150)), random.Random(2)
+    hits = said = true = 0
+    for t in _texts(3, 150):
+        text, kinds = pages._made_up(t, rnd)
+        for want, got in zip(kinds, model.read(text).kinds):
+            hits += got in ("header", "pagenum", "both") and want == got
+            said += got in ("header", "pagenum", "both")
+            true += want in ("header", "pagenum", "both")
+    assert hits > 0.8 * true and hits > 0.9 * said
+
+
+def test_header_of_any_length():
+    model, rnd = pages.Lines(_texts(1, 150)), random.Random(4)
+    for size in (60, 110, 400):
+        head = "".join(rnd.choice("abcdefgh     ") for _ in range(size)).strip().capitalize()
+        body = [f"line {i} of the running text goes on here with {rnd.choice(WORDS)} and" for i in range(72)]
+        text = "\n".join(x for p in range(6) for x in [head, *body[p * 12 : p * 12 + 12]])
+        assert [k for k, l in zip(model.read(text).kinds, text.split("\n")) if l == head].count("header") >= 5
+
+
+def test_gram_keys_are_exact():
+    rnd = random.Random(1)
+    order = {a + b: rnd.randint(1, 9) for a in "abcd" for b in "abcd"}
+    for _ in range(5000):
+        s = "".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 11)))
+        i, x = rnd.randrange(len(s)), rnd.choice("abcd")
+        t = rnd.choice([s[:i] + x + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + x + s[i:]])
+        assert set(glyphs.gram_keys(s, order, (0,))) & set(glyphs.gram_keys(t, order, (-1, 0, 1)))
+
+
+def test_broken_words_by_their_counts():
+    texts = [f"{t} The well-known {a}-{b} is a {a}-{b} of the {b}." for t in _texts(5, 60) for a, b in (("long", "term"), ("half", "time"))]
+    from collections import Counter
+
+    counts = Counter(w for t in texts for w in ocr._TOKEN.findall(t.lower()))
+    model = ocr._join_model(texts, counts, random.Random(1))
+    x = [ocr.join_features("lan", "tern", "-", (900, 0, 3, 0)), ocr.join_features("well", "known", "-", (0, 500, 600, 700)), ocr.join_features("thi", "stle", "\u00ad", (700, 0, 0, 0))]
+    assert (model.score(np.array(x)) >= 0.5).tolist() == [True, False, True]
