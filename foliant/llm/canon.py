@@ -6,7 +6,7 @@ up to BROADCAST_ENTRIES entries is broadcast and each task builds the tree once;
 distinct name visits the tree of every shard, and the shards' winners are merged by a min.
 
 Before the search a name is brought to a canonical spelling (case, accents, separators, digits typed for letters,
-wrappers such as "tag:", "etc.", a year or a remark in brackets are dropped), its words are also read in other orders, and
+wrappers such as "tag:", "etc.", a year or a remark in brackets are dropped), its words are also read in other orders (four and more: rotated or sorted), and
 words cut off with a full stop are completed from the words of the entries. Keys are compared without spaces, so missing and doubled spaces cost nothing.
 
 Defined results: a null, empty or wordless name is unmatched (0); two entries at the same least distance leave a name unmatched unless
@@ -25,12 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import stored
+
 BROADCAST_ENTRIES = 20_000
 SHARD_ENTRIES = 20_000
+#: Distinct names that one task looks up in one shard.
+BLOCK_NAMES = 20_000
 
-# Digits and signs typed for letters; words that may be dropped around a name.
+# Digits and signs typed for letters.
 LOOKALIKES = {"0": "o", "1": "l", "3": "e", "5": "s", "@": "a", "$": "s", "|": "l"}
-WRAPPERS = {"tag", "tags", "label", "topic", "etc", "usw", "and so on", "old", "new", "misc", "the"}
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -159,11 +162,12 @@ def words(name: str) -> list[str]:
 
 
 def _orders(ws: list[str]) -> Iterator[str]:
-    """The words in all orders up to three, else rotated; without spaces."""
+    """The words in all orders up to three, else rotated and (for all other orders) sorted; without spaces."""
     if len(ws) <= 3:
         yield from ("".join(p) for p in itertools.permutations(ws))
     else:
         yield from ("".join(ws[i:] + ws[:i]) for i in range(len(ws)))
+        yield "".join(sorted(ws))
 
 
 class Canon:
@@ -198,12 +202,17 @@ class Canon:
 
     def best(self, names: list[str | None]) -> list[tuple[int, int]]:
         """For each name (distance, entry), or (99, 0). Two different entries at the least distance: (distance, 0)."""
+        return [(d, i) for d, i, _ in self.nearest(names)]
+
+    def nearest(self, names: list[str | None]) -> list[tuple[int, int, str]]:
+        """`best` with the spelling of the entry ('' for none)."""
         asked, owner = [], []
         for i, name in enumerate(names):
             ws = words(name or "")
             if not ws:
                 continue
-            readings = {"".join(w.rstrip(".") for w in ws)}
+            bare = [w.rstrip(".") for w in ws]
+            readings = {"".join(bare)} | ({"".join(sorted(bare))} if len(bare) > 3 else set())
             if any(w[-1] == "." for w in ws[:-1]) or (len(ws[-1]) > 2 and ws[-1][-1] == "." and len(ws) > 1):
                 readings |= self.completed(ws)
             asked += sorted(readings)
@@ -214,11 +223,12 @@ class Canon:
         out = []
         for i in range(len(names)):
             if not (h := hits.get(i)):
-                out.append((99, 0))
+                out.append((99, 0, ""))
                 continue
             least = min(x[0] for x in h)
             ids = set().union(*(x[2] for x in h if x[0] == least))
-            out.append((least, min(ids)) if len({self.spelling[e] for e in ids}) == 1 else (least, 0))
+            spellings = {self.spelling[e] for e in ids}
+            out.append((least, min(ids), spellings.pop()) if len(spellings) == 1 else (least, 0, ""))
         return out
 
 
@@ -228,7 +238,7 @@ def allowed(key: str) -> int:
     return 0 if n <= 4 else 1 if n <= 7 else 2 if n <= 15 else 3
 
 
-def map_values(values: DataFrame, vocabulary: DataFrame, key: str = "id", name: str = "name", entry: str = "entry_id", entry_name: str = "name", shard_entries: int = SHARD_ENTRIES, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def map_values(values: DataFrame, vocabulary: DataFrame, key: str = "id", name: str = "name", entry: str = "entry_id", entry_name: str = "name", shard_entries: int = SHARD_ENTRIES, broadcast_entries: int = BROADCAST_ENTRIES, block_names: int = BLOCK_NAMES) -> DataFrame:
     """key, entry_id (0: none), distance (null: none): one row a key."""
     vals = values.select(F.col(key).alias("key"), F.col(name).alias("name"))
     vocab = vocabulary.select(F.col(entry).cast("long").alias("e"), F.col(entry_name).alias("n")).filter("e is not null and n is not null")
@@ -251,19 +261,21 @@ def map_values(values: DataFrame, vocabulary: DataFrame, key: str = "id", name:
     else:
         shards = -(-size // shard_entries)
         each = vocab.withColumn("shard", F.pmod(F.xxhash64("e"), F.lit(shards)).cast("int"))
-        names = vals.select("name").filter("name is not null").distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        blocks = names.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(8)).cast("int"))
-        trees = each.withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(8)])))
+        names = stored(vals.select("name").filter("name is not null").distinct(), "names")
+        count = max(1, -(-names.count() // block_names))  # blocks of bounded size, as many as there are names for
+        block = F.pmod(F.xxhash64("name", F.lit(3)), F.lit(count)).cast("int")
+        blocks = names.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        trees = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
 
         def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             canon = Canon(list(zip(b.e, b.n)))
-            got = canon.best(list(a.name))
-            return pd.DataFrame({"name": a.name, "d": [g[0] for g in got], "e": [g[1] for g in got]})
+            got = canon.nearest(list(a.name))
+            return pd.DataFrame({"name": a.name, "d": [g[0] for g in got], "e": [g[1] for g in got], "s": [g[2] for g in got]})
 
-        won = blocks.groupBy("shard", "block").cogroup(trees.groupBy("shard", "block")).applyInPandas(one, "name string, d int, e long")
-        won = won.filter("d < 99").groupBy("name").agg(F.min("d").alias("d"), F.min_by(F.struct("e"), "d").alias("w"), F.collect_set(F.struct("d", "e")).alias("all"))
-        tie = F.size(F.filter("all", lambda x: (x["d"] == F.col("d"))))
-        won = won.select("name", "d", F.when(tie > 1, F.lit(0)).otherwise(F.col("w.e")).cast("long").alias("e"))
+        won = blocks.groupBy("shard", "block").cogroup(trees.groupBy("shard", "block")).applyInPandas(one, "name string, d int, e long, s string")
+        # The winners of the shards: a tie is one between spellings (or within a shard, where the entry is 0), not between ids.
+        won = won.filter("d < 99").groupBy("name", "d").agg(F.min("e").alias("e"), F.min("s").alias("s"), F.max("s").alias("s2"))
+        won = won.groupBy("name").agg(F.min(F.struct("d", F.when(F.col("s") == F.col("s2"), F.col("e")).otherwise(F.lit(0)).alias("e"))).alias("w")).select("name", "w.*")
         best = vals.join(won, "name", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("d", F.lit(99)).alias("d"), F.coalesce("e", F.lit(0)).alias("e"))).alias("b"))
     found = F.col("b.e") != 0
     return best.select(F.col("key").alias(key), F.col("b.e").alias("entry_id"), F.when(found, F.col("b.d")).alias("distance"))

@@ -268,3 +268,29 @@ def test_broken_words_by_their_counts():
     model = ocr._join_model(texts, counts, random.Random(1))
     x = [ocr.join_features("lan", "tern", "-", (900, 0, 3, 0)), ocr.join_features("well", "known", "-", (0, 500, 600, 700)), ocr.join_features("thi", "stle", "\u00ad", (700, 0, 0, 0))]
     assert (model.score(np.array(x)) >= 0.5).tolist() == [True, False, True]
+
+
+def test_canon_word_orders():
+    c = canon.Canon([(1, "beta gamma delta alpha"), (2, "one two three four five")])
+    import itertools
+
+    assert {c.best([" ".join(p)])[0][1] for p in itertools.permutations("alpha beta gamma delta".split())} == {1}
+    assert c.best(["five three one four two", "five three one four"])[0] == (0, 2)
+
+
+def test_canon_sharded_as_broadcast(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randint(3, 5)))
+    some = [word() for _ in range(12)]
+    vocabulary = [(i, " ".join(rnd.sample(some, rnd.randint(1, 4)))) for i in range(1, 60)]
+    vocabulary += [(100 + i, vocabulary[i][1]) for i in range(20)]  # the same spelling under several ids
+    typed = []
+    for i in range(200):
+        w = list(rnd.choice(vocabulary)[1])
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(len(w))] = rnd.choice("abcde ")
+        typed.append((i, "".join(w)))
+    v, t = spark.createDataFrame(vocabulary, "entry_id long, name string"), spark.createDataFrame(typed, "id long, name string")
+    whole = {r.id: (r.entry_id, r.distance) for r in canon.map_values(t, v).collect()}
+    shards = {r.id: (r.entry_id, r.distance) for r in canon.map_values(t, v, broadcast_entries=0, shard_entries=7, block_names=40).collect()}
+    assert whole == shards and sum(e > 0 for e, _ in whole.values()) > 50
