@@ -294,3 +294,33 @@ def test_canon_sharded_as_broadcast(spark):
     whole = {r.id: (r.entry_id, r.distance) for r in canon.map_values(t, v).collect()}
     shards = {r.id: (r.entry_id, r.distance) for r in canon.map_values(t, v, broadcast_entries=0, shard_entries=7, block_names=40).collect()}
     assert whole == shards and sum(e > 0 for e, _ in whole.values()) > 50
+
+
+def test_language_pieces_as_whole(monkeypatch):
+    from foliant.llm import langid
+
+    rnd = random.Random(3)
+    eng, deu = "the letters of the office were not found and we have asked for them".split(), "die briefe der stelle wurden nicht gefunden und wir haben danach gefragt".split()
+    m = Model.fit([" ".join(eng) + ". ", " ".join(deu) + ". "] * 30)
+    texts = [" ".join(rnd.choice(rnd.choice([eng, eng, deu, ["xx"]]) if k % 90 < 45 else deu) + ("\n\n" if rnd.random() < 0.02 else "") for k in range(rnd.randint(1, 900))) for _ in range(40)]
+    whole = label_batch(m, texts)
+    for piece in (7, 50, 131):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert label_batch(m, texts) == whole
+
+
+def test_shared_scripts(spark):
+    from foliant.llm import langid
+
+    df = spark.createDataFrame([(1, "Привіт, як ваші справи сьогодні і завтра"), (2, "Привет, как дела у вас сегодня"), (3, "این کتاب گران است و چاپ خوبی دارد"), (4, "هذا كتاب جديد")], "id long, text_content string")
+    assert {r.id: r.language for r in langid.languages(df).collect()} == {1: "ukr", 2: "rus", 3: "fas", 4: "ara"}
+
+
+def test_one_text_of_an_id(spark):
+    from foliant.llm import langid
+
+    eng = "The letters of the office were not found and we have asked for them again. " * 4
+    deu = "Die Briefe der Stelle wurden nicht gefunden und wir haben noch einmal danach gefragt. " * 4
+    df = spark.createDataFrame([(1, eng + "\n\n" + deu, "en"), (1, deu, "de"), *[(i, t, "x") for i, t in enumerate([eng, deu] * 10, 2)]], "id long, text_content string, language string")
+    got = {(r.segment, r.language) for r in langid.languages(df).filter("id = 1").collect()}
+    assert got in ({(0, "deu")}, {(0, "eng"), (1, "eng"), (2, "deu")}, {(0, "deu"), (1, "eng"), (2, "deu")})
