@@ -1,14 +1,17 @@
 """Subject areas of documents, by class-association rules.
 
-Sentences of the running text are transactions of words; those of labelled documents carry their subject as one more item. Frequent-pattern growth (Spark's
-parallel FP-growth) finds the frequent sets, the rules "words => subject" are those of enough support and confidence, and a
+Sentences of the running text are transactions of words; those of labelled documents count for their subject. Parallel frequent-pattern growth (growth.py)
+finds the frequent sets of at most LONGEST words with their counts in each subject, the rules "words => subject" are those of enough support and confidence, and a
 rule is redundant if a part of its words gives the subject nearly as surely. Each sentence goes to the subject with the most evidence among
-its matching rules (log odds of the rule, slightly raised by what the document type has been seen with); a document's areas are those that hold at least the calibrated
+its matching rules (slightly raised by what the document type has been seen with); a document's areas are those that hold at least the calibrated
 share of its running text.
 
+Evidence is calibrated out of fold: documents fall into two folds, counts are kept for each, and the log odds of a rule are what rules of such log odds
+in one fold come to in the other. The threshold is the best one for the labelled documents, each scored with the rules of the fold it is not in.
+
 The labelled sample is small and many words do not occur in it: in ROUNDS further rounds, documents that the rules give to
 one subject beyond doubt serve as labelled ones too. Samples are bounded (FIT_LABELLED labelled documents, FIT_MORE others of at most FIT_CHARS characters, by the hash of
-their id); all documents are scored. The threshold is calibrated on the labelled sample (the best F1) within CALIBRATION.
+their id); all documents are scored. The threshold has the best F1 within CALIBRATION.
 
 Defined results: null, empty texts and texts without sentences or matching rules have no area; labels of unknown documents or null subjects are ignored; without labels nothing is found;
 rows of one id count once (the first text); ties of evidence go to the smaller subject.
@@ -21,16 +24,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import bounded, in_batches
+from foliant.llm.growth import frequent_sets
 from foliant.session import stored
 
 FIT_LABELLED, FIT_MORE, FIT_CHARS, ROUNDS = 8000, 3000, 20_000, 2
-SUPPORT, CONFIDENCE, GAIN = 3, 0.75, 0.08
+SUPPORT, CONFIDENCE, GAIN, LONGEST, BINS = 3, 0.75, 0.08, 2, 12
 #: A word stands in the transactions if it is seen so often and this share of it is in one subject.
 WORD_SEEN, WORD_SHARE = 3, 0.6
 CALIBRATION = (0.2, 0.34)
@@ -80,7 +84,7 @@ def sentences(text: str) -> list[list[str]]:
 
 
 class Rules:
-    """Rules by their least frequent word, with the log odds of their subject; what document types have been seen with."""
+    """Rules by their first word, with the evidence for their subject; what document types have been seen with."""
 
     def __init__(self, rules: list[tuple[tuple[str, ...], int, float]], types: dict[tuple[int, int], float]):
         self.single = {a[0]: (c, e) for a, c, e in rules if len(a) == 1}
@@ -114,48 +118,106 @@ class Rules:
         return ({c: n / total for c, n in got.items()} if total else {}), total
 
 
-def _transactions(docs: DataFrame) -> DataFrame:
-    """key, subject, words: the sentences of documents with one subject."""
+def fold(text: str) -> Column:
+    """The fold of a document; copies fall into one."""
+    return F.pmod(F.xxhash64(text, F.lit(5)), F.lit(2)).cast("int")
+
+
+def _transactions(docs: DataFrame, subjects: list[int]) -> DataFrame:
+    """class (two for each subject, one for each fold), words: the sentences of documents with one subject."""
+    at = {c: i for i, c in enumerate(subjects)}
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        rows = [(c, sorted(set(ws))) for t, c in zip(b.text, b.subject) for ws in sentences(t)]
-        return pd.DataFrame(rows, columns=["subject", "words"])
+        rows = [(2 * at[c] + f, sorted(set(ws))) for t, c, f in zip(b.text, b.subject, b.fold) for ws in sentences(t)]
+        return pd.DataFrame(rows, columns=["class", "words"])
+
+    return in_batches(docs.select("text", "subject", fold("text").alias("fold")), run, "class int, words array<string>")
+
 
-    return in_batches(docs, run, "subject int, words array<string>")
+def _odds(n: np.ndarray, c: int) -> float:
+    return math.log((n[c] + 0.5) / (n.sum() - n[c] + 0.5))
+
+
+def chosen(sets: list[tuple[tuple[str, ...], np.ndarray]]) -> list[tuple[tuple[str, ...], int, float]]:
+    """(words, subject's place, log odds) of the rules that sets (words, counts by subject) make: of enough support and confidence and not redundant."""
+    found: dict[tuple[str, ...], tuple[int, float, float]] = {}
+    for a, n in sets:
+        c = int(n.argmax())
+        if n[c] >= SUPPORT and n[c] >= CONFIDENCE * n.sum():
+            found[a] = (c, n[c] / n.sum(), _odds(n, c))
+    out = []
+    for a, (c, conf, odds) in sorted(found.items()):
+        parts = [found[(w,)] for w in a if len(a) > 1 and (w,) in found]
+        if all(conf > p[1] + GAIN for p in parts if p[0] == c):
+            out.append((a, c, odds))
+    return out
 
 
-def mine(labelled: DataFrame, types: dict) -> Rules:
-    """Rules from documents (text, subject) with one subject each."""
-    tx = stored(_transactions(labelled), "transactions")
+def calibration(sets: list[tuple[tuple[str, ...], np.ndarray]]) -> tuple[list[float], list[float]]:
+    """Log odds of rules in one fold, and what these come to in the other, as a curve that never falls. sets: (words, counts by subject and fold)."""
+    seen: list[tuple[float, float, float]] = []
+    by_words = {a: n.reshape(-1, 2) for a, n in sets}
+    for f in (0, 1):
+        for a, c, odds in chosen([(a, n[:, f]) for a, n in by_words.items()]):
+            other = by_words[a][:, 1 - f]
+            if other.sum():
+                seen.append((odds, float(other[c]), float(other.sum())))
+    if len(seen) < 4 * BINS:
+        return [0.0, 1.0], [0.0, 1.0]  # too few to say: as they are
+    seen.sort()
+    xs, ys = [], []
+    for part in np.array_split(np.array(seen), BINS):
+        xs.append(float(part[:, 0].mean()))
+        ys.append(math.log((part[:, 1].sum() + 0.5) / (part[:, 2].sum() - part[:, 1].sum() + 0.5)))
+    return xs, np.maximum.accumulate(ys).tolist()
+
+
+def mine(labelled: DataFrame, types: dict, subjects: list[int]) -> tuple[Rules, Rules, Rules]:
+    """Rules from documents (text, subject) with one subject each: from all of them, and from each fold."""
+    tx = stored(_transactions(labelled, subjects), "transactions")
     n = F.count(F.lit(1))
-    words = tx.select("subject", F.explode("words").alias("w")).groupBy("w", "subject").agg(n.alias("n"))
-    words = words.groupBy("w").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter((F.col("n") >= WORD_SEEN) & (F.col("most") >= WORD_SHARE * F.col("n"))).select("w")
-    kept = tx.withColumn("t", F.monotonically_increasing_id()).select("t", "subject", F.explode("words").alias("w")).join(words, "w", "left_semi")
-    kept = stored(kept.groupBy("t", "subject").agg(F.collect_set("w").alias("ws")).select(F.concat("ws", F.array(F.concat(F.lit("="), F.col("subject").cast("string")))).alias("items")), "items")
-    rows = kept.count()
-    if not rows:
-        return Rules([], types)
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, SUPPORT / rows), minConfidence=0.0).fit(kept).freqItemsets.filter(F.size("items") <= 3)
-    parts = sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("="))).alias("a"), F.filter("items", lambda x: x.startswith("=")).alias("c"), "freq")
-    body = parts.filter((F.size("c") == 0) & F.size("a").between(1, 2)).select("a", F.col("freq").alias("all"))
-    head = parts.filter((F.size("c") == 1) & F.size("a").between(1, 2)).select("a", F.substring(F.col("c")[0], 2, 9).cast("int").alias("subject"), "freq")
-    found = head.join(body, "a").withColumn("conf", F.col("freq") / F.col("all")).filter(F.col("conf") >= CONFIDENCE)
-    short = found.filter(F.size("a") == 1).select(F.col("a")[0].alias("w"), "subject", F.col("conf").alias("conf1"))
-    pairs = found.filter(F.size("a") == 2).withColumn("w", F.explode("a")).join(short, ["w", "subject"], "left").groupBy("a", "subject").agg(F.first("freq").alias("freq"), F.first("conf").alias("conf"), F.max("conf1").alias("conf1"))
-    good = found.filter(F.size("a") == 1).select("a", "subject", "freq", "conf").unionByName(pairs.filter(F.col("conf1").isNull() | (F.col("conf") > F.col("conf1") + GAIN)).select("a", "subject", "freq", "conf"))
-    rules = [(tuple(r.a), r.subject, math.log((r.freq + 0.5) / (r.freq / r.conf - r.freq + 0.5))) for r in good.collect()]
-    return Rules(rules, types)
+    words = tx.select(F.floor(F.col("class") / 2).alias("subject"), F.explode("words").alias("w")).groupBy("w", "subject").agg(n.alias("n"))
+    words = words.groupBy("w").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter((F.col("n") >= WORD_SEEN) & (F.col("most") >= WORD_SHARE * F.col("n"))).select("w", "n")
+    kept = tx.withColumn("t", F.monotonically_increasing_id()).select("t", "class", F.explode("words").alias("w")).join(words, "w")
+    kept = kept.groupBy("t", "class").agg(F.transform(F.sort_array(F.collect_set(F.struct((-F.col("n")).alias("n"), "w"))), lambda x: x["w"]).alias("items"))
+    kept = stored(kept.groupBy("items", "class").agg(n.alias("n")), "items")
+
+    def by_subject(x: np.ndarray) -> np.ndarray:
+        return x.reshape(-1, 2).sum(1)
+
+    def good(x: np.ndarray) -> bool:
+        return by_subject(x).max() >= SUPPORT
+
+    def keep(x: np.ndarray) -> bool:
+        return any(m.max() >= SUPPORT and m.max() >= CONFIDENCE * m.sum() for m in (by_subject(x), x[0::2], x[1::2]))
+
+    sets = [(tuple(r["items"]), np.array(r["counts"])) for r in frequent_sets(kept, 2 * len(subjects), LONGEST, good, keep).collect()]
+    xs, ys = calibration(sets)
+
+    def rules(part: list[tuple[tuple[str, ...], np.ndarray]]) -> Rules:
+        return Rules([(a, subjects[c], _mapped(odds, xs, ys)) for a, c, odds in chosen(part)], types)
+
+    return rules([(a, by_subject(x)) for a, x in sets]), rules([(a, x[0::2]) for a, x in sets]), rules([(a, x[1::2]) for a, x in sets])
+
+
+def _mapped(odds: float, xs: list[float], ys: list[float]) -> float:
+    """The calibrated evidence, always more than none; beyond the curve it goes on as it is."""
+    if odds >= xs[-1]:
+        return max(0.05, ys[-1] + (odds - xs[-1]))
+    return max(0.05, float(np.interp(odds, xs, ys)))
 
 
 def _scores(docs: DataFrame, held) -> DataFrame:
-    """key, subject, share, words: of each document the subjects of any of its sentences."""
+    """key, subject, share, words: of each document the subjects of any of its sentences. held: rules for all, or a list with those for each fold."""
+    folds = "fold" in docs.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rules = held.value
         for b in batches:
             rows = []
-            for k, t, kind in zip(b.key, b.text, b.type):
-                shares, total = rules.shares(t, None if pd.isna(kind) else int(kind))
+            for k, t, kind, f in zip(b.key, b.text, b.type, b.fold if folds else b.key):
+                own = rules[f] if folds else rules
+                shares, total = own.shares(t, None if pd.isna(kind) else int(kind))
                 rows += [(k, c, s, total) for c, s in shares.items()]
             yield pd.DataFrame(rows, columns=["key", "subject", "share", "words"])
 
@@ -169,6 +231,7 @@ def fit(df: DataFrame, labels: DataFrame):
     short = df.filter((F.length("text") > 0) & (F.length("text") <= FIT_CHARS))
     sample = stored(short.join(bounded(labels, "key", FIT_LABELLED), "key"), "labelled")
     pairs = sample.select("type", F.explode("subjects").alias("c")).groupBy("type", "c").count().collect()
+    subjects = sorted({r.c for r in pairs})
     of_type, of_subject, total = Counter(), Counter(), 0
     for r in pairs:
         if r.type is not None:
@@ -177,17 +240,17 @@ def fit(df: DataFrame, labels: DataFrame):
             total += r["count"]
     types = {(int(r.type), r.c): max(-1.0, min(1.0, math.log((r["count"] + 1) * total / ((of_type[r.type] + 8) * of_subject[r.c])))) for r in pairs if r.type is not None}
     one = sample.filter(F.size("subjects") == 1).select("text", F.col("subjects")[0].alias("subject"))
-    rules = mine(one, types)
-    more = stored(bounded(df, "key", FIT_MORE).filter((F.length("text") > 0) & (F.length("text") <= FIT_CHARS)).join(labels, "key", "left_anti"), "more") if rules.single else None
+    rules = mine(one, types, subjects)
+    more = stored(bounded(df, "key", FIT_MORE).filter((F.length("text") > 0) & (F.length("text") <= FIT_CHARS)).join(labels, "key", "left_anti"), "more") if rules[0].single else None
     for _ in range(ROUNDS if more is not None else 0):
-        held = sc.broadcast(rules)
+        held = sc.broadcast(rules[0])
         best = F.max(F.struct("share", "subject"))
         sure = _scores(more.select("key", "text", "type"), held).groupBy("key").agg(best.alias("x"), F.sum("share").alias("all")).filter((F.col("x.share") >= SURE) & (F.col("all") - F.col("x.share") <= OTHER))
-        rules = mine(one.unionByName(more.join(sure.select("key", F.col("x.subject").alias("subject")), "key").select("text", "subject")), types)
-    held = sc.broadcast(rules)
+        rules = mine(one.unionByName(more.join(sure.select("key", F.col("x.subject").alias("subject")), "key").select("text", "subject")), types, subjects)
     truth = {r.key: set(r.subjects) for r in sample.select("key", "subjects").collect()}
-    scored = [(r.key, r.subject, r.share) for r in _scores(sample.select("key", "text", "type"), held).select("key", "subject", "share").collect()]
-    return held, calibrated(scored, truth)
+    apart = sc.broadcast([rules[2], rules[1]])  # a document of fold 0 meets the rules of fold 1
+    scored = [(r.key, r.subject, r.share) for r in _scores(sample.select("key", "text", "type", fold("text").alias("fold")), apart).select("key", "subject", "share").collect()]
+    return sc.broadcast(rules[0]), calibrated(scored, truth)
 
 
 def calibrated(scored: list[tuple[int, int, float]], truth: dict[int, set[int]]) -> float:

@@ -324,3 +324,33 @@ def test_one_text_of_an_id(spark):
     df = spark.createDataFrame([(1, eng + "\n\n" + deu, "en"), (1, deu, "de"), *[(i, t, "x") for i, t in enumerate([eng, deu] * 10, 2)]], "id long, text_content string, language string")
     got = {(r.segment, r.language) for r in langid.languages(df).filter("id = 1").collect()}
     assert got in ({(0, "deu")}, {(0, "eng"), (1, "eng"), (2, "deu")}, {(0, "deu"), (1, "eng"), (2, "deu")})
+
+
+def test_growth_against_brute_force():
+    import itertools
+
+    from foliant.llm import growth
+
+    rnd = random.Random(9)
+    order = "abcdefg"
+    tx = [(tuple(sorted(rnd.sample(order, rnd.randint(1, 5)))), np.eye(3, dtype=int)[rnd.randrange(3)]) for _ in range(200)]
+    for longest in (1, 2, 3):
+        got = {tuple(sorted(s)): n.tolist() for s, n in growth.grow(tx, 3, longest, lambda n: n.max() >= 4)}
+        want = {}
+        for k in range(1, longest + 1):
+            for s in itertools.combinations(order, k):
+                n = sum((n for t, n in tx if set(s) <= set(t)), np.zeros(3, int))
+                if n.max() >= 4:
+                    want[s] = n.tolist()
+        assert got == want
+
+
+def test_rules_from_a_standing_sentence(spark):
+    """A long sentence that stands in many texts makes no more than its pairs of words."""
+    import time
+
+    standing = " ".join(f"{a}{b}" for a in WORDS[:8] for b in WORDS[8:13]) + "."
+    rows = [(f"{standing} This is text {i} about {WORDS[i % 5]} and so on.", 1 + i % 2) for i in range(100)]
+    began = time.time()
+    rules = subjects.mine(spark.createDataFrame(rows + [(standing, 1)] * 100, "text string, subject int"), {}, [1, 2])
+    assert time.time() - began < 60 and 0 < len(rules[0].single) + sum(map(len, rules[0].double.values())) <= 41 * 40
