@@ -354,3 +354,18 @@ def test_rules_from_a_standing_sentence(spark):
     began = time.time()
     rules = subjects.mine(spark.createDataFrame(rows + [(standing, 1)] * 100, "text string, subject int"), {}, [1, 2])
     assert time.time() - began < 60 and 0 < len(rules[0].single) + sum(map(len, rules[0].double.values())) <= 41 * 40
+
+
+@pytest.mark.parametrize("text, state", [("<div><p>All is <b>well</b>.", "cut"), ("<div><p>All is <b>well</b>.</div>", "complete"), ("Write to <a@b.c> today.", "complete"), ("It is done. <a href='" + "x" * 200, "cut"), ("First one. " + "and so on " * 900 + "without an", "cut"), ("See page 37.", "complete"), ("He came.\n\nYours sincerely,\nAnna Perez", "name")])
+def test_endings(text, state):
+    assert truncated.ending(text)[0].replace("open", "cut") == state
+    assert truncated.last_word("the " + "w" * 300 + ")") == "w" * 300
+
+
+def test_habit_of_a_source(spark):
+    rnd = random.Random(2)
+    sentence = lambda: " ".join([*(rnd.choice(WORDS) for _ in range(9)), rnd.choice(["today", "again", "there"])])
+    rows = [(i, f"{sentence().capitalize()}. {sentence().capitalize()}." if i % 2 else f"{sentence().capitalize()}. {sentence().capitalize()}", "ab"[i % 2]) for i in range(200)]
+    rows += [(1000, "It is well. The harbour and the", "b"), (1001, "It is well. Meadow of the mead", "a"), (1002, "A list.\n- copper kettle\n- marble or\n- iron ket", "b")]
+    got = {r.doc_id for r in truncated.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("cut").collect()}
+    assert {1000, 1001, 1002} <= got and not any(i % 2 == 0 for i in got if i < 200)
