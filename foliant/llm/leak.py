@@ -6,10 +6,10 @@ once. Where a shingle is hit, the passage is followed in each item that has it t
 were altered, dropped, added, split or joined, as long as the words around them go on in the item's order; it counts if it
 covers at least 20 words of the item and most of these are unaltered. Offsets are mapped to the original text.
 
-The broadcast is bounded: items are taken in chunks of at most CHUNK_ITEMS, each with its own scan; one chunk is the usual case.
-Texts are scanned where they lie; nothing but the hits is shuffled.
+The driver and the broadcast are bounded: items are taken in chunks of at most CHUNK_ITEMS, one after the other, each with its own scan whose hits are
+stored; one chunk is the usual case. Texts are scanned where they lie; nothing but the hits is shuffled.
 
-Defined results: null, empty and wordless texts and items under 20 words are never found; rows of one document id count once for each item; items with the same text are all found; a passage found several times in
+Defined results: null, empty and wordless texts and items under 20 words are never found; rows of one document id count once for each item, rows of one item id with the first text; items with the same text are all found; a passage found several times in
 a document is reported with the longest (of these the first) place.
 """
 
@@ -24,15 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import stored
+
 SHINGLE, LEAST = 5, 20
-#: Of the words a passage covers, this share at least is unaltered.
-UNALTERED = 0.88
+#: Of the words a passage covers, this share at least is unaltered; of a long one (LONG words), this.
+UNALTERED, LONG, UNALTERED_LONG = 0.88, 30, 0.8
 CHUNK_ITEMS = 20_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f]+")
 _BROKEN = re.compile(r"(?<=[^\W_])[-\u00ad\u2010\u00ac]\s*\n\s*(?=[^\W\d_])")
-_WORD_ACROSS = re.compile("(?:[^\\W_][\u0300-\u036f]*)+(?:[-\u00ad\u2010\u00ac]\\s*\\n\\s*[^\\W\\d_](?:[^\\W_]|[\u0300-\u036f])*)*")
 
 
 def words(text: str) -> list[str]:
@@ -46,23 +47,36 @@ def words(text: str) -> list[str]:
 
 
 def offsets(text: str) -> list[tuple[int, int]]:
-    """The place of each of words(text) in the text itself."""
-    return [m.span() for m in _WORD_ACROSS.finditer(text)]
+    """The place of each of words(text) in the text itself: the text is normalised sign by sign, with the place of each."""
+    signs, places = [], []
+    for i, c in enumerate(text):
+        for x in c if c.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", c.casefold())):
+            signs.append(x)
+            places.append(i)
+    s = "".join(signs).casefold()  # ASCII signs keep their length
+    for m in reversed(list(_BROKEN.finditer(s))):
+        s = s[: m.start()] + s[m.end() :]
+        del places[m.start() : m.end()]
+    return [(places[m.start()], places[m.end() - 1] + 1) for m in _WORD.finditer(s)]
 
 
 def follow(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int, int, int]:
-    """From a[i] = b[j] on in one direction: the last equal place (i, j) and how many words were equal on the way (the first not counted)."""
+    """From a[i] = b[j] on in one direction: the last equal place (i, j) and how many words were equal on the way (the first not counted).
+    A word that was altered, dropped, added, split or joined is stepped over if the text goes on in the item's order: the next two words are equal,
+    or one, then after another single alteration two, or one and the item is at its end."""
     equal = 0
     n, m = len(a), len(b)
+
+    def same(x: int, y: int) -> bool:
+        return 0 <= x < n and 0 <= y < m and a[x] == b[y]
+
     while True:
-        x, y = i + step, j + step
-        if 0 <= x < n and 0 <= y < m and a[x] == b[y]:
-            i, j, equal = x, y, equal + 1
+        if same(i + step, j + step):
+            i, j, equal = i + step, j + step, equal + 1
             continue
         for di, dj in ((1, 1), (1, 0), (0, 1), (1, 2), (2, 1)):
             x, y = i + step * (di + 1), j + step * (dj + 1)
-            u, v = x + step, y + step
-            if 0 <= x < n and 0 <= y < m and a[x] == b[y] and (not 0 <= u < n or (0 <= v < m and a[u] == b[v])):
+            if same(x, y) and (not 0 <= x + step < n or same(x + step, y + step) or same(x + 2 * step, y + 2 * step) and same(x + 3 * step, y + 3 * step)):
                 i, j, equal = x, y, equal + 1
                 break
         else:
@@ -117,21 +131,21 @@ class Items:
                 i1, j1, right = follow(a, ws, i + SHINGLE - 1, j + SHINGLE - 1, 1)
                 seen.append((j0, j1, j - i))
                 span = i1 - i0 + 1
-                if span >= LEAST and left + right + SHINGLE >= UNALTERED * span and (item not in best or span > best[item][1] - best[item][0]):
+                if span >= LEAST and left + right + SHINGLE >= (UNALTERED_LONG if span >= LONG else UNALTERED) * span and (item not in best or span > best[item][1] - best[item][0]):
                     best[item] = (i0, i1 + 1, j0, j1 + 1)
         return [(twin, *p) for item, p in best.items() for twin in self.twins[item]]
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     """key, item_id, words (of the item covered), item_from, item_to (words), start, end (characters of the document)."""
-    bench = items.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").dropDuplicates(["i"])
-    chunks = -(-bench.count() // CHUNK_ITEMS)
-    bench = bench.withColumn("c", F.pmod(F.xxhash64("i"), F.lit(max(1, chunks))))
+    bench = items.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").groupBy("i").agg(F.min("t").alias("t"))
+    chunks = max(1, -(-bench.count() // chunk_items))
+    bench = bench.withColumn("c", F.pmod(F.xxhash64("i"), F.lit(chunks)))
     kt = dict(docs.dtypes)[key]
     schema = f"key {kt}, item_id long, words int, item_from int, item_to int, start int, end int"
     df = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
     out = None
-    for c in range(max(1, chunks)):
+    for c in range(chunks):
         held = docs.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in bench.filter(F.col("c") == c).collect()])
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -141,11 +155,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 for k, t in zip(b.key, b.text):
                     if found := them.find(t):
                         places = offsets(t)
-                        top = len(places) - 1  # signs that are words of their own only when taken apart may shift places
-                        rows += [(k, x, i1 - i0, i0, i1, places[min(j0, top)][0], places[min(j1 - 1, top)][1]) for x, i0, i1, j0, j1 in found]
+                        rows += [(k, x, i1 - i0, i0, i1, places[j0][0], places[j1 - 1][1]) for x, i0, i1, j0, j1 in found]
                 yield pd.DataFrame(rows, columns=["key", "item_id", "words", "item_from", "item_to", "start", "end"])
 
         one = df.mapInPandas(run, schema)
+        if chunks > 1:
+            one = stored(one, "leaks")
+            held.unpersist()
         out = one if out is None else out.unionByName(one)
     first = F.max_by(F.struct("words", "item_from", "item_to", "start", "end"), F.struct("words", -F.col("start")))
     return out.groupBy("key", "item_id").agg(first.alias("x")).select(F.col("key").alias(key), "item_id", "x.*")

@@ -369,3 +369,24 @@ def test_habit_of_a_source(spark):
     rows += [(1000, "It is well. The harbour and the", "b"), (1001, "It is well. Meadow of the mead", "a"), (1002, "A list.\n- copper kettle\n- marble or\n- iron ket", "b")]
     got = {r.doc_id for r in truncated.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("cut").collect()}
     assert {1000, 1001, 1002} <= got and not any(i % 2 == 0 for i in got if i < 200)
+
+
+def test_leak_places_and_alterations():
+    rnd = random.Random(12)
+    for text in ("Straße ﬁne½ A\u0301b co-\noperate İx ½ x\u00ady don't", "plain words, no more", "²x ǆ ﬀ \u0344 a-\n\nb"):
+        places = leak.offsets(text)
+        assert len(places) == len(leak.words(text)) and all(w in leak.words(text[a:b]) for w, (a, b) in zip(leak.words(text), places))
+    item = [f"{rnd.choice(WORDS)}{i}" for i in range(40)]
+    ws = list(item)
+    ws[8], ws[10], ws[30] = "x", "y", "z"  # two alterations with one word between
+    (found,) = leak.Items([(1, " ".join(item))]).find("before " + " ".join(ws) + " after")
+    assert found[1:3] == (0, 40)
+
+
+def test_leak_in_chunks(spark):
+    rnd = random.Random(14)
+    items = [(i, " ".join(f"{rnd.choice(WORDS)}{rnd.randrange(50)}" for _ in range(30))) for i in range(20)]
+    docs = spark.createDataFrame([(i, f"Before. {t} After.") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items + [(3, "zz " * 30)], "item_id long, text string")
+    got = {tuple(r) for r in leak.leaks(docs, bench).collect()}
+    assert len(got) >= 20 and got == {tuple(r) for r in leak.leaks(docs, bench, chunk_items=4).collect()}
