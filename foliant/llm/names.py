@@ -251,7 +251,9 @@ def _match(wa: tuple[str, ...], wb: tuple[str, ...], least: float) -> bool:
     return len(wa) <= len(wb)
 
 
-_PARSED = "id long, kind string, words array<string>, initials array<string>, line string, native string"
+_PARSED = "id long, kind string, words array<string>, initials array<string>, line string, native string, legal boolean"
+#: Besides the words of LINES, one that stands in names with a legal form beside so many different words is a line of business.
+HOUSES = 3
 
 
 def readings(people: DataFrame, key: str, name: str, native: str) -> DataFrame:
@@ -262,10 +264,31 @@ def readings(people: DataFrame, key: str, name: str, native: str) -> DataFrame:
         rows = []
         for i, n, nat in zip(b.id, b.name, b.native):
             k, w, ini, line = read_name(n if isinstance(n, str) else None)
-            rows.append((i, k, list(w), list(ini), line, native_key(nat if isinstance(nat, str) else None)))
-        return pd.DataFrame(rows, columns=["id", "kind", "words", "initials", "line", "native"])
-
-    return in_batches(df, run, _PARSED)
+            legal = k == "o" and any(x in LEGAL for x in re.findall(r"[^\W\d_]+", n.lower().replace(".", "")))
+            rows.append((i, k, list(w), list(ini), line, native_key(nat if isinstance(nat, str) else None), legal))
+        return pd.DataFrame(rows, columns=["id", "kind", "words", "initials", "line", "native", "legal"])
+
+    return _organisations(stored(in_batches(df, run, _PARSED), "parsed"))
+
+
+def _organisations(rows: DataFrame) -> DataFrame:
+    """The readings with lines of business as the table has them, and with names without a legal form taken for the organisation that has one."""
+    given = F.array(*[F.lit(w) for w in sorted(_NICK)])
+    firm = rows.filter("kind = 'o' and size(words) > 1")
+    word = firm.filter("legal").select(F.explode("words").alias("w"), F.array_join("words", " ").alias("all")).filter(~F.array_contains(given, F.col("w")))
+    lines = word.groupBy("w").agg(F.count_distinct("all").alias("n")).filter(F.col("n") >= HOUSES).select("w")
+    hits = rows.filter("size(words) > 1").select("id", F.explode("words").alias("w")).join(lines, "w").groupBy("id").agg(F.array_sort(F.collect_set("w")).alias("own"))
+    # A name of the same two words or more as one with a legal form, if none of them is a given name.
+    plain = rows.filter("kind = 'p' and size(words) > 1 and size(initials) = 0").select("id", F.array_join("words", " ").alias("all")).filter(~F.arrays_overlap(F.split("all", " "), given))
+    same = plain.join(firm.filter("legal and line = ''").select(F.array_join("words", " ").alias("all")).distinct(), "all", "left_semi").select("id", F.lit(True).alias("same"))
+    both = rows.join(hits, "id", "left").join(same, "id", "left")
+    rest = F.array_except("words", "own")
+    turns = F.col("own").isNotNull() & (F.size(rest) > 0) & (F.size("initials") == 0) & (F.col("line") == "")
+    firmly = turns | F.coalesce("same", F.lit(False))
+    return both.select(
+        "id", F.when(firmly, F.lit("o")).otherwise(F.col("kind")).alias("kind"), F.when(turns, rest).otherwise(F.col("words")).alias("words"), "initials",
+        F.when(turns, F.col("own")[0]).otherwise(F.col("line")).alias("line"), "native",
+    )
 
 
 def _keys(word: str, near: bool = False) -> set[str]:
@@ -348,15 +371,16 @@ def candidates(recs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, comp: the least node of each node's connected component, by label propagation; rounds go through the shared folder."""
     both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).dropDuplicates(), "edges")
-    labels = stored(nodes.select("node", F.col("node").alias("comp")), "labels")
+    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("comp")), "labels")  # only nodes with edges take part
     while True:
         got = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("comp").alias("least"))
-        new = labels.join(got, labels["node"] == got["x"], "left").select("node", F.least("comp", F.coalesce("least", "comp")).alias("comp"), F.col("comp").alias("old"))
+        new = labels.join(got, labels["node"] == got["x"]).select("node", F.least("comp", "least").alias("comp"), F.col("comp").alias("old"))
         jump = new.select(F.col("node").alias("c"), F.col("comp").alias("to"))
-        new = stored(new.join(jump, F.col("comp") == F.col("c")).select("node", F.col("to").alias("comp"), "old"), "labels")
-        if new.filter("comp <> old").limit(1).count() == 0:
-            return new.select("node", "comp")
+        new = stored(new.join(jump, F.col("comp") == F.col("c")).select("node", F.least("comp", "to").alias("comp"), "old"), "labels")
         labels = new.select("node", "comp")
+        if new.filter("comp <> old").limit(1).count() == 0:
+            break
+    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
 def entities(people: DataFrame, key: str = "id", name: str = "name", native: str = "name_native") -> DataFrame:

@@ -390,3 +390,9 @@ def test_leak_in_chunks(spark):
     bench = spark.createDataFrame(items + [(3, "zz " * 30)], "item_id long, text string")
     got = {tuple(r) for r in leak.leaks(docs, bench).collect()}
     assert len(got) >= 20 and got == {tuple(r) for r in leak.leaks(docs, bench, chunk_items=4).collect()}
+
+
+def test_lines_of_business_are_learned(spark):
+    people = ["Gambodu Robotics Ltd", "Gambodu Robotics", "Nervam Optics Ltd", "Salgrez Optics GmbH", "Bodkar Optics S.A.", "Pergur Optics", "Pergur Optics AG", "Pergur", "Misfev Optics", "Maria Perez", "Anna Optics Perez"]
+    df = spark.createDataFrame([(i, n, None) for i, n in enumerate(people)], "id long, name string, name_native string")
+    assert {(r.id_a, r.id_b) for r in names.same_pairs(df).collect()} == {(0, 1), (5, 6)}
