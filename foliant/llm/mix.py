@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,13 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(path: str = TOKENIZER):
-    """The tokenizer of a vocabulary file of ranks, one for each process."""
+    """The tokenizer of a vocabulary file of ranks, one for each process; the file has to lie at the path on every machine."""
     if path not in _ENCODERS:
         import tiktoken
 
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"no vocabulary file at {path}: give its path on the executors as `path`")
+
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -120,10 +124,10 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     """shard, slot, source, turn, block, at, key, first, last: the slices of documents (in tokens) in the order of the mixture.
     Sort by shard, slot, at to read it. targets: source, weight, max_repeats (a list of sources, one row each)."""
     spark = docs.sparkSession
-    parts = stored(slices(stored(token_counts(docs, key, text, source, path), "tokens")), "slices")
     want = {r.source: (float(r.w or 0), int(r.m or 0)) for r in targets.filter("source is not null").groupBy("source").agg(F.max("weight").alias("w"), F.max("max_repeats").alias("m")).collect()}
-    listed = spark.createDataFrame([(s,) for s in want], "source string") if want else None
-    blocks = {} if listed is None else {r.source: int(r.n) for r in parts.join(F.broadcast(listed), "source", "left_semi").groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}
+    usable = [s for s, (w, r) in want.items() if w > 0 and r >= 1]
+    parts = stored(slices(stored(token_counts(docs.filter(F.col(source).isin(usable)), key, text, source, path), "tokens")), "slices")  # what no target names is not tokenised
+    blocks = {r.source: int(r.n) for r in parts.groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}
     names, w, slots = plan(blocks, want, total_blocks)
     shards = -(-slots // SLOTS) if names else 0
     n = np.array([blocks[s] for s in names])
