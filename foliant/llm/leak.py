@@ -30,6 +30,8 @@ SHINGLE, LEAST = 5, 20
 #: Of the words a passage covers, this share at least is unaltered; of a long one (LONG words), this.
 UNALTERED, LONG, UNALTERED_LONG = 0.88, 30, 0.8
 CHUNK_ITEMS = 20_000
+#: Words of the item and of the text that are stepped over: altered, dropped, added, split, joined.
+STEPS = ((1, 1), (1, 0), (0, 1), (1, 2), (2, 1))
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f]+")
@@ -71,12 +73,13 @@ def follow(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int,
         return 0 <= x < n and 0 <= y < m and a[x] == b[y]
 
     while True:
-        if same(i + step, j + step):
-            i, j, equal = i + step, j + step, equal + 1
-            continue
-        for di, dj in ((1, 1), (1, 0), (0, 1), (1, 2), (2, 1)):
+        x, y = i + step, j + step
+        while 0 <= x < n and 0 <= y < m and a[x] == b[y]:
+            x, y, equal = x + step, y + step, equal + 1
+        i, j = x - step, y - step
+        for di, dj in STEPS:
             x, y = i + step * (di + 1), j + step * (dj + 1)
-            if same(x, y) and (not 0 <= x + step < n or same(x + step, y + step) or same(x + 2 * step, y + 2 * step) and same(x + 3 * step, y + 3 * step)):
+            if 0 <= x < n and 0 <= y < m and a[x] == b[y] and (not 0 <= x + step < n or same(x + step, y + step) or same(x + 2 * step, y + 2 * step) and same(x + 3 * step, y + 3 * step)):
                 i, j, equal = x, y, equal + 1
                 break
         else:
