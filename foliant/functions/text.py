@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 _SPACE = r"(?U)\s+"
 _CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+_CJK_SIGNS = re.compile("[\u3005\u3007\u3021-\u3029\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f\u1100-\u11ff\u3131-\u318e\uac00-\ud7a3\uff66-\uff9f]")
 # Signs that clean_up drops; scripts that count as non-Latin.
 DROPPED = "$€£¥¢%&*+=<>^|~@#\\_[]{}"
 _NON_LATIN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsCyrillic}\p{IsGreek}\p{IsArabic}\p{IsHebrew}\p{IsDevanagari}\p{IsThai}\p{IsBengali}]"
@@ -38,6 +39,12 @@ def estimate_tokens(c: Column) -> Column:
     return F.when(n == 0, 0).when(cjk > n * F.lit(0.1), dense).otherwise(F.ceil(n / F.lit(4.0))).cast("int")
 
 
+def estimate_tokens_of(s: str) -> int:
+    """`estimate_tokens` of one string."""
+    n, cjk = len(s), len(_CJK_SIGNS.findall(s))
+    return -int(-(cjk * 1.5 + (n - cjk) / 4) // 1) if cjk > n * 0.1 else -(-n // 4)
+
+
 def clean_up(c: Column) -> Column:
     return F.translate(c, DROPPED, "")
 
@@ -101,15 +108,51 @@ def sanitize_filename(c: Column) -> Column:
     return F.translate(F.translate(c, "/\\", "__"), "\r\n\"'\0", "")
 
 
+def _tenths(x: Column) -> Column:
+    """One decimal, ties to even as the number is held."""
+    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+
+
 def format_bytes(n: Column) -> Column:
-    kb, mb, gb = 1024.0, 1048576.0, 1073741824.0
-    f = lambda d, u: F.format_string(f"%.1f {u}", n / F.lit(d))
-    return F.when(n >= gb, f(gb, "GB")).when(n >= mb, f(mb, "MB")).when(n >= kb, f(kb, "KB")).otherwise(F.format_string("%d B", n))
+    """Bytes in binary units, up to GiB."""
+    out = F.format_string("%d B", n)
+    for power, unit in enumerate(("KiB", "MiB", "GiB"), 1):
+        out = F.when(n >= 1024**power, F.concat(_tenths(n / F.lit(float(1024**power))), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def format_size(n: Column) -> Column:
+    """Bytes as listings show them: one letter for the unit, up to EB."""
+    out = F.format_string("%d B", n)
+    for power, unit in enumerate("KMGTPE", 1):
+        out = F.when(n >= 1024**power, F.concat(_tenths(n / F.lit(float(1024**power))), F.lit(f" {unit}B"))).otherwise(out)
+    return out
 
 
 def human_duration(ms: Column) -> Column:
-    s = F.floor(ms / 1000)
-    return F.when(ms < 1000, F.format_string("%dms", ms)).when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s / 60) % 60))
+    """Milliseconds: tenths of seconds under a minute, whole seconds (rounded) from there on."""
+    s = F.round(ms / F.lit(1000.0)).cast("long")
+    h, m = F.floor(s / 3600), F.floor(s / 60) % 60
+    short = F.concat(_tenths(ms / F.lit(1000.0)), F.lit("s"))
+    return F.when(ms < 60_000, short).when(ms < 3_600_000, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %dm %ds", h, m, s % 60))
+
+
+def quote_identifier(name: str) -> str:
+    """A name between double quotes, for SQL."""
+    return '"' + name.replace('"', '""') + '"'
+
+
+def quote_literal(value: str | None) -> str:
+    """A string between single quotes, for SQL; a backslash makes it an escape string."""
+    if value is None:
+        return "NULL"
+    s = value.replace("'", "''")
+    return f" E'{s.replace(chr(92), chr(92) * 2)}'" if "\\" in s else f"'{s}'"
+
+
+def highlight(c: Column, on: str = "\x1b[1;33m", off: str = "\x1b[0m") -> Column:
+    """A snippet for a terminal: what stands between <b> and </b> in colour."""
+    return F.replace(F.replace(c, F.lit("<b>"), F.lit(on)), F.lit("</b>"), F.lit(off))
 
 
 def max_match_body_bytes(n: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from foliant.operators.ingest import rewrite_prefix
 
+DEFAULT_HOUR = 2
+
 
 def export(tables: dict[str, DataFrame], path: str, at: datetime) -> dict:
     """Write each table as parquet under path, and the manifest last: a backup without one is not complete."""
@@ -40,17 +42,18 @@ def expired(names: list[str], keep: int) -> list[str]:
 
 
 def next_time(after: datetime, days: float, hhmm: str) -> datetime:
-    """From a day on: so many days later at the time of day; under a day: steps from today's time until one is later; nothing positive is a day."""
+    """From a day on: so many days later at the time of day; under a day: steps on from today's time until one is later; nothing positive is a day, an
+    empty or unreadable time of day is 02:00."""
     days = days if days > 0 else 1
-    h, m = map(int, hhmm.split(":"))
+    try:
+        h, m = divmod(minutes(hhmm), 60)
+    except ValueError:
+        h, m = DEFAULT_HOUR, 0
     at = after.replace(hour=h, minute=m, second=0, microsecond=0)
     if days >= 1:
         return at + timedelta(days=int(days))
     step = timedelta(days=days)
-    if at > after:
-        at -= ((at - after) // step) * step
-        return at if at > after else at + step
-    return at + ((after - at) // step + 1) * step
+    return at if at > after else at + ((after - at) // step + 1) * step
 
 
 def minutes(hhmm: str, end: bool = False) -> int:

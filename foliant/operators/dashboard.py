@@ -169,15 +169,15 @@ def distinct_languages(a: Archive) -> DataFrame:
 
 
 def batch_terminal_status(a: Archive) -> DataFrame:
-    """What a batch ends as: terminal statuses stay; any failed task makes it failed, else completed."""
-    t = a.task.filter("batch_id is not null").groupBy(F.col("batch_id").alias("id")).agg(F.max(F.col("status") == "failed").alias("failed"), F.max(F.col("status").isin("pending", "processing")).alias("busy"))
+    """What a batch ends as when its run is over: terminal statuses and a pause stay; any failed task makes it failed, else completed."""
+    t = a.task.filter("batch_id is not null and status = 'failed'").select(F.col("batch_id").alias("id"), F.lit(True).alias("failed")).distinct()
     x = a.batch.join(t, "id", "left")
-    s = F.when(F.col("status").isin("completed", "failed", "cancelled"), F.col("status")).when(F.coalesce("busy", F.lit(False)), F.col("status")).when(F.coalesce("failed", F.lit(False)), "failed").otherwise("completed")
+    s = F.when(F.col("status").isin("completed", "failed", "cancelled", "paused"), F.col("status")).when(F.coalesce("failed", F.lit(False)), "failed").otherwise("completed")
     return x.select(F.col("id").alias("batch_id"), s.alias("final_status"))
 
 
 def progress_totals(a: Archive) -> DataFrame:
-    """Files of a batch: one more than the largest file index of its consume tasks, or their number where no index is given."""
+    """Files of a batch: the largest file index of its consume tasks (they count from one), or their number where none is given."""
     i = F.get_json_object("payload", "$.file_index").try_cast("int")
     t = a.task.filter("task_type = 'consume' and batch_id is not null").groupBy("batch_id").agg(F.max(i).alias("most"), _count().alias("n"))
-    return t.select("batch_id", F.coalesce(F.col("most") + 1, F.col("n")).cast("long").alias("files"))
+    return t.select("batch_id", F.when(F.col("most") > 0, F.col("most")).otherwise(F.col("n")).cast("long").alias("files"))

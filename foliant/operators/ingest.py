@@ -48,9 +48,10 @@ def orphan_files(files: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def needs_ocr(text: Column, size: Column, kind: Column) -> Column:
-    """Is a pdf's text too sparse for its size? Other files keep sparse text."""
-    density = F.octet_length(F.coalesce(text, F.lit(""))) / F.greatest(size, F.lit(1))
-    return (kind == "application/pdf") & (density < LEAST_DENSITY)
+    """Has a file no text, or a pdf too little for its size (that of the file the text was taken from)? Other files keep sparse text."""
+    given = F.coalesce(text, F.lit(""))
+    sparse = F.octet_length(given) / F.greatest(size, F.lit(1)) < LEAST_DENSITY
+    return (given == "") | (F.coalesce(kind == "application/pdf", F.lit(False)) & F.coalesce(sparse, F.lit(False)))
 
 
 def storage_path(root: str, uuid: Column, ext: Column, at: Column, kind: str = "processed") -> Column:

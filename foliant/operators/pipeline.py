@@ -15,11 +15,15 @@ from foliant.functions.text import head_tail_words
 from foliant.operators import enrich, state
 
 MOST_LIVE = 4
+#: Names that a document without matches may be given; what is broadcast is at most so long.
+MOST_NAMES = 20_000
 
 
 def suggestions(documents: DataFrame, matches: DataFrame, tags: DataFrame) -> DataFrame:
-    """id, tags: the names matched to each document, best first; a document without matches gets all names (one small array, added to each row).
-    matches: q, t (name), similarity."""
+    """id, tags: the names matched to each document, best first; a document without matches gets all names, of which there may be MOST_NAMES (a longer list
+    goes into no prompt: an error). matches: q, t (name), similarity."""
+    if (n := tags.select("name").distinct().count()) > MOST_NAMES:
+        raise ValueError(f"{n} names are too many to suggest to a document without matches")
     m = matches.groupBy(F.col("q").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "t"))), lambda x: x["t"]).alias("m"))
     every = tags.agg(F.array_sort(F.collect_set("name")).alias("every"))
     return documents.select("id").join(m, "id", "left").join(F.broadcast(every), F.lit(True)).select("id", F.coalesce("m", "every").alias("tags"))
@@ -35,8 +39,7 @@ def relink_tags(tag: DataFrame, document_tag: DataFrame, wanted: DataFrame, at:
     """(tag, document_tag) after the documents in wanted (document_id, tags) got exactly these tags; missing tags are created once."""
     w = wanted.select("document_id", F.explode_outer("tags").alias("name"))
     free = w.filter("name is not null").select("name").distinct().join(tag.select("name"), "name", "left_anti")
-    top = tag.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    new = free.join(F.broadcast(top), F.lit(True)).select((F.col("_top") + F.row_number().over(Window.orderBy("name"))).alias("id"), "name", at.alias("created_at"))
+    new = state.numbered(free, ["name"], tag).select("id", "name", at.alias("created_at"))
     tags = tag.unionByName(new)
     ids = tags.groupBy("name").agg(F.min("id").alias("tag_id"))
     links = w.join(ids, "name").select("document_id", "tag_id").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field, replace
 
@@ -139,12 +140,44 @@ def format_query(f: Filter) -> str:
     return " ".join(out)
 
 
+def from_record(text: str) -> Filter:
+    """The filter that a saved search holds as JSON; unknown keys are left out."""
+    d = {k: v for k, v in (json.loads(text) or {}).items() if v is not None}
+    f: dict = {k: d[k] for k in ("query", "document_type", "language", "sort_by", "sort_order", "limit", "offset", "missing_language", "missing_type", "untagged") if k in d}
+    f |= {"tags": tuple(d["tags"])} if d.get("tags") else {}
+    f |= {"people": tuple((p["name"], p["type"]) for p in d["people"])} if d.get("people") else {}
+    for key, name, a, b in (("date_created", "created", "from", "to"), ("date_modified", "modified", "from", "to"), ("file_size", "size", "min", "max")):
+        if key in d:
+            f[name] = (d[key].get(a), d[key].get(b))
+    return Filter(**f)
+
+
+def to_record(f: Filter) -> str:
+    """A filter as the JSON of a saved search, without what it does not say."""
+    d: dict = {k: v for k in ("query", "document_type", "language", "missing_language", "missing_type", "untagged") if (v := getattr(f, k))}
+    d |= {"tags": list(f.tags)} if f.tags else {}
+    d |= {"people": [{"name": n, "type": t} for n, t in f.people]} if f.people else {}
+    for key, pair, a, b in (("date_created", f.created, "from", "to"), ("date_modified", f.modified, "from", "to"), ("file_size", f.size, "min", "max")):
+        if own := {k: v for k, v in ((a, pair[0]), (b, pair[1])) if v is not None}:
+            d[key] = own
+    return json.dumps(d | {"sort_by": f.sort_by, "sort_order": f.sort_order, "limit": f.limit, "offset": f.offset}, ensure_ascii=False)
+
+
+def saved(searches: DataFrame, search_id: int) -> Filter:
+    """The filter of a saved search."""
+    row = searches.filter(F.col("id") == search_id).select("filter_json").first()
+    if row is None:
+        raise KeyError(search_id)
+    return from_record(row.filter_json)
+
+
 def _between(c: Column, lo: object, hi: object, to=lambda v: F.lit(v)) -> list[Column]:
     return ([c >= to(lo)] if lo is not None else []) + ([c <= to(hi)] if hi is not None else [])
 
 
 def matching(a: Archive, f: Filter) -> DataFrame:
-    """The live documents that the filter lets through; empty parts of it add nothing to the plan."""
+    """The live documents that the filter lets through; empty parts of it add nothing to the plan. Where the archive has an index, full-text search reads
+    the query's lexemes there (and adds the rank); else it reads all texts."""
     df = a.live
     ts = lambda v: F.to_timestamp(F.lit(v))
     for p in _between(F.col("created_at"), *f.created, ts) + _between(F.col("modified_at"), *f.modified, ts) + _between(F.col("file_size"), *f.size):
@@ -167,7 +200,9 @@ def matching(a: Archive, f: Filter) -> DataFrame:
         df = df.join(a.document_people.join(p, "people_id", "left_semi").join(k, "people_type_id", "left_semi").select(F.col("document_id").alias("id")), "id", "left_semi")
     if f.untagged:
         df = df.join(a.document_tag.select(F.col("document_id").alias("id")), "id", "left_anti")
-    if q := f.query.strip():
+    if (q := f.query.strip()) and a.index:
+        df = df.join(fts.hits(fts.read_index(a.spark, a.index), q), "id")
+    elif q:
         df = df.filter(fts.matches(fts.index_text(F.col("title"), F.col("text_content")), q))
     return df
 
@@ -180,8 +215,8 @@ def search(a: Archive, f: Filter, snippets: bool = False) -> DataFrame:
     df = matching(a, f)
     q = f.query.strip()
     if q:
-        text = fts.index_text(F.col("title"), F.col("text_content"))
-        df = df.withColumn("rank", fts.rank(text, q))
+        if not a.index:
+            df = df.withColumn("rank", fts.rank(fts.index_text(F.col("title"), F.col("text_content")), q))
         order = [F.col("rank").asc() if f.rank_order == "asc" else F.col("rank").desc(), F.col("id")]
     else:
         by = F.col(f.sort_by if f.sort_by in SORTABLE else "created_at")

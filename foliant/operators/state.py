@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.schemas import OWNER_STALE_SECONDS
+from foliant.session import stored
 
 MAX_ATTEMPTS = 3
 STALE_SECONDS = 600
+EXHAUSTED = "Max retries exceeded"
 ACTIVE = ("waiting", "pending", "processing")
 
 
@@ -42,6 +44,19 @@ def delete(df: DataFrame, cond: Column) -> DataFrame:
     return df.filter(~F.coalesce(cond, F.lit(False)))
 
 
+def numbered(new: DataFrame, order: list[str], df: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """new with ids that go on from the largest of df, in the order of some columns. Rows are sorted over all tasks and numbered part by part; only one
+    row a part (its size) meets in one place."""
+    rows = stored(new.drop(key).orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    top = (df if df is not None else rows.sparkSession.createDataFrame([], f"{key} long")).agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
+    out = rows.withColumn("_part", part).join(F.broadcast(starts), "_part").join(F.broadcast(top), F.lit(True))
+    return out.withColumn(key, (F.col("_top") + F.col("_start") + place + 1).cast("long")).drop("_at", "_part", "_start", "_top")
+
+
 def _nothing() -> Column:
     return F.lit(None)
 
@@ -52,9 +67,7 @@ def enqueue(task: DataFrame, new: DataFrame) -> DataFrame:
     w = Window.partitionBy("task_type", "dedup_key").orderBy("task_id")
     one = new.withColumn("_rn", F.when(F.col("dedup_key").isNull(), 1).otherwise(F.row_number().over(w))).filter("_rn = 1").drop("_rn", "id")
     free = one.join(held, ["task_type", "dedup_key"], "left_anti")
-    top = task.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = free.join(F.broadcast(top), F.lit(True)).withColumn("id", F.col("_top") + F.row_number().over(Window.orderBy("task_id"))).drop("_top")
-    return task.unionByName(numbered.select(*task.columns))
+    return task.unionByName(numbered(free, ["task_id"], task).select(*task.columns))
 
 
 def next_pending(task: DataFrame, task_type: str | None = None, batches: DataFrame | None = None, gate_closed: bool = False) -> DataFrame:
@@ -89,7 +102,7 @@ def cancel(task: DataFrame, batch_id: str, at: Column) -> DataFrame:
 def quarantine(task: DataFrame, cond: Column, at: Column, most: int = MAX_ATTEMPTS) -> DataFrame:
     """Processing tasks that have used up their attempts fail."""
     c = cond & (F.col("status") == "processing") & (F.col("attempts") >= most)
-    return update(task, c, status=F.lit("failed"), error=F.concat(F.lit("Max retries exceeded ("), F.col("attempts").cast("string"), F.lit(")")), completed_at=at)
+    return update(task, c, status=F.lit("failed"), error=F.concat(F.lit(f"{EXHAUSTED} ("), F.col("attempts").cast("string"), F.lit(")")), completed_at=at)
 
 
 def reset(task: DataFrame, cond: Column, most: int = MAX_ATTEMPTS) -> DataFrame:
@@ -157,10 +170,34 @@ def release_owner(owner: DataFrame, batch_id: str, me: str | None = None) -> Dat
 
 def stale_owners(owner: DataFrame, task: DataFrame, at: Column) -> DataFrame:
     """Owners without a recent heartbeat whose batch still has work."""
-    active = task.filter(F.col("status").isin("pending", "processing")).select("batch_id").distinct()
+    active = task.filter(F.col("status").isin(*ACTIVE)).select("batch_id").distinct()
     return owner.filter(F.col("last_heartbeat") < at - F.make_dt_interval(secs=F.lit(OWNER_STALE_SECONDS))).join(active, "batch_id", "left_semi")
 
 
+def quarantined(task: DataFrame, batch_id: str | None = None) -> DataFrame:
+    """task_id, payload of the tasks that failed because they used up their attempts."""
+    t = task.filter((F.col("status") == "failed") & F.col("error").startswith(EXHAUSTED))
+    return (t if batch_id is None else t.filter(F.col("batch_id") == batch_id)).select("task_id", "payload", "batch_id")
+
+
+def reclaim_batches(task: DataFrame, batch: DataFrame, owner: DataFrame, at: Column, most: int = MAX_ATTEMPTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(task, batch, owner) after the batches of stale owners were taken back: their tasks in work go back to pending or, with their attempts used up, fail; a
+    batch that still has work is queued again, another one has failed; the lease ends."""
+    stale = stale_owners(owner, task, at).select("batch_id").distinct().withColumn("_stale", F.lit(True))
+    mine = task.join(stale, "batch_id", "left")
+    mine = reset(quarantine(mine, F.col("_stale"), at, most), F.col("_stale"), most)
+    work = mine.filter(F.col("_stale") & F.col("status").isin(*ACTIVE)).select(F.col("batch_id").alias("id"), F.lit(True).alias("_work")).distinct()
+    b = batch.join(stale.withColumnRenamed("batch_id", "id"), "id", "left").join(work, "id", "left")
+    b = update(b, F.col("_stale"), status=F.when(F.col("_work"), "queued").otherwise("failed"))
+    return mine.select(*task.columns), b.select(*batch.columns), owner.join(stale, "batch_id", "left_anti").select(*owner.columns)
+
+
+def pause_batches(batch: DataFrame, task: DataFrame, answers: DataFrame) -> DataFrame:
+    """batch after an analysis (answers: task_id, error) met the end of the provider's credit: the batches of these tasks are paused."""
+    stopped = answers.filter("error = 'credit'").select("task_id").join(task.select("task_id", F.col("batch_id").alias("id")), "task_id").select("id", F.lit(True).alias("_stop")).distinct()
+    return update(batch.join(stopped, "id", "left"), F.col("_stop"), status=F.lit("paused")).select(*batch.columns)
+
+
 def cleanup_owners(owner: DataFrame, task: DataFrame) -> DataFrame:
     """Owners of batches without active tasks are removed."""
     return owner.join(task.filter(F.col("status").isin(*ACTIVE)).select("batch_id").distinct(), "batch_id", "left_semi")
@@ -206,12 +243,24 @@ def create_named(df: DataFrame, names: list[str], at: Column) -> tuple[DataFrame
     r = ask.join(first, "name").join(held, "name", "left")
     code = F.when(F.col("name") == "", "Invalid").when(F.col("held") | (F.col("pos") > F.col("first")), "Conflict").otherwise("Created")
     r = r.select("pos", "name", code.alias("code"))
-    top = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    new = r.filter("code = 'Created'").join(F.broadcast(top), F.lit(True)).select((F.col("_top") + F.row_number().over(Window.orderBy("pos"))).alias("id"), "name", at.alias("created_at"))
+    new = numbered(r.filter("code = 'Created'"), ["pos"], df).select("id", "name", at.alias("created_at"))
     missing = {c: F.lit(None).cast(df.schema[c].dataType) for c in df.columns if c not in new.columns}
     return df.unionByName(new.withColumns(missing).select(*df.columns)), r.orderBy("pos")
 
 
+def rename(df: DataFrame, row_id: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(table with the new name, one row: id, code: Updated, Noop for the name it has, NotFound, Conflict for a name that another row has, or Invalid)."""
+    want = name.strip()
+    seen = df.agg(
+        F.max(F.col("id") == row_id).alias("there"), F.max((F.col("id") == row_id) & (F.col("name") == want)).alias("same"), F.max((F.col("id") != row_id) & (F.col("name") == want)).alias("held"),
+    )
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    code = F.when(F.lit(want == ""), "Invalid").when(~yes("there"), "NotFound").when(yes("same"), "Noop").when(yes("held"), "Conflict").otherwise("Updated")
+    result = seen.select(F.lit(row_id).cast("long").alias("id"), code.alias("code"))
+    ok = result.filter("code = 'Updated'").select("id", F.lit(True).alias("_ok"))
+    return update(df.join(F.broadcast(ok), "id", "left"), F.col("_ok"), name=F.lit(want)).select(*df.columns), result
+
+
 def delete_named(df: DataFrame, ids: list[int], used: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(table without the rows, Deleted, NotFound or Conflict for each id). used: one column of ids that must stay."""
     ask = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], "pos int, id long")

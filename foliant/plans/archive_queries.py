@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import fts as FTS
 from foliant.functions import text as T
 from foliant.operators import catalog as C
 from foliant.operators import dashboard as D
+from foliant.operators import enrich as E
 from foliant.operators import ingest as I
 from foliant.operators import pipeline as P
 from foliant.operators import search as S
 from foliant.operators import state as M
+from foliant.session import shared_dir
 from foliant.sources.views import AS_OF, SQL as VIEWS, Archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +42,17 @@ add("search_sorted_by_size", lambda a: S.search(a, S.Filter(sort_by="file_size",
 add("search_second_page", lambda a: S.search(a, S.Filter(sort_by="nonsense", limit=25, offset=25)).select(*ID), "SELECT id, title, created_at FROM live ORDER BY created_at DESC NULLS FIRST, id LIMIT 25 OFFSET 25")
 add("search_tags_any", lambda a: S.matching(a, S.Filter(tags=("swimming club", "chess tournaments", "thesis drafts", "film screenplays"))).select("id"), "SELECT id FROM live WHERE id IN (SELECT dt.document_id FROM document_tag dt JOIN tag t ON t.id = dt.tag_id WHERE t.name IN ('swimming club', 'chess tournaments', 'thesis drafts', 'film screenplays'))")
 _P = "id IN (SELECT document_id FROM document_people dp JOIN persons p ON p.id = dp.people_id JOIN people_type k ON k.id = dp.people_type_id WHERE p.name = '{}' AND k.name = '{}')"
-add("search_people_all", lambda a: S.matching(a, S.Filter(people=(("Klaas Nurkizaigad", "author"), ("Klaas Nurkizaigad", "author")))).select("id"), "SELECT id FROM live WHERE " + _P.format("Klaas Nurkizaigad", "author"))
+
+
+def _first_people(a: Archive) -> tuple[tuple[str, str], ...]:
+    """The people (name, role) of the first live document that has any."""
+    first = a.document_people.join(a.live.select(F.col("id").alias("document_id")), "document_id", "left_semi").agg(F.min("document_id")).first()[0]
+    who = a.document_people.filter(F.col("document_id") == first).join(a.people.select(F.col("id").alias("people_id"), "name"), "people_id").join(a.people_type.select(F.col("id").alias("people_type_id"), F.col("name").alias("role")), "people_type_id")
+    return tuple((r.name, r.role) for r in who.select("name", "role").distinct().collect())
+
+
+_WHO = "SELECT DISTINCT dp.document_id, p.name, k.name AS role FROM document_people dp JOIN persons p ON p.id = dp.people_id JOIN people_type k ON k.id = dp.people_type_id"
+add("search_people_all", lambda a: S.matching(a, S.Filter(people=_first_people(a))).select("id"), f", who AS ({_WHO}), asked AS (SELECT name, role FROM who WHERE document_id = (SELECT min(document_id) FROM document_people WHERE document_id IN (SELECT id FROM live))) SELECT id FROM live WHERE (SELECT count(*) FROM who w JOIN asked q ON q.name = w.name AND q.role = w.role WHERE w.document_id = live.id) = (SELECT count(*) FROM asked)")
 add("search_doc_type", lambda a: S.matching(a, S.Filter(document_type="letter")).select("id"), "SELECT id FROM live WHERE document_type_id = (SELECT id FROM document_type WHERE name = 'letter')")
 add("search_doc_type_unknown", lambda a: S.matching(a, S.Filter(document_type="no such type")).select("id"), "SELECT id FROM live WHERE document_type_id = (SELECT id FROM document_type WHERE name = 'no such type')")
 add("search_untagged", lambda a: S.matching(a, S.Filter(untagged=True)).select("id"), "SELECT id FROM live l WHERE NOT EXISTS (SELECT 1 FROM document_tag dt WHERE dt.document_id = l.id)")
@@ -50,8 +64,29 @@ _TOK = r"regexp_split_to_array(lower(coalesce(title, '') || ' ' || coalesce(text
 _FTS = f"SELECT id, {_TOK} AS w FROM live"
 add("fts_match", lambda a: S.matching(a, S.Filter(query="Planetary orbit")).select("id"), f"SELECT id FROM ({_FTS}) WHERE list_contains(w, 'planetary') AND list_contains(w, 'orbit')")
 add("fts_match_count", lambda a: S.total(a, S.Filter(query="orchestra")), f"SELECT count(*) AS total FROM ({_FTS}) WHERE list_contains(w, 'orchestra')")
-_RANK = "round(round(list_sum(list_transform(range(1, least(n, 64) + 1), lambda k: 1.0 / (k * k))) * 0.1 / 1.64493406685, 12), 6)"
+_RANK = "round(round(list_sum(list_transform(range(1, least(n, 256) + 1), lambda k: 1.0 / (k * k))) * 0.1 / 1.64493406685, 12), 6)"
 add("fts_ranked", lambda a: S.search(a, S.Filter(query="orchestra", limit=100)).select("id", "rank"), f"SELECT id, {_RANK} AS rank FROM (SELECT id, len(list_filter(w, lambda x: x = 'orchestra')) AS n FROM ({_FTS})) WHERE n > 0 ORDER BY rank, id LIMIT 100")
+_PAIR = """SELECT id, round(1 - exp(sum(ln(1 - 0.1 * sqrt(CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END)))), 6) AS rank FROM (
+SELECT x.id, abs(x.pos - y.pos)::DOUBLE AS d FROM place x JOIN place y ON x.id = y.id WHERE x.t = 'planetary' AND y.t = 'orbit' AND x.k <= 256 AND y.k <= 256) GROUP BY id ORDER BY rank DESC, id LIMIT 100"""
+_PLACES = f", place AS (SELECT id, t, pos, row_number() OVER (PARTITION BY id, t ORDER BY pos) AS k FROM (SELECT id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM ({_FTS})) WHERE t IN ('planetary', 'orbit')) "
+_TWO = S.Filter(query="planetary orbit", rank_order="desc", limit=100)
+add("fts_ranked_two", lambda a: S.search(a, _TWO).select("id", "rank"), _PLACES + _PAIR)
+
+
+def indexed(a: Archive) -> Archive:
+    """The archive with the inverted table of its live documents, built once for each session and directory."""
+    key = (a.spark.sparkContext.applicationId, a.data)
+    if key not in _INDEXES:
+        path = f"{shared_dir(a.spark).rstrip('/')}/lexemes-{uuid.uuid4().hex}"
+        FTS.write_index(a.live, path, "id", FTS.index_text(F.col("title"), F.col("text_content")))
+        _INDEXES[key] = path
+    return Archive(a.spark, a.data, _INDEXES[key])
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+add("fts_index_match", lambda a: S.matching(indexed(a), S.Filter(query="Planetary orbit")).select("id"), SQL["fts_match"][len(VIEWS):])
+add("fts_index_ranked", lambda a: S.search(indexed(a), S.Filter(query="orchestra", limit=100)).select("id", "rank"), SQL["fts_ranked"][len(VIEWS):])
+add("fts_index_ranked_two", lambda a: S.search(indexed(a), _TWO).select("id", "rank"), _PLACES + _PAIR)
 add("fts_snippet", lambda a: S.search(a, S.Filter(query="orchestra", limit=100, rank_order="desc"), snippets=True).select("id", T.sanitize_snippet(F.col("snippet")).alias("snippet")))
 add("search_with_labels", lambda a: S.with_labels(a, S.search(a, FILTER)).select("id", "tags"), f"SELECT p.id, coalesce((SELECT list(DISTINCT t.name ORDER BY t.name) FROM document_tag dt JOIN tag t ON t.id = dt.tag_id WHERE dt.document_id = p.id), []) AS tags FROM ({_PAGE.format(_WHERE)}) p")
 add("suggest_tags", lambda a: S.suggest(a, "tag", "film"), "SELECT DISTINCT 'tag' AS field, name AS value FROM tag WHERE starts_with(name, 'film') ORDER BY value LIMIT 10")
@@ -89,8 +124,8 @@ add("status_shares", D.status_shares, "SELECT status, round(count(*) * 100.0 / s
 add("distinct_batches", D.distinct_batches, "SELECT count(DISTINCT batch_id) AS batches FROM tasks")
 add("active_batches", D.active_batch_ids, "SELECT DISTINCT batch_id FROM tasks WHERE status IN ('pending', 'processing', 'waiting') AND batch_id IS NOT NULL")
 add("distinct_languages", D.distinct_languages, "SELECT DISTINCT language FROM live WHERE language IS NOT NULL AND language <> ''")
-add("batch_terminal_status", D.batch_terminal_status, "SELECT b.id AS batch_id, CASE WHEN b.status IN ('completed', 'failed', 'cancelled') THEN b.status WHEN coalesce(busy, false) THEN b.status WHEN coalesce(failed, false) THEN 'failed' ELSE 'completed' END AS final_status FROM batches b LEFT JOIN (SELECT batch_id, bool_or(status = 'failed') AS failed, bool_or(status IN ('pending', 'processing')) AS busy FROM tasks WHERE batch_id IS NOT NULL GROUP BY 1) t ON t.batch_id = b.id")
-add("progress_totals", D.progress_totals, "SELECT batch_id, coalesce(max(try_cast(json_extract_string(payload, '$.file_index') AS INTEGER)) + 1, count(*))::BIGINT AS files FROM tasks WHERE task_type = 'consume' AND batch_id IS NOT NULL GROUP BY 1")
+add("batch_terminal_status", D.batch_terminal_status, "SELECT b.id AS batch_id, CASE WHEN b.status IN ('completed', 'failed', 'cancelled', 'paused') THEN b.status WHEN coalesce(failed, false) THEN 'failed' ELSE 'completed' END AS final_status FROM batches b LEFT JOIN (SELECT batch_id, bool_or(status = 'failed') AS failed FROM tasks WHERE batch_id IS NOT NULL GROUP BY 1) t ON t.batch_id = b.id")
+add("progress_totals", D.progress_totals, "SELECT batch_id, CASE WHEN max(try_cast(json_extract_string(payload, '$.file_index') AS INTEGER)) > 0 THEN max(try_cast(json_extract_string(payload, '$.file_index') AS INTEGER)) ELSE count(*) END::BIGINT AS files FROM tasks WHERE task_type = 'consume' AND batch_id IS NOT NULL GROUP BY 1")
 
 # Catalog
 add("tags_with_count", C.tags_with_count, "SELECT t.id, t.name, t.created_at, count(dt.document_id) AS document_count FROM tag t LEFT JOIN document_tag dt ON dt.tag_id = t.id GROUP BY ALL")
@@ -117,7 +152,7 @@ _ROW = ["id", "status", "attempts", "error"]
 add("claim_next", lambda a: M.next_pending(a.task, "consume").select("id"), "SELECT id FROM tasks WHERE status = 'pending' AND task_type = 'consume' ORDER BY created_at NULLS LAST, id LIMIT 1")
 add("claim_next_gate_closed", lambda a: M.next_pending(a.task, "consume", gate_closed=True).select("id"), "SELECT id FROM tasks WHERE false")
 add("claim_next_of_owner", lambda a: M.next_pending(a.task, "enrich", a.batch_owner).select("id"), "SELECT id FROM tasks WHERE status = 'pending' AND task_type = 'enrich' AND batch_id IN (SELECT batch_id FROM batch_owner) ORDER BY created_at NULLS LAST, id LIMIT 1")
-add("stale_owners", lambda a: M.stale_owners(a.batch_owner, a.task, D.now()).select("batch_id", "owner_id"), f"SELECT batch_id, owner_id FROM batch_owner o WHERE last_heartbeat < {NOW} - INTERVAL 15 SECOND AND EXISTS (SELECT 1 FROM tasks t WHERE t.batch_id = o.batch_id AND t.status IN ('pending', 'processing'))")
+add("stale_owners", lambda a: M.stale_owners(a.batch_owner, a.task, D.now()).select("batch_id", "owner_id"), f"SELECT batch_id, owner_id FROM batch_owner o WHERE last_heartbeat < {NOW} - INTERVAL 15 SECOND AND EXISTS (SELECT 1 FROM tasks t WHERE t.batch_id = o.batch_id AND t.status IN ('pending', 'processing', 'waiting'))")
 add("cleanup_owners", lambda a: M.cleanup_owners(a.batch_owner, a.task).select("batch_id"), "SELECT batch_id FROM batch_owner o WHERE EXISTS (SELECT 1 FROM tasks t WHERE t.batch_id = o.batch_id AND t.status IN ('waiting', 'pending', 'processing'))")
 _OLD = f"status = 'processing' AND started_at < {NOW} - INTERVAL 600 SECOND"
 add("reclaim_stale", lambda a: M.reclaim_stale(a.task, D.now(), most=2).select(*_ROW), f"SELECT id, CASE WHEN {_OLD} AND attempts >= 2 THEN 'failed' WHEN {_OLD} THEN 'pending' ELSE status END AS status, CASE WHEN {_OLD} AND attempts < 2 THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN {_OLD} AND attempts >= 2 THEN 'Max retries exceeded (' || attempts || ')' ELSE error END AS error FROM tasks")
@@ -140,7 +175,7 @@ def _corpus_files(a: Archive) -> DataFrame:
 
 add("scan_dedup", lambda a: I.new_files(_corpus_files(a), a.document), f"SELECT md5, min(path) AS path FROM ({_FILES}) WHERE md5 NOT IN (SELECT md5_checksum FROM document WHERE md5_checksum IS NOT NULL) GROUP BY 1")
 add("orphan_files", lambda a: I.orphan_files(a.document.select(F.concat(F.lit("/store/"), "document_id", F.lit(".pdf")).alias("path")), a.live), "SELECT '/store/' || document_id || '.pdf' AS path, document_id AS key, 'uuid' AS key_type FROM document WHERE deleted_at IS NOT NULL AND document_id NOT IN (SELECT document_id FROM live)")
-add("needs_ocr", lambda a: a.live.filter(I.needs_ocr(F.col("text_content"), F.col("file_size"), F.col("original_type"))).select("id"), "SELECT id FROM live WHERE original_type = 'application/pdf' AND octet_length(encode(coalesce(text_content, ''))) / greatest(file_size, 1) < 0.001")
+add("needs_ocr", lambda a: a.live.filter(I.needs_ocr(F.col("text_content"), F.col("file_size"), F.col("original_type"))).select("id"), "SELECT id FROM live WHERE coalesce(text_content, '') = '' OR (original_type = 'application/pdf' AND octet_length(encode(text_content)) / greatest(file_size, 1) < 0.001)")
 
 
 def flagship(spark: SparkSession, data: str) -> DataFrame:
@@ -150,6 +185,44 @@ def flagship(spark: SparkSession, data: str) -> DataFrame:
 # Links and gates
 add("assign_tags", lambda a: P.assign_tags(a.document_tag, a.live, a.document.filter("document_type_id = 7").select(F.col("id").alias("document_id")), a.tag.filter("name = 'swimming club'").select(F.col("id").alias("tag_id")))[0], "SELECT document_id, tag_id FROM document_tag UNION SELECT l.id, t.id FROM live l, tag t WHERE l.document_type_id = 7 AND t.name = 'swimming club'")
 add("replace_tags", lambda a: P.assign_tags(a.document_tag, a.live, a.document.filter("document_type_id = 7").select(F.col("id").alias("document_id")), a.tag.filter("name = 'swimming club'").select(F.col("id").alias("tag_id")), True)[0], "SELECT document_id, tag_id FROM document_tag WHERE document_id NOT IN (SELECT id FROM live WHERE document_type_id = 7) UNION SELECT l.id, t.id FROM live l, tag t WHERE l.document_type_id = 7 AND t.name = 'swimming club'")
-add("admit_batches", lambda a: P.admit(a.batch, a.batch_owner.limit(0), D.now()).select("id"), "SELECT id FROM batches WHERE status = 'queued' ORDER BY created_at NULLS LAST, id LIMIT 4")
+_LIVE = f"(SELECT count(*) FROM batch_owner WHERE last_heartbeat > {NOW} - INTERVAL 15 SECOND)"
+add("admit_batches", lambda a: P.admit(a.batch, a.batch_owner.filter("pid % 9 = 0"), D.now(), 40).select("id"), "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at NULLS LAST, id) AS rn FROM batches WHERE status = 'queued') WHERE rn <= 40 - " + _LIVE.replace("WHERE", "WHERE pid % 9 = 0 AND"))
 add("document_tag_insert", lambda a: M.insert_absent(a.document_tag, a.document.select(F.col("id").alias("document_id"), F.lit(1).cast("long").alias("tag_id")), ["document_id", "tag_id"]), "SELECT document_id, tag_id FROM document_tag UNION SELECT id, 1 FROM document")
-add("task_enqueue_dedup", lambda a: M.enqueue(a.task, a.task.filter("status = 'pending'").withColumn("task_id", F.concat(F.lit("again-"), "task_id"))).groupBy("task_type", "status").agg(F.count(F.lit(1)).alias("n")), "SELECT task_type, status, count(*) AS n FROM (SELECT task_type, status FROM tasks UNION ALL SELECT task_type, status FROM tasks WHERE status = 'pending' AND dedup_key IS NULL) GROUP BY ALL")
+_AGAIN = "SELECT 'again-' || task_id AS task_id, task_type, dedup_key FROM tasks WHERE status IN ('pending', 'completed')"
+add(
+    "task_enqueue_dedup",
+    lambda a: M.enqueue(a.task, a.task.filter("status in ('pending', 'completed')").withColumns({"task_id": F.concat(F.lit("again-"), "task_id"), "status": F.lit("pending")})).select("id", "task_id", "task_type", "status"),
+    f"""SELECT id, task_id, task_type, status FROM tasks UNION ALL
+SELECT (SELECT max(id) FROM tasks) + row_number() OVER (ORDER BY task_id), task_id, task_type, 'pending' FROM (
+SELECT task_id, task_type, dedup_key, row_number() OVER (PARTITION BY task_type, dedup_key ORDER BY task_id) AS rn FROM ({_AGAIN})) n
+WHERE (dedup_key IS NULL OR rn = 1) AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.status IN ('pending', 'processing') AND t.task_type = n.task_type AND t.dedup_key = n.dedup_key)""",
+)
+add("quarantined_tasks", lambda a: M.quarantined(M.reclaim_stale(a.task, D.now(), most=2)).select("task_id", "batch_id"), f"SELECT task_id, batch_id FROM tasks WHERE {_OLD} AND attempts >= 2 UNION ALL SELECT task_id, batch_id FROM tasks WHERE NOT ({_OLD} AND attempts >= 2) AND status = 'failed' AND error LIKE 'Max retries exceeded%'")
+_STALE = f"(SELECT batch_id FROM batch_owner o WHERE last_heartbeat < {NOW} - INTERVAL 15 SECOND AND EXISTS (SELECT 1 FROM tasks t WHERE t.batch_id = o.batch_id AND t.status IN ('pending', 'processing', 'waiting')))"
+add("reclaim_batches_tasks", lambda a: M.reclaim_batches(a.task, a.batch, a.batch_owner, D.now(), 1)[0].select("id", "status", "attempts"), f"SELECT id, CASE WHEN s AND attempts >= 1 THEN 'failed' WHEN s THEN 'pending' ELSE status END AS status, CASE WHEN s AND attempts < 1 THEN attempts + 1 ELSE attempts END AS attempts FROM (SELECT *, status = 'processing' AND coalesce(batch_id IN {_STALE}, false) AS s FROM tasks)")
+add("reclaim_batches_status", lambda a: M.reclaim_batches(a.task, a.batch, a.batch_owner, D.now(), 1)[1].select("id", "status"), f"SELECT id, CASE WHEN id NOT IN {_STALE} THEN status WHEN EXISTS (SELECT 1 FROM tasks t WHERE t.batch_id = b.id AND (t.status IN ('waiting', 'pending') OR (t.status = 'processing' AND attempts < 1))) THEN 'queued' ELSE 'failed' END AS status FROM batches b")
+add("reclaim_batches_owners", lambda a: M.reclaim_batches(a.task, a.batch, a.batch_owner, D.now(), 1)[2].select("batch_id", "owner_id"), f"SELECT batch_id, owner_id FROM batch_owner WHERE batch_id NOT IN {_STALE}")
+_FIRST = "(SELECT min(id) FROM tasks WHERE status = '{}')"
+_first = lambda a, status: a.task.filter(F.col("status") == status).agg(F.min("id")).first()[0] or 0
+add("task_claim", lambda a: M.claim(a.task, _first(a, "pending"), D.now()).select("id", "status", "started_at"), f"SELECT id, CASE WHEN id = {_FIRST.format('pending')} THEN 'processing' ELSE status END AS status, CASE WHEN id = {_FIRST.format('pending')} THEN {NOW} ELSE started_at END AS started_at FROM tasks")
+add("task_complete", lambda a: M.complete(a.task, _first(a, "processing"), "{}", D.now()).select("id", "status", "result", "error", "attempts"), f"SELECT id, CASE WHEN h THEN 'completed' ELSE status END AS status, CASE WHEN h THEN '{{}}' ELSE result END AS result, CASE WHEN h THEN NULL ELSE error END AS error, CASE WHEN h THEN 0 ELSE attempts END AS attempts FROM (SELECT *, id = {_FIRST.format('processing')} AS h FROM tasks)")
+add("task_fail", lambda a: M.fail(a.task, _first(a, "processing"), "broken", D.now()).select("id", "status", "error"), f"SELECT id, CASE WHEN h THEN 'failed' ELSE status END AS status, CASE WHEN h THEN 'broken' ELSE error END AS error FROM (SELECT *, id = {_FIRST.format('processing')} AS h FROM tasks)")
+add("lease_acquire", lambda a: M.acquire_owner(a.batch_owner, a.batch.agg(F.max("id")).first()[0], "me", 7, D.now()).select("batch_id", "owner_id", "pid"), f"SELECT batch_id, CASE WHEN batch_id = m AND last_heartbeat < {NOW} - INTERVAL 15 SECOND THEN 'me' ELSE owner_id END AS owner_id, CASE WHEN batch_id = m AND last_heartbeat < {NOW} - INTERVAL 15 SECOND THEN 7 ELSE pid END AS pid FROM batch_owner, (SELECT max(id) AS m FROM batches) UNION ALL SELECT m, 'me', 7 FROM (SELECT max(id) AS m FROM batches) WHERE m NOT IN (SELECT batch_id FROM batch_owner)")
+add("lease_release", lambda a: M.release_owner(a.batch_owner, a.batch.agg(F.min("id")).first()[0]).select("batch_id"), "SELECT batch_id FROM batch_owner WHERE batch_id <> (SELECT min(id) FROM batches)")
+add("tag_rename", lambda a: M.rename(a.tag, a.tag.agg(F.min("id")).first()[0], "a name of its own")[0].select("id", "name"), "SELECT id, CASE WHEN id = (SELECT min(id) FROM tag) THEN 'a name of its own' ELSE name END AS name FROM tag")
+add("tags_created", lambda a: M.create_named(a.tag, ["zz new", "zz new", " zz other ", ""], D.now())[0].select("id", "name"), "SELECT id, name FROM tag UNION ALL SELECT (SELECT max(id) FROM tag) + 1, 'zz new' UNION ALL SELECT (SELECT max(id) FROM tag) + 2, 'zz other'")
+add("duplicates_both_hashes", lambda a: I.duplicates(a.document.select(F.col("original_path").alias("path"), F.col("md5_checksum").alias("md5"), F.col("sha512_checksum").alias("sha512")), a.live), "SELECT d.original_path AS path, min(l.id) AS document_id FROM document d JOIN live l ON l.md5_checksum = d.md5_checksum AND l.sha512_checksum = d.sha512_checksum GROUP BY 1")
+add(
+    "people_links",
+    lambda a: E.upsert_people(a.people, a.live.select(F.col("id").alias("document_id"), F.concat(F.lit("New Person "), F.char((F.col("id") % 5 + 65).cast("int")), F.lit("x")).alias("name"), F.lit("").alias("native"), F.when(F.col("id") % 2 == 0, "author").otherwise("stranger").alias("role")), D.now())[1],
+    "SELECT DISTINCT id AS document_id, (SELECT max(id) FROM people) + 1 + id % 5 AS people_id, CASE WHEN id % 2 = 0 THEN 'author' ELSE 'unknown' END AS role FROM live",
+)
+add("sizes_and_durations", lambda a: a.live.filter("file_size is not null").select("id", T.format_bytes(F.col("file_size")).alias("bytes"), T.format_size(F.col("file_size")).alias("size"), T.human_duration(F.col("file_size")).alias("duration")), """SELECT id,
+CASE WHEN file_size >= 1073741824 THEN printf('%.1f GiB', file_size / 1073741824) WHEN file_size >= 1048576 THEN printf('%.1f MiB', file_size / 1048576) WHEN file_size >= 1024 THEN printf('%.1f KiB', file_size / 1024) ELSE printf('%d B', file_size) END AS bytes,
+CASE WHEN file_size >= 1073741824 THEN printf('%.1f GB', file_size / 1073741824) WHEN file_size >= 1048576 THEN printf('%.1f MB', file_size / 1048576) WHEN file_size >= 1024 THEN printf('%.1f KB', file_size / 1024) ELSE printf('%d B', file_size) END AS size,
+CASE WHEN file_size < 60000 THEN printf('%.1fs', file_size / 1000) WHEN file_size < 3600000 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%dh %dm %ds', s // 3600, s // 60 % 60, s % 60) END AS duration
+FROM (SELECT *, round(file_size / 1000)::BIGINT AS s FROM live) WHERE file_size IS NOT NULL""")
+add("saved_search_newest", lambda a: C.newest(a.saved_search, limit=5).select("id", "name"), "SELECT id, name FROM saved_search ORDER BY created_at DESC, id LIMIT 5")
+add("saved_search_run", lambda a: S.matching(a, S.saved(a.saved_search, 2)).select("id"), "SELECT id FROM live WHERE language = 'deu' AND file_size >= 1000")
+add("user_by_name", lambda a: C.by(a.user, username="reader").select("id", "username", "role"), "SELECT id, username, role FROM users WHERE username = 'reader'")
+add("users_by_role", lambda a: a.user.groupBy("role").agg(F.count(F.lit(1)).alias("users")), "SELECT role, count(*) AS users FROM users GROUP BY 1")

@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     if (d := sc.getCheckpointDir()) is None:
         d = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             d = os.path.join(tempfile.gettempdir(), f"foliant-{os.getpid()}")  # local mode and tests only
             atexit.register(shutil.rmtree, d, ignore_errors=True)
         sc.setCheckpointDir(d)
@@ -48,4 +50,22 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as a table in the shared folder and read it again; cheaper than computing it twice, and it survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _STORED:
+        atexit.register(clean)
+    _STORED.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+def clean() -> None:
+    """Remove the tables that `stored` wrote; at the end of the process, or when nothing that was built on them is needed any more."""
+    while _STORED:
+        spark, path = _STORED.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may be over
+            return
