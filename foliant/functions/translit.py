@@ -33,7 +33,7 @@ def letter(c: str) -> str:
         return out.capitalize() if c != low else out
     name = unicodedata.name(c, "")
     script, _, rest = name.partition(" ")
-    if script == "LATIN":
+    if script == "LATIN" or " WITH " in name:  # taken apart by the caller
         return ""
     last = rest.rsplit(" ", 1)[-1].lower()
     if script in ("HIRAGANA", "KATAKANA", "HANGUL") or (script.isalpha() and " LETTER " in name and script in ("DEVANAGARI", "BENGALI", "TAMIL", "TELUGU", "GUJARATI", "KANNADA", "MALAYALAM", "THAI")):

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import tarfile
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.ingest import rewrite_prefix
 
-DEFAULT_HOUR = 2
+DEFAULT_HOUR, CHECKSUMS = 2, "checksums.txt"
 
 
 def export(tables: dict[str, DataFrame], path: str, at: datetime) -> dict:
@@ -25,6 +28,32 @@ def export(tables: dict[str, DataFrame], path: str, at: datetime) -> dict:
     return manifest
 
 
+def archive(path: str, target: str) -> str:
+    """A backup folder as one tar.gz with a list of the checksums of its files in it; the archive's own checksum is returned. Local folders only: what is
+    archived are the files, table by table, so a large backup is better left as the folder that `export` wrote."""
+    root = Path(path)
+    names = sorted(p for p in root.rglob("*") if p.is_file() and not p.name.startswith(".") and p.name != CHECKSUMS)
+    (root / CHECKSUMS).write_text("".join(f"{_sha256(p)}  {p.relative_to(root)}\n" for p in names))
+    with tarfile.open(target, "w:gz") as tar:
+        for p in [*names, root / CHECKSUMS]:
+            tar.add(p, p.relative_to(root))
+    return _sha256(Path(target))
+
+
+def unpack(archived: str, path: str) -> list[str]:
+    """Unpack an archive; the files whose checksum is not the listed one, or that are missing."""
+    with tarfile.open(archived) as tar:
+        tar.extractall(path, filter="data")
+    root = Path(path)
+    listed = [line.split("  ", 1) for line in (root / CHECKSUMS).read_text().splitlines()]
+    return [name for sha, name in listed if not (root / name).is_file() or _sha256(root / name) != sha]
+
+
+def _sha256(path: Path) -> str:
+    with path.open("rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
 def restore(spark: SparkSession, path: str, old_root: str | None = None, new_root: str | None = None) -> dict[str, DataFrame]:
     """The tables of a complete backup; paths under the old root point to the new one."""
     manifest = json.loads(spark.read.text(f"{path}/_manifest").first().value)
@@ -56,6 +85,11 @@ def next_time(after: datetime, days: float, hhmm: str) -> datetime:
     return at if at > after else at + ((after - at) // step + 1) * step
 
 
+def due(now: datetime, last: datetime | None, days: float, hhmm: str, active: int = 0, recent: int = 0) -> bool:
+    """Is a backup to be started: none in work, none lately, and the time after the last one has come?"""
+    return not active and not recent and (last is None or next_time(last, days, hhmm) <= now)
+
+
 def minutes(hhmm: str, end: bool = False) -> int:
     """Minutes of a time of day; 24:00 only as an end."""
     h, m = map(int, hhmm.split(":"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -62,9 +64,16 @@ def inbox(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
     return hashed(df).orderBy("modificationTime", "path").limit(most) if most > 0 else hashed(df)
 
 
-def hashed(df: DataFrame) -> DataFrame:
-    df = df.withColumn("mime", sniff(F.col("content"))).filter(F.col("mime").isin(*MIME_TYPES))
-    return df.select("path", "modificationTime", "length", "mime", F.md5("content").alias("md5"), F.sha2("content", 512).alias("sha512"), "content")
+def hashed(df: DataFrame, supported: bool = True) -> DataFrame:
+    df = df.withColumn("mime", sniff(F.col("content")))
+    df = df.filter(F.col("mime").isin(*MIME_TYPES)) if supported else df
+    return df.select("path", "modificationTime", "length", "mime", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512"), "content")
+
+
+def originals(stored: DataFrame, root: str) -> DataFrame:
+    """Stored files with the part of the storage they lie in (originals, processed, errors or other)."""
+    part = F.regexp_extract(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(root.rstrip("/")) + "/([^/]+)/", 1)
+    return stored.withColumn("part", F.when(part.isin("originals", "processed", "errors"), part).otherwise("other"))
 
 
 def stored(spark: SparkSession, root: str, settled_seconds: int, now: Column) -> DataFrame:
@@ -93,8 +102,65 @@ def office_text(content: bytes) -> str | None:
         return None
 
 
-#: Extractors by type; others (pdf, scans) can be set by the caller: a function from bytes to text or None.
-EXTRACTORS = {DOCX: office_text, ODT: office_text}
+_STREAM = re.compile(rb"<<(?P<dict>[^<>]*(?:<<[^<>]*>>[^<>]*)*)>>\s*stream\r?\n(?P<data>.*?)\r?\n?endstream", re.S)
+_SHOWN = re.compile(rb"\((?P<s>(?:[^()\\]|\\.)*)\)|<(?P<h>[0-9A-Fa-f\s]*)>|(?P<op>T\*|T[dDmJj]|'|\"|ET)|(?P<n>-?\d+\.?\d*)", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _streams(content: bytes) -> list[bytes]:
+    """The streams of a PDF, inflated where they are deflated; others and broken ones are left out."""
+    out = []
+    for m in _STREAM.finditer(content):
+        data = m["data"]
+        if b"/FlateDecode" in m["dict"]:
+            try:
+                data = zlib.decompressobj().decompress(data)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m["dict"]:
+            continue
+        out.append(data)
+    return out
+
+
+def pdf_text(content: bytes) -> str | None:
+    """The text that a PDF's page streams show, line by line, for fonts in a one-byte Latin encoding; None if there is none (scans, other encodings)."""
+    if not content.startswith(b"%PDF"):
+        return None
+    lines: list[str] = []
+    for data in _streams(content):
+        if b"BT" not in data or not re.search(rb"T[jJ]", data):
+            continue
+        now = ""
+        for m in _SHOWN.finditer(data):
+            if m["s"] is not None:
+                raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda x: bytes([int(x[1], 8) & 255]) if x[1].isdigit() else _ESCAPES.get(x[1], x[1]), m["s"], flags=re.S)
+                now += raw.decode("cp1252", "replace")
+            elif m["h"]:
+                digits = re.sub(rb"\s", b"", m["h"])
+                now += bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace")
+            elif m["op"] in (b"T*", b"Td", b"TD", b"Tm", b"'", b'"', b"ET"):
+                if now.strip():
+                    lines.append(now.strip())
+                now = ""
+            elif m["n"] and float(m["n"]) < -200 and now and not now.endswith(" "):
+                now += " "  # a wide gap inside an array of strings
+    text = "\n".join(lines).replace("\0", "")
+    return text or None
+
+
+def page_count(content: bytes) -> int | None:
+    """The pages of a PDF, counted in its objects, or 1 for an image; None for anything else."""
+    if content[:3] == b"\xff\xd8\xff" or content[:4] == b"\x89PNG":
+        return 1
+    if not content.startswith(b"%PDF"):
+        return None
+    whole = b"\n".join([content, *_streams(content)])
+    return len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", whole)) or None
+
+
+#: Extractors by type; others (scans, other PDF engines) can be set by the caller: a function from bytes to text or None.
+EXTRACTORS = {DOCX: office_text, ODT: office_text, "application/pdf": pdf_text}
 
 
 def extract(df: DataFrame, extractors: dict | None = None) -> DataFrame:
@@ -106,3 +172,13 @@ def extract(df: DataFrame, extractors: dict | None = None) -> DataFrame:
         return pd.Series([ex[m](bytes(c)) if m in ex and c is not None else None for m, c in zip(mime, content)], dtype=object)
 
     return df.withColumn("text", run("mime", "content"))
+
+
+def with_pages(df: DataFrame) -> DataFrame:
+    """df (content) with the number of pages."""
+
+    @pandas_udf("int")
+    def run(content: pd.Series) -> pd.Series:
+        return pd.Series([page_count(bytes(c)) if c is not None else None for c in content], dtype="Int32")
+
+    return df.withColumn("page_count", run("content"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +26,27 @@ def merge(lines: DataFrame, file: str = "file", pos: str = "pos", line: str = "l
     return x.groupBy(file, "entry").agg(text.alias("text"))
 
 
+TAIL_BYTES = 2 << 20
+
+
+def last_lines(spark: SparkSession, paths: list[str], size: int = TAIL_BYTES) -> DataFrame:
+    """file, pos, line: the lines in the last `size` bytes of each log file; a line that begins before that is left out. The files are cut in the tasks, each read from its end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path in b.path:
+                with open(path, "rb") as f:
+                    whole = f.seek(0, os.SEEK_END)
+                    f.seek(max(0, whole - size))
+                    lines = f.read().decode("utf-8", "replace").split("\n")
+                lines = lines[1:] if whole > size else lines
+                lines = lines[:-1] if lines and not lines[-1] else lines
+                yield pd.DataFrame({"file": path, "pos": range(len(lines)), "line": lines})
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return files.mapInPandas(run, "file string, pos long, line string")
+
+
 def tail(lines: DataFrame, n: int = DEFAULT) -> DataFrame:
     """The last n entries of each file."""
     w = Window.partitionBy("file").orderBy(F.desc("entry"))

@@ -155,7 +155,7 @@ def test_inbox_stream(spark, tmp_path):
     (src / "c.docx").write_bytes(docx)
     inbox.start(spark, str(src), *paths).awaitTermination(60)
     assert [(r.text, r.words) for r in spark.read.parquet(paths[0]).collect()] == [("Hello there", 2)]
-    assert spark.read.parquet(paths[1]).count() == 1
+    assert sorted(r.reason for r in spark.read.parquet(paths[1]).collect()) == ["duplicate", "unsupported"]
 
 
 def test_logs(spark):
@@ -184,3 +184,160 @@ def test_people(spark):
     assert {(r.id, r.name_native) for r in out.collect()} == {(1, "Χοσέ"), (2, None)}
     assert {(r.document_id, r.people_id, r.role) for r in links.collect()} == {(9, 1, "author"), (9, 2, "unknown"), (8, 2, "sender")}
     assert ingest.rewrite_prefix is not None and enrich.retry_target(1000, 50, 100) == 450 and enrich.retry_target(100, 10, 100) is None
+
+
+def test_reference_times_and_formats(spark):
+    at = lambda *x: datetime(2026, 7, *x)
+    for after, days, hhmm, want in [
+        (at(28, 0, 57, 7), 1, "01:30", at(29, 1, 30)), (at(28, 1, 30, 35), 1, "01:30", at(29, 1, 30)), (at(27, 1, 30), 2, "02:00", at(29, 2)), (at(28, 6), 0.5, "08:00", at(28, 8)),
+        (at(28, 22), 0.5, "08:00", at(29, 8)), (at(28, 10), 0, "02:00", at(29, 2)), (at(28), 1, "", at(29, 2)), (at(28), 0.25, "20:00", at(28, 20)), (at(28), 1, "25:99", at(29, 2)),
+    ]:
+        assert backup.next_time(after, days, hhmm) == want
+    assert backup.due(at(29, 3), at(28, 1), 1, "02:00") and not backup.due(at(29, 1), at(28, 1), 1, "02:00") and not backup.due(at(30), at(28), 1, "", active=1) and backup.due(at(1), None, 1, "")
+    sizes = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 1536, 1 << 20, 5 << 30, 3 << 40)], "n long")
+    assert [r[0] for r in sizes.select(T.format_bytes(F.col("n"))).collect()] == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "1.0 MiB", "5.0 GiB", "3072.0 GiB"]
+    assert [r[0] for r in sizes.select(T.format_size(F.col("n"))).collect()][-3:] == ["1.0 MB", "5.0 GB", "3.0 TB"]
+    spans = spark.createDataFrame([(n,) for n in (450, 14250, 59_999, 60_000, 90_500, 3_599_600, 3_661_000)], "n long")
+    assert [r[0] for r in spans.select(T.human_duration(F.col("n"))).collect()] == ["0.5s", "14.2s", "60.0s", "1m 0s", "1m 31s", "60m 0s", "1h 1m 1s"]
+    assert T.quote_identifier('a"b') == '"a""b"' and T.quote_literal("it's") == "'it''s'" and T.quote_literal(None) == "NULL" and T.quote_literal("a\\b") == " E'a\\\\b'"
+    assert one(spark, T.highlight(F.col("c0")), "a <b>x</b>") == "a \x1b[1;33mx\x1b[0m"
+
+
+def test_provider_errors(spark):
+    rows = [("Payment Required", 402, "openai", "credit"), ("rate limited", 429, "anthropic", "credit"), ('{"error":"Arrearage"}', 400, "qwen", "credit"), ('{"error":"Arrearage"}', 400, "openai", "other"), ("bad request", 400, "qwen", "other"), ("x", 500, "openai", "other")]
+    limit = "maximum context length is {} tokens but you requested {}{} tokens"
+    rows += [(limit.format(200000, "", 250000), 400, "openai", "tokens"), (limit.format(100, "about ", 150), 400, "x", "tokens"), (limit.format(0, "", 100), 400, "x", "other"), (limit.format(100, "", 0), 400, "x", "other")]
+    df = spark.createDataFrame(rows, "body string, status int, provider string, want string")
+    got = df.select("want", enrich.error_class(F.col("body"), F.col("status"), F.col("provider")).alias("got"), enrich.token_limit(F.col("body")).alias("n")).collect()
+    assert all(r.want == r.got for r in got) and [tuple(r.n) for r in got if r.n] == [(200000, 250000), (100, 150)]
+    assert all(enrich._answer_error(b, s, p)[0] == w for b, s, p, w in rows)
+
+
+def test_analysis_errors(spark):
+    def model(prompt):
+        text = prompt.rsplit("\n\n", 1)[-1]
+        if "poor" in text:
+            raise enrich.ModelError("Payment Required", 402)
+        if "blank" in text:
+            return "{}"
+        if len(text.split()) > 300:
+            raise enrich.ModelError("maximum context length is 500 tokens but you requested 1000 tokens", 400)
+        return '{"title": "t"}'
+
+    long = ". ".join(f"Sentence {i} tells of the harbour and the meadow" for i in range(60)) + "."
+    df = spark.createDataFrame([(1, "fine"), (2, "poor"), (3, "blank"), (4, long), (5, None)], "id long, text string")
+    got = {r.id: (r.title, r.attempts, r.error) for r in enrich.analyze(df, "id", "text", model).collect()}
+    assert got == {1: ("t", 1, None), 2: (None, 1, "credit"), 3: (None, 2, "empty"), 4: ("t", 2, None), 5: ("t", 1, None)}
+    batch = spark.createDataFrame([("b1", "processing"), ("b2", "processing")], "id string, status string")
+    task = spark.createDataFrame([("t1", "b1"), ("t2", "b2")], "task_id string, batch_id string")
+    answers = spark.createDataFrame([("t1", "credit"), ("t2", None)], "task_id string, error string")
+    assert {tuple(r) for r in state.pause_batches(batch, task, answers).collect()} == {("b1", "paused"), ("b2", "processing")}
+
+
+def test_people_in_other_scripts(spark):
+    now = F.to_timestamp(F.lit("2024-01-01"))
+    people = spark.createDataFrame([], "id long, name string, name_native string, normalized_name string, created_at timestamp")
+    found = spark.createDataFrame([(1, "Γιώργος Δήμου", None, "author"), (2, "王", "", "witness"), (3, "Giorgos Dimou", "", "boss")], "document_id long, name string, native string, role string")
+    out, links = enrich.upsert_people(people, found, now)
+    assert {(r.name, r.name_native) for r in out.collect()} == {("Giorgos Dimoy", "Γιώργος Δήμου"), ("u738b", "王"), ("Giorgos Dimou", None)}
+    assert {r.document_id for r in links.collect()} == {1, 2, 3} and {r.role for r in links.collect()} == {"author", "witness", "unknown"}
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(f"n{i:03}",) for i in range(500)], "name string").repartition(7)
+    got = {r.name: r.id for r in state.numbered(df, ["name"], spark.createDataFrame([(41,)], "id long")).collect()}
+    assert got == {f"n{i:03}": 42 + i for i in range(500)}
+
+
+def test_inbox_keeps_all_files(spark, tmp_path):
+    import io
+    import zipfile
+
+    from foliant.streaming import inbox
+
+    def docx(text):
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            z.writestr(zipfile.ZipInfo("word/document.xml"), f"<w:document xmlns:w='x'><w:p><w:t>{text}</w:t></w:p></w:document>")
+        return b.getvalue()
+
+    box, args = tmp_path / "in", [str(tmp_path / x) for x in ("docs", "rejects", "check")]
+    box.mkdir()
+    for name, content in {"a.docx": docx("one"), "b.docx": docx("one"), "c.docx": docx("two"), "d.txt": b"plain"}.items():
+        (box / name).write_bytes(content)
+    noon = datetime(2024, 1, 1, 12)
+    assert inbox.poll(spark, str(box), *args, noon, windows=[("13:00", "14:00")]) == "outside its windows" and not (tmp_path / "docs").exists()
+    assert inbox.closed(noon, queued=2, live=2) and inbox.closed(noon, locked=True) and inbox.closed(noon, enabled=False)
+    assert inbox.poll(spark, str(box), *args, noon) == ""
+    (box / "e.docx").write_bytes(docx("two"))
+    (box / "f.docx").write_bytes(docx("three"))
+    assert inbox.poll(spark, str(box), *args, noon) == ""
+    docs, rejects = spark.read.parquet(args[0]), spark.read.parquet(args[1])
+    assert sorted(r.text for r in docs.collect()) == ["one", "three", "two"]
+    assert sorted(r.reason for r in rejects.collect()) == ["duplicate", "duplicate", "unsupported"]
+    assert docs.count() + rejects.count() == 6
+
+
+def test_pdf(spark):
+    import zlib
+
+    from foliant.sources import files
+
+    page = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(all\\)) Tj 0 -14 Td [(W) -10 (orld) -300 (again)] TJ T* <4f6b> Tj ET")
+    pdf = b"%PDF-1.4\n1 0 obj <</Type /Pages /Count 1>> endobj\n2 0 obj <</Type /Page>> endobj\n3 0 obj <</Length 9 /Filter /FlateDecode>>\nstream\n" + page + b"\nendstream endobj\n%%EOF"
+    assert files.pdf_text(pdf) == "Hello (all)\nWorld again\nOk" and files.page_count(pdf) == 1
+    assert files.pdf_text(b"%PDF-1.4 nothing") is None and files.pdf_text(b"x") is None and files.page_count(b"x") is None
+    df = spark.createDataFrame([(bytearray(pdf), "application/pdf"), (None, None)], "content binary, mime string")
+    assert [(r.text, r.page_count) for r in files.with_pages(files.extract(df)).collect()] == [("Hello (all)\nWorld again\nOk", 1), (None, None)]
+
+
+def test_archive_of_a_backup(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "id long, name string")
+    backup.export({"tag": df}, str(tmp_path / "b"), datetime(2024, 1, 1))
+    sha = backup.archive(str(tmp_path / "b"), str(tmp_path / "b.tar.gz"))
+    assert len(sha) == 64 and backup.unpack(str(tmp_path / "b.tar.gz"), str(tmp_path / "c")) == []
+    assert backup.restore(spark, str(tmp_path / "c"))["tag"].count() == 1
+
+
+def test_log_tail(spark, tmp_path):
+    p = tmp_path / "a.log"
+    p.write_text("".join(f"2024-01-01 entry {i}\n" for i in range(1000)))
+    got = logs.last_lines(spark, [str(p)], 100).collect()
+    assert [r.line for r in got][-1] == "2024-01-01 entry 999" and 3 <= len(got) <= 5 and all(r.line.startswith("2024") for r in got)
+
+
+def test_settings(tmp_path, monkeypatch):
+    from foliant.settings import Watched, load
+
+    p = tmp_path / "s.json"
+    p.write_text('{"polling": false, "windows": [["01:00", "02:00"]], "nonsense": 1}')
+    w = Watched(str(p))
+    assert not w.current().polling and w.current().windows == (("01:00", "02:00"),)
+    p.write_text('{"backup_days": 0.5}')
+    assert w.current().polling and w.current().backup_days == 0.5
+    monkeypatch.setenv("FOLIANT_TRASH_DAYS", "9")
+    assert load(str(p)).trash_days == 9
+    monkeypatch.setenv("FOLIANT_TRASH_DAYS", "x")
+    with pytest.raises(ValueError):
+        load(str(p))
+
+
+def test_saved_filters():
+    f = search.Filter(query="a b", tags=("x",), people=(("Ann", "author"),), size=(1, None), created=(None, "2024"), limit=7)
+    assert search.from_record(search.to_record(f)) == f
+
+
+def test_orphans_with_validity_and_hot_keys(spark):
+    t = lambda d: datetime(2024, 1, d)
+    kids = spark.createDataFrame([(1, 7, t(5)), (2, 7, t(1)), (3, 8, t(9)), (4, 8, t(4)), (5, 99, t(5))] + [(100 + i, 7, t(5)) for i in range(3000)], "id long, fk long, at timestamp")
+    up = spark.createDataFrame([(7, t(2), None), (8, t(1), t(6))], "id long, created_at timestamp, gone timestamp")
+    ref = Reference("x", kids, "id", "fk", "at", up, "id", "created_at", parent_until="gone")
+    for parts in (1000, 10, 2):
+        assert {(r.row_id, r.kind) for r in orphans([ref], parts).collect()} == {(2, "late"), (3, "deleted"), (5, "missing")}
+
+
+def test_rename(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    for row_id, name, code in ((1, "c", "Updated"), (1, "a", "Noop"), (1, "b", "Conflict"), (9, "z", "NotFound"), (1, " ", "Invalid")):
+        out, result = state.rename(df, row_id, name)
+        assert result.first().code == code and out.filter("id = 1").first().name == ("c" if code == "Updated" else "a")
