@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import stored
+
 #: Most vectors that are held in memory at once; more are taken in blocks of this size.
 HELD_VECTORS = 50_000
 # Least similarity for a match and for a replacement, by model.
@@ -71,23 +73,24 @@ def mean_pool(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
     return df.groupBy(group).agg(*v).select(group, F.array(*[F.round(f"v{i}", 6) for i in range(dim)]).alias("embedding"))
 
 
-def _blocks(targets: DataFrame, held: int) -> list[tuple[list, np.ndarray]]:
-    """The targets in blocks of bounded size, by the hash of their key."""
+def _blocks(targets: DataFrame, held: int) -> Iterator[tuple[list, np.ndarray, bool]]:
+    """The targets in blocks of bounded size, by the hash of their key; and whether there are several."""
     n = targets.count()
     k = max(1, -(-n // held))
     t = targets.withColumn("_b", F.pmod(F.xxhash64("t"), F.lit(k)))
     for b in range(k):
-        rows = t.filter(F.col("_b") == b).select("t", "v").collect()
-        if rows:
-            yield [r.t for r in rows], np.array([r.v for r in rows], np.float64)
+        rows = [r for r in t.filter(F.col("_b") == b).select("t", "v").collect() if r.v is not None]
+        for size in sorted({len(r.v) for r in rows}):  # vectors of other lengths are alike in nothing
+            own = [r for r in rows if len(r.v) == size]
+            yield [r.t for r in own], np.array([r.v for r in own], np.float64), k > 1
 
 
 def similar(queries: DataFrame, targets: DataFrame, least: float, top: int = TOP, held: int = HELD_VECTORS) -> DataFrame:
     """q, t, similarity: of each query (q, v) the `top` targets (t, v) with similarity of at least `least`, ties by t.
-    The targets come in blocks of bounded size to all tasks; a query's best of each block meet in a small group."""
+    The targets come in blocks of bounded size to all tasks, one after the other, so that the driver holds one; a query's best of each block meet in a small group."""
     qt, tt = dict(queries.dtypes)["q"], dict(targets.dtypes)["t"]
     out = None
-    for names, m in _blocks(targets, held):
+    for names, m, more in _blocks(targets, held):
         b = queries.sparkSession.sparkContext.broadcast((names, m))
 
         def run(batches: Iterator[pd.DataFrame], b=b) -> Iterator[pd.DataFrame]:
@@ -106,6 +109,9 @@ def similar(queries: DataFrame, targets: DataFrame, least: float, top: int = TOP
                 yield pd.DataFrame(rows, columns=["q", "t", "similarity"])
 
         one = queries.select("q", "v").mapInPandas(run, f"q {qt}, t {tt}, similarity double")
+        if more:
+            one = stored(one, "similar")
+            b.unpersist()
         out = one if out is None else out.unionByName(one)
     if out is None:
         return queries.sparkSession.createDataFrame([], f"q {qt}, t {tt}, similarity double")

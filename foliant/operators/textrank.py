@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import DROPPED
 
-CHUNK, LEAST_TARGET = 150, 2000
+CHUNK, LEAST_TARGET, WORDS = 150, 2000, 2048
 # Weights of the three scores, damping, steps, tolerance, resemblance from which a pick weighs down others, its full penalty.
 WEIGHTS, DAMPING, STEPS, TOLERANCE, ALIKE, PENALTY = (0.4, 0.4, 0.2), 0.85, 100, 1e-4, 0.15, 0.9
 
@@ -49,27 +49,41 @@ def chunked(words: list[str], size: int) -> list[tuple[list[str], int]]:
 
 
 def overlap(sets: list[set[str]]) -> np.ndarray:
-    """Jaccard similarity of all pairs, from a chunk by word matrix."""
-    ids = {w: i for i, w in enumerate(dict.fromkeys(w for s in sets for w in s))}
-    m = np.zeros((len(sets), len(ids)), np.float32)
+    """Jaccard similarity of all pairs. Words are taken WORDS at a time, so that the chunk by word matrix stays small; words of one chunk only link nothing."""
+    ids: dict[str, int] = {}
+    seen = Counter(w for s in sets for w in s)
+    rows, cols = [], []
     for r, s in enumerate(sets):
-        m[r, [ids[w] for w in s]] = 1
-    both = (m @ m.T).astype(float)
-    n = m.sum(1).astype(float)
-    union = n[:, None] + n[None, :] - both
-    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        for w in s:
+            if seen[w] > 1:
+                rows.append(r)
+                cols.append(ids.setdefault(w, len(ids)))
+    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    n = np.array([len(s) for s in sets], float)
+    both = np.zeros((len(sets), len(sets)))
+    for a in range(0, len(ids), WORDS):
+        lo, hi = np.searchsorted(cols, [a, a + WORDS])
+        m = np.zeros((len(sets), WORDS), np.float32)
+        m[rows[lo:hi], cols[lo:hi] - a] = 1
+        both += m @ m.T
+    np.fill_diagonal(both, n)
+    for r in range(len(sets)):  # row by row: no further matrix of all pairs
+        union = n[r] + n - both[r]
+        both[r] = np.divide(both[r], union, out=np.zeros(len(sets)), where=union > 0)
+    return both
 
 
 def graph_scores(sim: np.ndarray) -> np.ndarray:
     """Weighted rank of the chunks. The self link takes part in what a chunk gives out but not in what it receives, and the step that meets the tolerance is not taken."""
     n = len(sim)
-    links = sim.copy()
-    np.fill_diagonal(links, 1.0)
-    give = links / links.sum(1, keepdims=True)
-    np.fill_diagonal(give, 0.0)
+    own = np.diagonal(sim)
+    total = sim.sum(1) - own + 1.0
     s = np.full(n, 1.0 / n)
     for _ in range(STEPS):
-        new = (1 - DAMPING) / n + DAMPING * (s @ give)
+        part = s / total
+        new = (1 - DAMPING) / n + DAMPING * (part @ sim - part * own)
         if np.abs(new - s).sum() < TOLERANCE:
             break
         s = new

@@ -341,3 +341,47 @@ def test_rename(spark):
     for row_id, name, code in ((1, "c", "Updated"), (1, "a", "Noop"), (1, "b", "Conflict"), (9, "z", "NotFound"), (1, " ", "Invalid")):
         out, result = state.rename(df, row_id, name)
         assert result.first().code == code and out.filter("id = 1").first().name == ("c" if code == "Updated" else "a")
+
+
+def test_overlap_and_graph_by_hand():
+    import numpy as np
+
+    sets = [{"a", "b"}, {"b", "c"}, {"d"}, set()]
+    sim = textrank.overlap(sets)
+    want = np.array([[len(x & y) / len(x | y) if x | y else 0.0 for y in sets] for x in sets])
+    assert np.allclose(sim, want)
+    links = sim.copy()
+    np.fill_diagonal(links, 1.0)
+    give = links / links.sum(1, keepdims=True)
+    np.fill_diagonal(give, 0.0)
+    s = np.full(4, 0.25)
+    for _ in range(textrank.STEPS):
+        new = 0.15 / 4 + 0.85 * (s @ give)
+        if np.abs(new - s).sum() < 1e-4:
+            break
+        s = new
+    assert np.allclose(textrank.graph_scores(sim), s / s.sum())
+
+
+def test_similar_in_blocks(spark):
+    import random
+
+    from foliant.operators import matching
+
+    rnd = random.Random(3)
+    vec = lambda n: [rnd.choice([-1.0, 0.0, 1.0]) for _ in range(n)]
+    q = spark.createDataFrame([(i, vec(4)) for i in range(12)] + [(99, None)], "q long, v array<double>")
+    t = spark.createDataFrame([(f"t{i:02}", vec(4)) for i in range(30)] + [("odd", vec(3)), ("none", None)], "t string, v array<double>")
+    whole = {tuple(r) for r in matching.similar(q, t, 1.0, 3).collect()}
+    assert whole == {tuple(r) for r in matching.similar(q, t, 1.0, 3, held=5).collect()} and all(x[1] != "odd" for x in whole)
+
+
+def test_index_as_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "The red fox and the red hen"), (2, "A fox. " + "word " * 120 + "red"), (3, None), (4, "red"), (5, "redder foxes")], "id long, text string")
+    text = fts.index_text(F.lit(None).cast("string"), F.col("text"))
+    fts.write_index(docs, str(tmp_path / "i"), "id", text)
+    index = fts.read_index(spark, str(tmp_path / "i"))
+    for q in ("red", "Red FOX", "fox red the", "nothing", "", "?!"):
+        want = {(r.id, r.rank) for r in docs.filter(fts.matches(text, q)).select("id", fts.rank(text, q).alias("rank")).collect()}
+        assert {(r.id, r.rank) for r in fts.hits(index, q).collect()} == want
+    assert "PartitionFilters: [bucket" in fts.hits(index, "red fox")._jdf.queryExecution().toString()
