@@ -65,6 +65,11 @@ def restore(spark: SparkSession, path: str, old_root: str | None = None, new_roo
     return out
 
 
+def totals(files: DataFrame) -> DataFrame:
+    """files, bytes: of a folder's files (path, length)."""
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def expired(names: list[str], keep: int) -> list[str]:
     """The backups beyond the newest `keep`, by name; 0 keeps all."""
     return sorted(names, reverse=True)[keep:] if keep > 0 else []

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -98,6 +100,23 @@ def model_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def model_of(catalog: DataFrame, provider: str, model: str) -> DataFrame:
+    """The catalog's row for a model; without one of that name, the one whose name the asked name begins with (the longest)."""
+    fits = catalog.filter((F.lower("provider") == provider.lower()) & F.lit(model.lower()).startswith(F.lower(F.col("model"))))
+    return fits.orderBy(F.length("model").desc(), "model").limit(1)
+
+
+def move_orphan(row_path: str, folder: str) -> str:
+    """Move an orphaned file to a folder (quarantine, or back to the inbox); a name that is taken gets a number. The new path."""
+    source, target = Path(row_path), Path(folder)
+    target.mkdir(parents=True, exist_ok=True)
+    to, n = target / source.name, 1
+    while to.exists():
+        to, n = target / f"{source.stem}-{n}{source.suffix}", n + 1
+    shutil.move(source, to)
+    return str(to)
+
+
 def downscale(pixels: bytes, width: int, height: int, out_width: int, out_height: int) -> bytes:
     """Nearest neighbour, RGB rows."""
     a = np.frombuffer(pixels, np.uint8).reshape(height, width, 3)

@@ -215,6 +215,13 @@ def purge_expired(document: DataFrame, days: int, at: Column) -> DataFrame:
     return delete(document, F.col("deleted_at") < at - F.make_dt_interval(F.lit(days)))
 
 
+def purgeable(folders: DataFrame, document: DataFrame, at: Column, grace_minutes: int = 5) -> DataFrame:
+    """Folders of the trash (document_id, modified_at) that no trashed document has any more and that were not written to just now."""
+    held = document.filter("deleted_at is not null").select("document_id")
+    old = F.col("modified_at") <= at - F.make_dt_interval(mins=F.lit(grace_minutes))
+    return folders.filter(old).join(held, "document_id", "left_anti").select(*folders.columns)
+
+
 def cascade(junction: DataFrame, document: DataFrame) -> DataFrame:
     """Rows of a junction whose document still exists."""
     return junction.join(document.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(*junction.columns)

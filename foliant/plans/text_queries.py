@@ -36,7 +36,8 @@ def col(name: str, expr, sql: str) -> None:
 
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 col("word_count", T.count_words, f"len({_WORDS})")
-col("estimate_tokens", T.estimate_tokens, "ceil(length(text) / 4.0)::INTEGER")
+_CJK = r"len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]'))"
+col("estimate_tokens", T.estimate_tokens, f"CASE WHEN {_CJK} > length(text) * 0.1 THEN ceil({_CJK} * 1.5 + (length(text) - {_CJK}) / 4.0) ELSE ceil(length(text) / 4.0) END::INTEGER")
 col("estimate_tokens_from_words", lambda c: T.estimate_tokens_from_words(T.count_words(c)), f"round(len({_WORDS}) * 1.3)::INTEGER")
 col("clean_up", T.clean_up, r"translate(text, '$€£¥¢%&*+=<>^|~@#\_[]{}', '')")
 col("truncate_title", lambda c: T.truncate(c, 40), r"CASE WHEN trim(text) = '' THEN 'Unknown' WHEN length(text) <= 40 THEN text ELSE rtrim(substr(text, 1, 40), E' \t\n\r') END")
@@ -52,18 +53,37 @@ add("normalize_tags", lambda s, d: Archive(s, d).tag.select("id", T.normalize_ta
 
 
 def filter_tags(spark: SparkSession, data: str) -> DataFrame:
-    """Tag names of each live document, filtered against its people, all types and its title."""
+    """Tag names of each live document, filtered against its people, the persons whose names share a word with its tags, all types and its title."""
     a = Archive(spark, data)
     names = a.tag.select(F.col("id").alias("tag_id"), F.get(T.normalize_tags(F.array("name")), F.lit(0)).alias("t"))
     tags = a.document_tag.join(names, "tag_id").filter("t is not null").groupBy("document_id").agg(F.array_sort(F.collect_set("t")).alias("tags"))
     people = a.document_people.join(a.people.select(F.col("id").alias("people_id"), "normalized_name"), "people_id").groupBy("document_id").agg(F.collect_set("normalized_name").alias("people"))
     types = a.document_type.agg(F.collect_set(T.normalize_for_db("name")).alias("types"))  # a small fixed table
     d = a.live.select(F.col("id").alias("document_id"), T.normalize_for_db("title").alias("title"))
-    x = d.join(tags, "document_id").join(people, "document_id", "left").join(F.broadcast(types), F.lit(True))
-    return x.select("document_id", E.filter_tags(F.col("tags"), F.col("people"), F.array().cast("array<string>"), F.col("title"), F.col("types")).alias("tags"))
-
-
-add("filter_tags", filter_tags)
+    # Only a person all of whose words stand in a tag's reach can bar it: those whose names share a word with it are enough.
+    words = lambda c: F.explode(F.split(c, " ")).alias("w")
+    everyone = a.people.select(F.col("normalized_name").alias("k")).filter("k is not null").distinct()
+    met = tags.select(F.explode("tags").alias("t")).distinct().select("t", words("t")).join(everyone.select("k", words("k")), "w").groupBy("t").agg(F.collect_set("k").alias("ks"))
+    known = tags.select("document_id", F.explode("tags").alias("t")).join(met, "t").groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_set("ks"))).alias("known"))
+    x = d.join(tags, "document_id").join(people, "document_id", "left").join(known, "document_id", "left").join(F.broadcast(types), F.lit(True))
+    return x.select("document_id", E.filter_tags(F.col("tags"), F.col("people"), F.col("known"), F.col("title"), F.col("types")).alias("tags"))
+
+
+_NORM = r"trim(regexp_replace(regexp_replace(strip_accents(translate(lower(trim({})), '-_', '  ')), '[^a-z ]', '', 'g'), ' +', ' ', 'g'))"
+_TOKS = "list_filter(string_split({}, ' '), lambda x: x <> '')"
+add(
+    "filter_tags",
+    filter_tags,
+    VIEWS
+    + f""", t AS (SELECT DISTINCT dt.document_id, {_NORM.format("g.name")} AS t FROM document_tag dt JOIN tag g ON g.id = dt.tag_id),
+own AS (SELECT dp.document_id, flatten(list({_TOKS.format("p.normalized_name")})) AS ws FROM document_people dp JOIN persons p ON p.id = dp.people_id GROUP BY 1),
+kinds AS (SELECT flatten(list({_TOKS.format(_NORM.format("name"))})) AS ws FROM document_type),
+k AS (SELECT DISTINCT {_TOKS.format("normalized_name")} AS ws FROM persons WHERE normalized_name <> ''),
+x AS (SELECT t.document_id, t.t, {_TOKS.format("t.t")} AS ws, coalesce(own.ws, []) AS people, {_TOKS.format(_NORM.format("coalesce(l.title, '')"))} AS title FROM t JOIN live l ON l.id = t.document_id LEFT JOIN own ON own.document_id = t.document_id WHERE t.t <> ''),
+kept AS (SELECT document_id, t FROM x, kinds WHERE len(x.ws) BETWEEN 1 AND 3 AND NOT list_has_any(x.ws, people) AND NOT list_has_any(x.ws, kinds.ws) AND NOT list_has_all(title, x.ws)
+AND NOT (len(x.ws) >= 2 AND EXISTS (SELECT 1 FROM k WHERE list_has_all(k.ws, x.ws))))
+SELECT d.document_id, coalesce((SELECT list(t ORDER BY t)[1:5] FROM kept WHERE kept.document_id = d.document_id), []) AS tags FROM (SELECT DISTINCT document_id FROM x) d""",
+)
 add("textrank_chunks", lambda s, d: R.chunk_rows(_docs(s, d), "doc_id", "text"))
 add("textrank_reduce", lambda s, d: R.reduce(_docs(s, d), "doc_id", "text", -4))
 add("analyze_documents", lambda s, d: E.analyze(R.reduce(_docs(s, d), "doc_id", "text", 2000), "doc_id", "text"))

@@ -82,6 +82,26 @@ def stored(spark: SparkSession, root: str, settled_seconds: int, now: Column) ->
     return df.filter(F.col("modificationTime") < now - F.make_dt_interval(secs=F.lit(settled_seconds))).select("path", "modificationTime", "length")
 
 
+def zipped(files: DataFrame, group: str, name: str = "name", content: str = "content") -> DataFrame:
+    """group, archive: the files of each group (a request's documents) as one zip; names that repeat get a number."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        out, taken = io.BytesIO(), set()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for n, c in sorted(zip(b["name"], b["content"]), key=lambda x: x[0]):
+                stem, dot, ext = n.rpartition(".")
+                unique, k = n, 2
+                while unique in taken:
+                    unique, k = f"{stem or ext} ({k}){dot}{ext if stem else ''}", k + 1
+                taken.add(unique)
+                z.writestr(unique, bytes(c))
+        return pd.DataFrame({"group": [b["group"].iloc[0]], "archive": [out.getvalue()]})
+
+    gt = dict(files.dtypes)[group]
+    rows = files.select(F.col(group).alias("group"), F.col(name).alias("name"), F.col(content).alias("content")).filter("name is not null and content is not null")
+    return rows.groupBy("group").applyInPandas(run, f"group {gt}, archive binary").withColumnRenamed("group", group)
+
+
 def _paragraphs(xml: bytes, heads: set[str], texts: set[str] | None) -> str:
     lines: list[str] = []
     for p in ElementTree.fromstring(xml).iter():

@@ -26,3 +26,26 @@ def test_steps(spark):
     assert P.downscale(bytes(range(12)), 2, 2, 1, 1) == bytes([0, 1, 2])
     docs = spark.createDataFrame([(1, "one two three four"), (2, "one")], "id long, text string")
     assert [r.id for r in P.second_look(docs, "id", "text", 2, lambda p: '{"type": "letter", "title": "t"}', "letter").collect()] == [1]
+
+
+def test_trash_catalog_zip_and_orphans(spark, tmp_path):
+    import io
+    import zipfile
+
+    from foliant.operators import backup, state
+    from foliant.sources import files
+
+    t = datetime(2024, 1, 2)
+    folders = spark.createDataFrame([("a", datetime(2024, 1, 1)), ("b", datetime(2024, 1, 1)), ("c", datetime(2024, 1, 1, 23, 58))], "document_id string, modified_at timestamp")
+    docs = spark.createDataFrame([("a", t), ("b", None)], "document_id string, deleted_at timestamp")
+    assert [r.document_id for r in state.purgeable(folders, docs, F.lit(t)).collect()] == ["b"]
+    catalog = spark.createDataFrame([("p", "m", 1), ("p", "m-large", 2), ("q", "m", 3)], "provider string, model string, limit int")
+    assert P.model_of(catalog, "P", "m-large-2024").first().limit == 2 and P.model_of(catalog, "x", "m").count() == 0
+    rows = spark.createDataFrame([(1, "a.pdf", bytearray(b"x")), (1, "a.pdf", bytearray(b"y")), (2, "b", bytearray(b"z")), (2, None, None)], "g int, name string, content binary")
+    got = {r.g: zipfile.ZipFile(io.BytesIO(r.archive)).namelist() for r in files.zipped(rows, "g").collect()}
+    assert got == {1: ["a.pdf", "a (2).pdf"], 2: ["b"]}
+    for _ in range(2):
+        (tmp_path / "x.pdf").write_text("1")
+        P.move_orphan(str(tmp_path / "x.pdf"), str(tmp_path / "q"))
+    assert sorted(p.name for p in (tmp_path / "q").iterdir()) == ["x-1.pdf", "x.pdf"]
+    assert tuple(backup.totals(spark.createDataFrame([("a", 3), ("b", 4)], "path string, length long")).first()) == (2, 7)
