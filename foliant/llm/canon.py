@@ -3,7 +3,7 @@
 The entries stand in a BK-tree under the unrestricted Damerau-Levenshtein distance, a true metric; the triangle
 inequality prunes the branches that hold nothing within the threshold, and all entries within it come back. A list of
 up to BROADCAST_ENTRIES entries is broadcast and each task builds the tree once; a longer one is cut into shards, each
-distinct name visits the tree of every shard, and the shards' winners are merged by a min.
+name visits the tree of every shard, and the shards' winners are merged by a min. Names are looked up once for each spelling.
 
 Before the search a name is brought to a canonical spelling (case, accents, separators, digits typed for letters,
 wrappers such as "tag:", "etc.", a year or a remark in brackets are dropped), its words are also read in other orders (four and more: rotated or sorted), and
@@ -31,6 +31,8 @@ BROADCAST_ENTRIES = 20_000
 SHARD_ENTRIES = 20_000
 #: Distinct names that one task looks up in one shard.
 BLOCK_NAMES = 20_000
+#: Distinct names that one task looks up in the broadcast list: a second or two of work, which no reader of small files would share out.
+TASK_NAMES = 1000
 
 # Digits and signs typed for letters.
 LOOKALIKES = {"0": "o", "1": "l", "3": "e", "5": "s", "@": "a", "$": "s", "|": "l"}
@@ -243,28 +245,24 @@ def map_values(values: DataFrame, vocabulary: DataFrame, key: str = "id", name:
     vals = values.select(F.col(key).alias("key"), F.col(name).alias("name"))
     vocab = vocabulary.select(F.col(entry).cast("long").alias("e"), F.col(entry_name).alias("n")).filter("e is not null and n is not null")
     size = vocab.count()
-    kt = dict(values.dtypes)[key]
+    typed = stored(vals.select("name").filter("name is not null").distinct(), "names")  # each spelling is looked up once
+    spellings = typed.count()
     if size <= broadcast_entries:
         entries = vals.sparkSession.sparkContext.broadcast([(r.e, r.n) for r in vocab.collect()])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            canon, seen = Canon(entries.value), {}
+            canon = Canon(entries.value)
             for b in batches:
-                new = [n for n in b.name.unique() if n not in seen]
-                seen.update(zip(new, canon.best([n if isinstance(n, str) else None for n in new])))
-                got = [seen[n] for n in b.name]
-                if len(seen) > 200_000:
-                    seen.clear()
-                yield pd.DataFrame({"key": b.key, "d": [g[0] for g in got], "e": [g[1] for g in got]})
-
-        best = vals.mapInPandas(run, f"key {kt}, d int, e long").groupBy("key").agg(F.min(F.struct("d", "e")).alias("b"))
+                got = canon.best(list(b.name))
+                yield pd.DataFrame({"name": b.name, "d": [g[0] for g in got], "e": [g[1] for g in got]})
+
+        won = typed.repartition(max(1, -(-spellings // TASK_NAMES))).mapInPandas(run, "name string, d int, e long").filter("d < 99")
     else:
         shards = -(-size // shard_entries)
         each = vocab.withColumn("shard", F.pmod(F.xxhash64("e"), F.lit(shards)).cast("int"))
-        names = stored(vals.select("name").filter("name is not null").distinct(), "names")
-        count = max(1, -(-names.count() // block_names))  # blocks of bounded size, as many as there are names for
+        count = max(1, -(-spellings // block_names))  # blocks of bounded size, as many as there are names for
         block = F.pmod(F.xxhash64("name", F.lit(3)), F.lit(count)).cast("int")
-        blocks = names.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        blocks = typed.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         trees = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
 
         def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -276,6 +274,6 @@ def map_values(values: DataFrame, vocabulary: DataFrame, key: str = "id", name:
         # The winners of the shards: a tie is one between spellings (or within a shard, where the entry is 0), not between ids.
         won = won.filter("d < 99").groupBy("name", "d").agg(F.min("e").alias("e"), F.min("s").alias("s"), F.max("s").alias("s2"))
         won = won.groupBy("name").agg(F.min(F.struct("d", F.when(F.col("s") == F.col("s2"), F.col("e")).otherwise(F.lit(0)).alias("e"))).alias("w")).select("name", "w.*")
-        best = vals.join(won, "name", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("d", F.lit(99)).alias("d"), F.coalesce("e", F.lit(0)).alias("e"))).alias("b"))
+    best = vals.join(won, "name", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("d", F.lit(99)).alias("d"), F.coalesce("e", F.lit(0)).alias("e"))).alias("b"))
     found = F.col("b.e") != 0
     return best.select(F.col("key").alias(key), F.col("b.e").alias("entry_id"), F.when(found, F.col("b.d")).alias("distance"))
