@@ -37,6 +37,11 @@ def counted(df: DataFrame) -> DataFrame:
     return df.agg(_count().alias("count"))
 
 
+def as_json(page: DataFrame) -> DataFrame:
+    """Each row of a page as one JSON object (column `value`), nulls left out."""
+    return page.select(F.to_json(F.struct(*page.columns)).alias("value"))
+
+
 def tasks(a: Archive, batch_id: str | None = None, status: str | None = None, task_type: str | None = None, limit: int = 0, offset: int = 0) -> DataFrame:
     """The sixteen task listings as one: any of batch, status and type, newest first, paged or not."""
     return newest(by(a.task, batch_id=batch_id, status=status, task_type=task_type), limit=limit, offset=offset)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -135,6 +137,24 @@ def stub_model(prompt: str) -> str:
     return json.dumps({"title": " ".join(text.split()[:8]), "type": "", "tags": tags, "people": [], "language": ""})
 
 
+def http_model(url: str, model: str, api_key: str = "", provider: str = "", timeout: float = 120.0, temperature: float = 0.0) -> Callable[[str], str]:
+    """A model behind an HTTP endpoint that takes chat messages as JSON and answers with choices; what it refuses becomes a ModelError."""
+
+    def ask(prompt: str) -> str:
+        body = json.dumps({"model": model, "temperature": temperature, "messages": [{"role": "user", "content": prompt}]}).encode()
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, head), timeout=timeout) as r:
+                answer = json.loads(r.read())
+        except urllib.error.HTTPError as x:
+            raise ModelError(x.read().decode("utf-8", "replace"), x.code, provider) from x
+        except (urllib.error.URLError, ValueError, TimeoutError) as x:
+            raise ModelError(str(x), 0, provider) from x
+        return answer["choices"][0]["message"]["content"] if answer.get("choices") else ""
+
+    return ask
+
+
 def analyze(df: DataFrame, key: str, text: str, model: Callable[[str], str] = stub_model, template: str = PROMPT, types: str = "", tags: str = "", most_tokens: int = 0) -> DataFrame:
     """key, title, type, tags, language, attempts, error: the model's answer for each text. An empty or unreadable answer is asked for once more. A text that is
     too long (over most_tokens by estimate, or by the model's own word, a ModelError) is reduced to the words that fit and asked for once more;

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import DROPPED
+from foliant.functions.text import DROPPED, lexemes
 
 CHUNK, LEAST_TARGET, WORDS = 150, 2000, 2048
 # Weights of the three scores, damping, steps, tolerance, resemblance from which a pick weighs down others, its full penalty.
@@ -131,6 +131,18 @@ def reduce_text(text: str, target: int, size: int = CHUNK) -> str:
     return out
 
 
+def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, token, score: of each document's tokens their share of it times log((documents + 1) / (documents with the token + 1))."""
+    toks = df.select(F.col(key).alias("key"), lexemes(F.col(text)).alias("ts"))
+    n = F.count(F.lit(1))
+    each = toks.select("key", F.size("ts").alias("size"), F.explode("ts").alias("token")).groupBy("key", "size", "token").agg(n.alias("n"))
+    of = each.groupBy("token").agg(n.alias("df"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))  # one row
+    out = each.join(of, "token").join(F.broadcast(total), F.lit(True))
+    score = F.col("n") / F.col("size") * F.log((F.col("total") + 1) / (F.col("df") + 1))
+    return out.select(F.col("key").alias(key), "token", F.round(score, 8).alias("score"))
+
+
 def reduce(df: DataFrame, key: str, text: str, target: int, size: int = CHUNK) -> DataFrame:
     """key, text, words: each text reduced. Null stays null."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import enrich as E
 from foliant.operators import matching as V
+from foliant.operators import pipeline as P
 from foliant.operators import textrank as R
 from foliant.sources import logs
 from foliant.sources.tables import table
@@ -41,6 +42,11 @@ col("estimate_tokens", T.estimate_tokens, f"CASE WHEN {_CJK} > length(text) * 0.
 col("estimate_tokens_from_words", lambda c: T.estimate_tokens_from_words(T.count_words(c)), f"round(len({_WORDS}) * 1.3)::INTEGER")
 col("clean_up", T.clean_up, r"translate(text, '$€£¥¢%&*+=<>^|~@#\_[]{}', '')")
 col("truncate_title", lambda c: T.truncate(c, 40), r"CASE WHEN trim(text) = '' THEN 'Unknown' WHEN length(text) <= 40 THEN text ELSE rtrim(substr(text, 1, 40), E' \t\n\r') END")
+col("clean_code_block", lambda c: T.clean_code_block(F.concat(F.lit("```json\n"), c, F.lit("\n```  "))), r"regexp_replace(text, '^\s+|\s+$', '', 'g')")
+col("split_sentences", lambda c: F.size(T.split_sentences(c)), r"len(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', E'\\1\x01', 'g'), E'\x01|\n\n'))")
+col("sanitize_filename", lambda c: T.sanitize_filename(F.substring(c, 1, 80)), r"translate(translate(substr(text, 1, 80), '/\', '__'), chr(13) || chr(10) || chr(34) || chr(39), '')")
+col("truncate_bytes", lambda c: T.truncate_bytes(101)(c), "substr(text, 1, len(list_filter(range(1, least(length(text), 101) + 1), lambda i: octet_length(encode(substr(text, 1, i))) <= 101)))")
+col("highlight", lambda c: T.highlight(F.concat(F.lit("<b>"), F.substring(c, 1, 20), F.lit("</b>")), "[", "]"), "'[' || substr(text, 1, 20) || ']'")
 col("strip_tags", T.strip_tags, "regexp_replace(text, '<[^>]*>', '', 'g')")
 col("sanitize_snippet", T.sanitize_snippet, """replace(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;'), '&lt;b&gt;', '<b>'), '&lt;/b&gt;', '</b>')""")
 col("head_tail_words", lambda c: T.head_tail_words(c, 30, 20), rf"CASE WHEN len({_WORDS}) > 30 THEN array_to_string({_WORDS}[1:30], ' ') || E'\n\n[...]\n\n' || array_to_string({_WORDS}[len({_WORDS}) - least(20, len({_WORDS}) - 30) + 1:], ' ') ELSE array_to_string({_WORDS}, ' ') END")
@@ -84,6 +90,21 @@ kept AS (SELECT document_id, t FROM x, kinds WHERE len(x.ws) BETWEEN 1 AND 3 AND
 AND NOT (len(x.ws) >= 2 AND EXISTS (SELECT 1 FROM k WHERE list_has_all(k.ws, x.ws))))
 SELECT d.document_id, coalesce((SELECT list(t ORDER BY t)[1:5] FROM kept WHERE kept.document_id = d.document_id), []) AS tags FROM (SELECT DISTINCT document_id FROM x) d""",
 )
+
+_TI = r"SELECT doc_id, token, n, sum(n) OVER (PARTITION BY doc_id) AS size FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE token <> '' GROUP BY ALL)"
+add("tf_idf_best", lambda s, d: R.tf_idf(_docs(s, d), "doc_id", "text").groupBy("doc_id").agg(F.max("score").alias("score")), f"SELECT doc_id, round(max(n / size * ln(((SELECT count(*) FROM documents) + 1) / (df + 1))), 8) AS score FROM ({_TI}) t JOIN (SELECT token, count(*) AS df FROM ({_TI}) GROUP BY 1) USING (token) GROUP BY 1")
+
+
+def tags_suggested(spark: SparkSession, data: str) -> DataFrame:
+    """Tags for each live document, from the tag table by the vectors of names and titles; all names where none is near enough."""
+    a = Archive(spark, data)
+    names = a.tag.select("name").distinct()
+    tags = V.encode(names, "name", V.hashed_encoder(64), "name").select(F.col("name").alias("t"), F.col("embedding").alias("v"))
+    docs = V.encode(a.live.filter("title is not null"), "title", V.hashed_encoder(64)).select(F.col("id").alias("q"), F.col("embedding").alias("v"))
+    return P.suggestions(a.live.select("id"), V.similar(docs, tags, 0.4, 5), names).select("id", F.size("tags").alias("tags"))
+
+
+add("tags_suggested", tags_suggested)
 add("textrank_chunks", lambda s, d: R.chunk_rows(_docs(s, d), "doc_id", "text"))
 add("textrank_reduce", lambda s, d: R.reduce(_docs(s, d), "doc_id", "text", -4))
 add("analyze_documents", lambda s, d: E.analyze(R.reduce(_docs(s, d), "doc_id", "text", 2000), "doc_id", "text"))

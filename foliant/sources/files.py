@@ -64,6 +64,14 @@ def inbox(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
     return hashed(df).orderBy("modificationTime", "path").limit(most) if most > 0 else hashed(df)
 
 
+def single(spark: SparkSession, path: str) -> DataFrame:
+    """One file, with its type and hashes; a type that is not supported is an error."""
+    df = hashed(spark.read.format("binaryFile").load(path), supported=False)
+    if (mime := df.first().mime) not in MIME_TYPES:
+        raise ValueError(f"{path}: {mime} is not supported")
+    return df
+
+
 def hashed(df: DataFrame, supported: bool = True) -> DataFrame:
     df = df.withColumn("mime", sniff(F.col("content")))
     df = df.filter(F.col("mime").isin(*MIME_TYPES)) if supported else df
@@ -184,7 +192,7 @@ EXTRACTORS = {DOCX: office_text, ODT: office_text, "application/pdf": pdf_text}
 
 
 def extract(df: DataFrame, extractors: dict | None = None) -> DataFrame:
-    """df (mime, content) with text: of the extractor for the type, null where there is none."""
+    """df (mime, content) with text: of the extractor for the type, null where there is none (which `unread` tells from a file without text)."""
     ex = EXTRACTORS | (extractors or {})
 
     @pandas_udf("string")
@@ -194,6 +202,11 @@ def extract(df: DataFrame, extractors: dict | None = None) -> DataFrame:
     return df.withColumn("text", run("mime", "content"))
 
 
+def unread(df: DataFrame, extractors: dict | None = None) -> DataFrame:
+    """The files (mime) for whose type there is no extractor."""
+    return df.filter(~F.coalesce(F.col("mime").isin(*EXTRACTORS, *(extractors or {})), F.lit(False)))
+
+
 def with_pages(df: DataFrame) -> DataFrame:
     """df (content) with the number of pages."""
 

@@ -385,3 +385,40 @@ def test_index_as_scan(spark, tmp_path):
         want = {(r.id, r.rank) for r in docs.filter(fts.matches(text, q)).select("id", fts.rank(text, q).alias("rank")).collect()}
         assert {(r.id, r.rank) for r in fts.hits(index, q).collect()} == want
     assert "PartitionFilters: [bucket" in fts.hits(index, "red fox")._jdf.queryExecution().toString()
+
+
+def test_http_model():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            ask = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            poor = "poor" in ask["messages"][0]["content"]
+            self.send_response(402 if poor else 200)
+            self.end_headers()
+            self.wfile.write(b"Payment Required" if poor else json.dumps({"choices": [{"message": {"content": ask["model"] + self.headers["Authorization"]}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        model = enrich.http_model(f"http://127.0.0.1:{server.server_port}/", "m", "k", timeout=10)
+        assert model("hello") == "mBearer k"
+        with pytest.raises(enrich.ModelError) as x:
+            model("poor")
+        assert (x.value.status, x.value.body) == (402, "Payment Required")
+        with pytest.raises(enrich.ModelError):
+            enrich.http_model("http://127.0.0.1:1/", "m", timeout=1)("x")
+    finally:
+        server.shutdown()
+
+
+def test_parameters_and_rows_as_json(spark):
+    assert [search.coerce(v, 25, 1, 100) for v in ("7", "0", "101", "x", None)] == [7, 25, 25, 25, 25] and [search.clamp_limit(n) for n in (0, 7, 999)] == [50, 7, 100]
+    from foliant.operators import catalog
+
+    assert [r.value for r in catalog.as_json(spark.createDataFrame([(1, None, "ä")], "id int, x string, name string")).collect()] == ['{"id":1,"name":"ä"}']
