@@ -79,7 +79,7 @@ def rank(document: Column, query: str) -> Column:
     return rank_of([places(q) for q in query_lexemes(query)])
 
 
-BUCKETS = 256
+BUCKETS, SHARE = 256, 1_000_000
 _INDEX = "bucket int, lexeme string, id long, places array<int>"
 
 
@@ -105,9 +105,10 @@ def postings(documents: DataFrame, key: str, document: Column) -> DataFrame:
 
 
 def write_index(documents: DataFrame, path: str, key: str, document: Column) -> None:
-    """The inverted table as parquet, a folder for each bucket of lexemes. Ranges of (bucket, lexeme, id) go to the writers, so the documents of a frequent lexeme are shared out."""
+    """The inverted table as parquet, a folder for each bucket of lexemes. A bucket goes to one writer for each SHARE documents, so that those of a frequent lexeme are shared out."""
+    salts = max(1, -(-documents.count() // SHARE))
     p = postings(documents, key, document)
-    p.repartitionByRange("bucket", "lexeme", "id").sortWithinPartitions("bucket", "lexeme", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    p.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(salts))).sortWithinPartitions("bucket", "lexeme", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from foliant.functions.text import head_tail_words
 from foliant.operators import enrich, state
 
+# What a status of an orphaned file came from.
+ACTIONS = {"deleted": "delete", "restored": "restore", "reingested": "move_to_inbox"}
 MOST_LIVE = 4
 #: Names that a document without matches may be given; what is broadcast is at most so long.
 MOST_NAMES = 20_000
@@ -84,9 +86,9 @@ def errored(files: DataFrame) -> DataFrame:
 
 
 def orphan_action(orphaned: DataFrame, ids: list[int] | None, action: str, at: Column) -> DataFrame:
-    """Pending orphan files (all of them, or some) are marked deleted, restored or reingested."""
-    c = F.col("status") == "pending"
-    return state.update(orphaned, c if ids is None else c & F.col("id").isin(*ids), status=F.lit(action), action_at=at, action_type=F.lit(action))
+    """Orphan files are marked deleted, restored or reingested: some of them by id, or all that are pending."""
+    c = F.col("status") == "pending" if ids is None else F.col("id").isin(*ids)
+    return state.update(orphaned, c, status=F.lit(action), action_at=at, action_type=F.lit(ACTIONS[action]))
 
 
 def restorable(orphaned: DataFrame, live: DataFrame) -> DataFrame:

@@ -238,7 +238,7 @@ def acquire_lock(lock: DataFrame, at: Column, minutes: int = 30) -> DataFrame:
 
 
 def release_lock(lock: DataFrame) -> DataFrame:
-    return update(lock, F.col("running"), running=F.lit(False))
+    return update(lock, F.col("running"), running=F.lit(False), started_at=_nothing())
 
 
 def create_named(df: DataFrame, names: list[str], at: Column) -> tuple[DataFrame, DataFrame]:

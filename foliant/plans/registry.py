@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import archive_queries, orphan_queries, text_queries
+from foliant.plans import archive_queries, named_queries, orphan_queries, text_queries
 
-_PARTS = [archive_queries, text_queries, orphan_queries]
+_PARTS = [archive_queries, named_queries, text_queries, orphan_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

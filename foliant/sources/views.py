@@ -82,6 +82,17 @@ class Archive:
         rows = [(i, n, j, t) for i, n, j, t in SAVED]
         return self.spark.createDataFrame(rows, "id long, name string, filter_json string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
 
+    @property
+    def orphaned_file(self) -> DataFrame:
+        d = self.trash.select("id", F.col("document_id").alias("document_key"), F.col("storage_path").alias("file_path"), "file_size", F.col("deleted_at").alias("detected_at"))
+        null = lambda t: F.lit(None).cast(t)
+        status = F.when(F.col("id") % 3 == 0, "deleted").otherwise("pending")
+        return d.select("id", "document_key", F.lit("uuid").alias("key_type"), "file_path", null("string").alias("original_path"), F.lit("processed").alias("source_dir"), "file_size", null("string").alias("original_type"), "detected_at", status.alias("status"), null("timestamp").alias("action_at"), null("string").alias("action_type"))
+
+    @property
+    def backup_lock(self) -> DataFrame:
+        return self.spark.range(1).select((F.col("id") + 1).alias("id"), F.lit(True).alias("running"), (F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(mins=F.lit(10))).alias("started_at"))
+
     @property
     def user(self) -> DataFrame:
         df = self.spark.createDataFrame(USERS, "id long, username string, role string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
@@ -118,6 +129,8 @@ live AS (SELECT * FROM archive_document WHERE deleted_at IS NULL),
 tasks AS (SELECT DISTINCT * FROM task),
 batches AS (SELECT id, max(source) AS source, max(status) AS status, min(created_at) AS created_at FROM batch GROUP BY id),
 persons AS (SELECT DISTINCT * FROM people),
+orphaned_file AS (SELECT id, document_id AS document_key, storage_path AS file_path, file_size, deleted_at AS detected_at, CASE WHEN id % 3 = 0 THEN 'deleted' ELSE 'pending' END AS status FROM archive_document WHERE deleted_at IS NOT NULL),
+backup_lock AS (SELECT 1 AS id, true AS running, TIMESTAMP '{AS_OF}' - INTERVAL 10 MINUTE AS started_at),
 saved_search(id, name, filter_json, created_at) AS (VALUES {_SAVED}),
 users(id, username, role, created_at) AS (VALUES {_USERS}),
 people_type(id, name) AS (VALUES {_TYPES}),
