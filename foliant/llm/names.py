@@ -160,7 +160,7 @@ def read_name(name: str | None) -> tuple[str, tuple[str, ...], tuple[str, ...],
             continue
         if w in LEGAL:
             legal = True
-        elif len(w) == 1 or (t[-1] == "." and len(w) <= 4 and line_of(t, True) is None):
+        elif len(w) == 1 or (t[-1] == "." and len(w) <= 6 and line_of(t, True) is None):
             initials.append(w)  # a letter, or a given name cut off or contracted, as in Joh. and Wm.
         elif (line := line_of(t, t.endswith("."))) is not None:
             lines.append(line)
