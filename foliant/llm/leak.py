@@ -4,7 +4,7 @@ All shingles of five words of the normalised test items form one Aho-Corasick au
 the broadcast items. A text is normalised to words (case, punctuation, line breaks and hyphens at them are layout), and scanned
 once. Where a shingle is hit, the passage is followed in each item that has it to both sides, over single words that
 were altered, dropped, added, split or joined, as long as the words around them go on in the item's order; it counts if it
-covers at least 20 words of the item and most of these are unaltered. Offsets are mapped to the original text.
+covers at least 20 words of the item, most of these are unaltered and few are other words altogether. Offsets are mapped to the original text.
 
 The driver and the broadcast are bounded: items are taken in chunks of at most CHUNK_ITEMS, one after the other, each with its own scan whose hits are
 stored; one chunk is the usual case. Texts are scanned where they lie; nothing but the hits is shuffled.
@@ -18,17 +18,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.names import lcs_ratio
 from foliant.session import stored
 
 SHINGLE, LEAST = 5, 20
 #: Of the words a passage covers, this share at least is unaltered; of a long one (LONG words), this.
 UNALTERED, LONG, UNALTERED_LONG = 0.88, 30, 0.8
+#: This share of the words may be other words altogether; standing phrases differ in more, in names and numbers.
+REPLACED = 0.08
 CHUNK_ITEMS = 20_000
 #: Words of the item and of the text that are stepped over: altered, dropped, added, split, joined.
 STEPS = ((1, 1), (1, 0), (0, 1), (1, 2), (2, 1))
@@ -86,6 +90,20 @@ def follow(a: list[str], b: list[str], i: int, j: int, step: int) -> tuple[int,
             return i, j, equal
 
 
+def replaced(a: list[str], b: list[str]) -> int:
+    """Of two passages, the words that have another word in their place, or none: no slip, doubling, splitting or joining of the word."""
+    n = 0
+    for tag, i0, i1, j0, j1 in SequenceMatcher(None, a, b, False).get_opcodes():
+        x, y = a[i0:i1], b[j0:j1]
+        if tag == "equal" or (tag == "insert" and y and all(w in (b[j0 - 1 : j0] + b[j1 : j1 + 1]) for w in y)):
+            continue
+        one, other = "".join(x), "".join(y)
+        if one == other or (not (one.isdigit() or other.isdigit()) and lcs_ratio(one, other) >= 0.6):
+            continue
+        n += max(len(x), len(y))
+    return n
+
+
 class Items:
     """The automaton of one chunk of items."""
 
@@ -134,7 +152,9 @@ class Items:
                 i1, j1, right = follow(a, ws, i + SHINGLE - 1, j + SHINGLE - 1, 1)
                 seen.append((j0, j1, j - i))
                 span = i1 - i0 + 1
-                if span >= LEAST and left + right + SHINGLE >= (UNALTERED_LONG if span >= LONG else UNALTERED) * span and (item not in best or span > best[item][1] - best[item][0]):
+                if span < LEAST or left + right + SHINGLE < (UNALTERED_LONG if span >= LONG else UNALTERED) * span or (item in best and span <= best[item][1] - best[item][0]):
+                    continue
+                if left + right + SHINGLE == span or replaced(a[i0 : i1 + 1], ws[j0 : j1 + 1]) <= REPLACED * span:
                     best[item] = (i0, i1 + 1, j0, j1 + 1)
         return [(twin, *p) for item, p in best.items() for twin in self.twins[item]]
 
