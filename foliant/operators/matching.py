@@ -46,12 +46,35 @@ def windows(words: list[str], size: int, share: float = 0.1) -> list[str]:
     return [" ".join(words[i : i + size]) for i in range(0, max(1, len(words) - int(size * share)), step)]
 
 
-def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], key: str = "id", size: int = 0, batch: int = 32) -> DataFrame:
-    """key, embedding: the mean of a text's windows, not brought to unit length again. Null texts count as empty."""
+def token_windows(text: str, size: int, count: Callable[[list[str]], list[int]], share: float = 0.1) -> list[str]:
+    """Windows of at most `size` tokens (by the caller's count of each word's tokens) that overlap by about a tenth; a word that is longer stands alone."""
+    words = text.split()
+    costs = count(words)
+    if size <= 0 or sum(costs) <= size:
+        return [" ".join(words)]
+    out, at = [], 0
+    while at < len(words):
+        end, total = at, 0
+        while end < len(words) and (end == at or total + costs[end] <= size):
+            total += costs[end]
+            end += 1
+        out.append(" ".join(words[at:end]))
+        if end == len(words):
+            break
+        back, total = end, 0
+        while back - 1 > at and total + costs[back - 1] <= size * share:
+            back -= 1
+            total += costs[back]
+        at = back if total + costs[end] <= size else end  # an overlap that leaves no room for the next word is dropped
+    return out
+
+
+def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], key: str = "id", size: int = 0, batch: int = 32, count: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
+    """key, embedding: the mean of a text's windows (of `size` words, or tokens if `count` tells those of each word), not brought to unit length again. Null texts count as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [windows((t or "").split(), size) for t in b.text]
+            parts = [token_windows(t or "", size, count) if count else windows((t or "").split(), size) for t in b.text]
             flat = [p for ps in parts for p in ps]
             vec = np.concatenate([encoder(flat[i : i + batch]) for i in range(0, len(flat), batch)]) if flat else np.zeros((0, 1))
             at = np.cumsum([0, *map(len, parts)])

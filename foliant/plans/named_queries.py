@@ -92,6 +92,16 @@ add("orphaned_deleted_all", lambda a: P.orphan_action(a.orphaned_file, None, "de
 add("orphaned_reingested", lambda a: P.orphan_action(a.orphaned_file, [least(a.orphaned_file) or 0], "reingested", D.now()).select("id", "status", "action_type"), "SELECT id, CASE WHEN id = (SELECT min(id) FROM orphaned_file) THEN 'reingested' ELSE status END AS status, CASE WHEN id = (SELECT min(id) FROM orphaned_file) THEN 'move_to_inbox' END AS action_type FROM orphaned_file")
 add("orphaned_restorable", lambda a: P.restorable(a.orphaned_file, a.live), "SELECT id, CASE WHEN EXISTS (SELECT 1 FROM live l WHERE l.document_id = o.document_key) THEN 'Conflict' ELSE 'Ok' END AS code FROM orphaned_file o")
 add("task_retry", lambda a: M.retry(a.task, F.col("id") == (least(C.by(a.task, status="failed")) or 0)).select("id", "status", "attempts"), f"SELECT id, CASE WHEN id = {_T.format('failed')} THEN 'pending' ELSE status END AS status, CASE WHEN id = {_T.format('failed')} THEN 0 ELSE attempts END AS attempts FROM tasks")
+_W = "SELECT task_id, json_extract_string(payload, '$.waiting_for') AS parent FROM tasks WHERE task_type = 'enrich' AND status = 'waiting' AND json_extract_string(payload, '$.waiting_for') IS NOT NULL ORDER BY id LIMIT 1"
+
+
+def _activated(a: Archive) -> DataFrame:
+    """The first waiting enrich task gets its payload and becomes pending."""
+    w = a.task.filter("task_type = 'enrich' and status = 'waiting'").select("id", "task_id", F.get_json_object("payload", "$.waiting_for").alias("parent")).filter("parent is not null").orderBy("id").first()
+    return M.activate_enrich(a.task, w.parent, w.task_id, "{}") if w else a.task
+
+
+add("task_activated", lambda a: _activated(a).select("id", "status"), f"SELECT t.id, CASE WHEN w.task_id IS NOT NULL THEN 'pending' ELSE status END AS status FROM tasks t LEFT JOIN ({_W}) w ON w.task_id = t.task_id AND w.parent = json_extract_string(t.payload, '$.waiting_for') AND t.status IN ('waiting', 'discarded')")
 add("task_deleted", lambda a: M.delete(a.task, F.col("id") == least(a.task)).select("id"), "SELECT id FROM tasks WHERE id <> (SELECT min(id) FROM tasks)")
 add("document_trashed", lambda a: M.soft_delete(a.document, least(a.live, "document_id"), D.now()).select("id", "deleted_at"), f"SELECT id, CASE WHEN document_id = (SELECT min(document_id) FROM live) AND deleted_at IS NULL THEN {NOW} ELSE deleted_at END AS deleted_at FROM document")
 add("document_restored", lambda a: M.restore_document(a.document, least(a.trash, "document_id") or "", D.now()).select("id", "deleted_at"), "SELECT id, CASE WHEN document_id = (SELECT min(document_id) FROM document WHERE deleted_at IS NOT NULL) THEN NULL ELSE deleted_at END AS deleted_at FROM document")

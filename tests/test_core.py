@@ -422,3 +422,25 @@ def test_parameters_and_rows_as_json(spark):
     from foliant.operators import catalog
 
     assert [r.value for r in catalog.as_json(spark.createDataFrame([(1, None, "ä")], "id int, x string, name string")).collect()] == ['{"id":1,"name":"ä"}']
+
+
+def test_windows_by_tokens_and_thresholds(spark):
+    from foliant.operators import matching
+
+    count = lambda ws: [len(w) for w in ws]
+    got = matching.token_windows("aa bb cc dddddddddddd ee ff", 6, count, 0.34)
+    assert got == ["aa bb cc", "dddddddddddd", "ee ff"] and matching.token_windows("aa bb cc dd ee", 6, count, 0.34) == ["aa bb cc", "cc dd ee"]
+    assert matching.token_windows("", 5, count) == [""]
+    assert matching.thresholds("BGE-M3-onnx") == (0.40, 0.80) and matching.thresholds("other") == (0.30, 0.75)
+    df = spark.createDataFrame([(1, "a b c d"), (2, None)], "id long, text string")
+    assert [len(r.embedding) for r in matching.encode(df, "text", matching.hashed_encoder(8), size=2, count=count).collect()] == [8, 8]
+
+
+def test_layout_and_types(spark, tmp_path):
+    at = F.to_timestamp(F.lit("2024-03-04 05:06:07"))
+    assert one(spark, ingest.storage_path("/s", F.col("c0"), F.lit(".pdf"), at), "u") == "/s/processed/2024/03/04/05/u.pdf"
+    df = spark.createDataFrame([(1, datetime(2024, 3, 4, 5)), (2, datetime(2024, 3, 4, 6))], "id long, created_at timestamp")
+    ingest.write_partitioned(df, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d")).filter("hour = 6").first().id == 2 and (tmp_path / "d" / "year=2024" / "month=3" / "day=4" / "hour=5").is_dir()
+    assert [one(spark, files.mime_of(F.col("c0")), p) for p in ("a.PDF", "b.tif", "c.jpeg", "d.xyz")] == ["application/pdf", "image/tiff", "image/jpeg", "application/octet-stream"]
+    assert one(spark, files.sniff(F.col("c0")), bytearray(b"%PDF-1.7")) == "application/pdf" and one(spark, files.extension_of(F.col("c0")), "image/png") == ".png"
