@@ -35,6 +35,8 @@ from foliant.session import stored
 
 FIT_LABELLED, FIT_MORE, FIT_CHARS, ROUNDS = 8000, 3000, 20_000, 2
 SUPPORT, CONFIDENCE, GAIN, LONGEST, BINS = 3, 0.75, 0.08, 2, 12
+#: A rule whose calibrated log odds are under this (less than three right for one wrong) is dropped.
+LEAST_EVIDENCE = math.log(3)
 #: A word stands in the transactions if it is seen so often and this share of it is in one subject.
 WORD_SEEN, WORD_SHARE = 3, 0.6
 CALIBRATION = (0.2, 0.34)
@@ -153,23 +155,27 @@ def chosen(sets: list[tuple[tuple[str, ...], np.ndarray]]) -> list[tuple[tuple[s
     return out
 
 
-def calibration(sets: list[tuple[tuple[str, ...], np.ndarray]]) -> tuple[list[float], list[float]]:
-    """Log odds of rules in one fold, and what these come to in the other, as a curve that never falls. sets: (words, counts by subject and fold)."""
-    seen: list[tuple[float, float, float]] = []
+def calibration(sets: list[tuple[tuple[str, ...], np.ndarray]]) -> dict[int, tuple[list[float], list[float]]]:
+    """By the number of words of a rule: log odds of rules in one fold, and what these come to in the other, as a curve that never falls. sets: (words, counts by
+    subject and fold). A word that the other fold does not have says nothing."""
+    seen: dict[int, list[tuple[float, float, float]]] = {}
     by_words = {a: n.reshape(-1, 2) for a, n in sets}
     for f in (0, 1):
         for a, c, odds in chosen([(a, n[:, f]) for a, n in by_words.items()]):
             other = by_words[a][:, 1 - f]
             if other.sum():
-                seen.append((odds, float(other[c]), float(other.sum())))
-    if len(seen) < 4 * BINS:
-        return [0.0, 1.0], [0.0, 1.0]  # too few to say: as they are
-    seen.sort()
-    xs, ys = [], []
-    for part in np.array_split(np.array(seen), BINS):
-        xs.append(float(part[:, 0].mean()))
-        ys.append(math.log((part[:, 1].sum() + 0.5) / (part[:, 2].sum() - part[:, 1].sum() + 0.5)))
-    return xs, np.maximum.accumulate(ys).tolist()
+                seen.setdefault(len(a), []).append((odds, float(other[c]), float(other.sum())))
+    out = {}
+    for size, rows in seen.items():
+        bins = min(BINS, len(rows) // 4)
+        if bins < 2:
+            continue
+        xs, ys = [], []
+        for part in np.array_split(np.array(sorted(rows)), bins):
+            xs.append(float(part[:, 0].mean()))
+            ys.append(math.log((part[:, 1].sum() + 0.5) / (part[:, 2].sum() - part[:, 1].sum() + 0.5)))
+        out[size] = xs, np.maximum.accumulate(ys).tolist()
+    return out
 
 
 def mine(labelled: DataFrame, types: dict, subjects: list[int]) -> tuple[Rules, Rules, Rules]:
@@ -192,19 +198,21 @@ def mine(labelled: DataFrame, types: dict, subjects: list[int]) -> tuple[Rules,
         return any(m.max() >= SUPPORT and m.max() >= CONFIDENCE * m.sum() for m in (by_subject(x), x[0::2], x[1::2]))
 
     sets = [(tuple(r["items"]), np.array(r["counts"])) for r in frequent_sets(kept, 2 * len(subjects), LONGEST, good, keep).collect()]
-    xs, ys = calibration(sets)
+    curves = calibration(sets)
 
     def rules(part: list[tuple[tuple[str, ...], np.ndarray]]) -> Rules:
-        return Rules([(a, subjects[c], _mapped(odds, xs, ys)) for a, c, odds in chosen(part)], types)
+        weighed = [(a, subjects[c], _mapped(odds, curves.get(len(a)))) for a, c, odds in chosen(part)]
+        return Rules([r for r in weighed if r[2] >= LEAST_EVIDENCE], types)
 
     return rules([(a, by_subject(x)) for a, x in sets]), rules([(a, x[0::2]) for a, x in sets]), rules([(a, x[1::2]) for a, x in sets])
 
 
-def _mapped(odds: float, xs: list[float], ys: list[float]) -> float:
-    """The calibrated evidence, always more than none; beyond the curve it goes on as it is."""
-    if odds >= xs[-1]:
-        return max(0.05, ys[-1] + (odds - xs[-1]))
-    return max(0.05, float(np.interp(odds, xs, ys)))
+def _mapped(odds: float, curve: tuple[list[float], list[float]] | None) -> float:
+    """The calibrated evidence; beyond the curve it goes on as it is, without one (too few rules to say) it is the log odds."""
+    if curve is None:
+        return odds
+    xs, ys = curve
+    return ys[-1] + (odds - xs[-1]) if odds >= xs[-1] else float(np.interp(odds, xs, ys))
 
 
 def _scores(docs: DataFrame, held) -> DataFrame:
