@@ -35,8 +35,8 @@ from foliant.session import stored
 
 FIT_LABELLED, FIT_MORE, FIT_CHARS, ROUNDS = 8000, 3000, 20_000, 2
 SUPPORT, CONFIDENCE, GAIN, LONGEST, BINS = 3, 0.75, 0.08, 2, 12
-#: A rule whose calibrated log odds are under this (less than three right for one wrong) is dropped.
-LEAST_EVIDENCE = math.log(3)
+#: A rule whose calibrated log odds are under this (less than two right for one wrong) is dropped.
+LEAST_EVIDENCE = math.log(2)
 #: A word stands in the transactions if it is seen so often and this share of it is in one subject.
 WORD_SEEN, WORD_SHARE = 3, 0.6
 CALIBRATION = (0.2, 0.34)

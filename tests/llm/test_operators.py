@@ -346,13 +346,13 @@ def test_growth_against_brute_force():
 
 
 def test_rules_from_a_standing_sentence(spark):
-    """A long sentence that stands in many texts makes no more than its pairs of words."""
+    """A long sentence that stands in many texts makes no more than its pairs of words. (The texts differ, so that its rules hold in both folds.)"""
     import time
 
     standing = " ".join(f"{a}{b}" for a in WORDS[:8] for b in WORDS[8:13]) + "."
     rows = [(f"{standing} This is text {i} about {WORDS[i % 5]} and so on.", 1 + i % 2) for i in range(100)]
     began = time.time()
-    rules = subjects.mine(spark.createDataFrame(rows + [(standing, 1)] * 100, "text string, subject int"), {}, [1, 2])
+    rules = subjects.mine(spark.createDataFrame(rows + [(f"{standing} So says letter {i} of them all.", 1) for i in range(100)], "text string, subject int"), {}, [1, 2])
     assert time.time() - began < 60 and 0 < len(rules[0].single) + sum(map(len, rules[0].double.values())) <= 41 * 40
 
 
