@@ -53,7 +53,7 @@ def processing_tasks(a: Archive) -> DataFrame:
 
 def document_details(a: Archive, cond: Column) -> DataFrame:
     t = a.document_type.select(F.col("id").alias("document_type_id"), F.col("name").alias("document_type"))
-    return a.live.filter(cond).join(F.broadcast(t), "document_type_id", "left")
+    return a.live.filter(cond).join(t, "document_type_id", "left")
 
 
 def by_checksum(a: Archive, md5: str | None = None, sha512: str | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def tag_documents(a: Archive, tag_id: int) -> DataFrame:
 def document_people(a: Archive, document_id: int) -> DataFrame:
     dp = a.document_people.filter(F.col("document_id") == document_id)
     p = a.people.select(F.col("id").alias("people_id"), "name", "name_native")
-    return dp.join(p, "people_id").join(F.broadcast(a.people_type.select(F.col("id").alias("people_type_id"), F.col("name").alias("role"))), "people_type_id")
+    return dp.join(p, "people_id").join(a.people_type.select(F.col("id").alias("people_type_id"), F.col("name").alias("role")), "people_type_id")
 
 
 def people_documents(a: Archive, people_id: int) -> DataFrame:

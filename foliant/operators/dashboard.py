@@ -50,7 +50,7 @@ def language_distribution(a: Archive, n: int = 10) -> DataFrame:
 
 def document_type_distribution(a: Archive) -> DataFrame:
     t = a.document_type.select(F.col("id").alias("document_type_id"), "name")
-    return a.live.filter("document_type_id <> 1").groupBy("document_type_id").agg(_count().alias("count")).join(F.broadcast(t), "document_type_id").select("name", "count")
+    return a.live.filter("document_type_id <> 1").groupBy("document_type_id").agg(_count().alias("count")).join(t, "document_type_id").select("name", "count")
 
 
 def tag_frequency(a: Archive, n: int = 10) -> DataFrame:

@@ -76,7 +76,7 @@ def upsert_people(people: DataFrame, found: DataFrame, at: Column) -> tuple[Data
 def resolve_type(df: DataFrame, types: DataFrame, name: str = "type") -> DataFrame:
     """df with document_type_id; an unknown name gets type 1."""
     t = types.groupBy(F.lower("name").alias("_name")).agg(F.min("id").alias("_id"))
-    return df.join(F.broadcast(t), F.lower(name) == F.col("_name"), "left").withColumn("document_type_id", F.coalesce("_id", F.lit(1))).drop("_name", "_id")
+    return df.join(t, F.lower(name) == F.col("_name"), "left").withColumn("document_type_id", F.coalesce("_id", F.lit(1))).drop("_name", "_id")
 
 
 # What a provider says when a text is too long.
