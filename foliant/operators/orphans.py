@@ -19,10 +19,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 PARTS = 1000
+#: A key with fewer references is no load for any task.
+LEAST_HOT = 10_000
 
 
 @dataclass(frozen=True)
@@ -52,15 +54,17 @@ def _key(c: Column, kind: str) -> Column:
     return uuid_key(c) if kind == "uuid" else c.cast("string")
 
 
-def _hot(refs: DataFrame, parts: int) -> DataFrame:
+def _hot(refs: DataFrame, parts: int, least: int) -> DataFrame:
     """child, key, salts of the keys with more than one in `parts` of all references: at most `parts` rows."""
-    total = refs.count()
-    n = refs.groupBy("child", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * parts > total)
-    rows = [(r.child, r.key, -(-r.n * parts // total)) for r in n.collect()] if total else []
+    seen = Observation("references")
+    n = refs.groupBy("child", "key").agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("total"))
+    most = n.filter(F.col("n") >= least).orderBy(F.desc("n")).limit(parts).collect()  # no more keys can have such a share
+    total = (seen.get["total"] or 0) if most else 0
+    rows = [(r.child, r.key, -(-r.n * parts // total)) for r in most if r.n * parts > total]
     return refs.sparkSession.createDataFrame(rows, "child string, key string, salts int")
 
 
-def orphans(references: list[Reference], parts: int = PARTS) -> DataFrame:
+def orphans(references: list[Reference], parts: int = PARTS, least: int = LEAST_HOT) -> DataFrame:
     """child, row_id, kind (missing, deleted, late), at: one row for each record whose reference has no parent in time."""
     refs = parents = known = None
     for r in references:
@@ -74,7 +78,7 @@ def orphans(references: list[Reference], parts: int = PARTS) -> DataFrame:
         parents = up if parents is None else parents.unionByName(up)
         known = top if known is None else known.unionByName(top)
     assert refs is not None and parents is not None and known is not None, "no references"
-    hot = F.broadcast(_hot(refs, parts))
+    hot = F.broadcast(_hot(refs, parts, least))
     salts = F.coalesce("salts", F.lit(1))
     refs = refs.join(hot, ["child", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("row_id"), salts).cast("int")).drop("salts")
     # A parent that one of its rows still holds is not ended.

@@ -333,7 +333,7 @@ def test_orphans_with_validity_and_hot_keys(spark):
     up = spark.createDataFrame([(7, t(2), None), (8, t(1), t(6))], "id long, created_at timestamp, gone timestamp")
     ref = Reference("x", kids, "id", "fk", "at", up, "id", "created_at", parent_until="gone")
     for parts in (1000, 10, 2):
-        assert {(r.row_id, r.kind) for r in orphans([ref], parts).collect()} == {(2, "late"), (3, "deleted"), (5, "missing")}
+        assert {(r.row_id, r.kind) for r in orphans([ref], parts, 1).collect()} == {(2, "late"), (3, "deleted"), (5, "missing")}
 
 
 def test_rename(spark):
