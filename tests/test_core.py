@@ -444,3 +444,22 @@ def test_layout_and_types(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d")).filter("hour = 6").first().id == 2 and (tmp_path / "d" / "year=2024" / "month=3" / "day=4" / "hour=5").is_dir()
     assert [one(spark, files.mime_of(F.col("c0")), p) for p in ("a.PDF", "b.tif", "c.jpeg", "d.xyz")] == ["application/pdf", "image/tiff", "image/jpeg", "application/octet-stream"]
     assert one(spark, files.sniff(F.col("c0")), bytearray(b"%PDF-1.7")) == "application/pdf" and one(spark, files.extension_of(F.col("c0")), "image/png") == ".png"
+
+
+def test_snippets_by_hand():
+    text = "one two three needle four five six needle seven"
+    assert fts.headline(text, {"needle"}, 3, 2) == "<b>needle</b> four"
+    assert fts.headline(text, {"needle"}, 6, 2) == "<b>needle</b> four five six <b>needle</b>"
+    assert fts.headline(text, {"absent"}, 6, 2) == "one two" and fts.headline("", {"x"}, 6, 2) == "" and fts.headline("!?", {"x"}, 6, 2) == ""
+    assert fts.headline("Needle, again.", {"needle"}, 6, 2) == "<b>Needle</b>, again"
+
+
+def test_reduction_by_hand():
+    """Three chunks of one sentence: the first is always kept; of the others the one that shares no words with it is the more telling."""
+    text = "The red fox ran home today. The red fox ran home again. Quite other matters came up then."
+    chunks = textrank.chunked(text.split(), 6)
+    assert [" ".join(ws) for ws, _ in chunks][0] == "The red fox ran home today." and [o for _, o in chunks][-1] == 0
+    assert textrank.reduce_text(text, 0) == text and textrank.reduce_text(text, 100) == text
+    short = textrank.reduce_text(text, 7, 6)
+    assert short.startswith("The red fox ran home today.") and len(short.split()) < len(text.split()) + 1
+    assert (textrank.target_words(9000, -3), textrank.target_words(100, -3), textrank.target_words(9000, 4000)) == (3000, 2000, 4000)
