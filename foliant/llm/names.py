@@ -12,7 +12,8 @@ BLOCK rows is dealt to sub-blocks that are joined one by one, and pairs that can
 
 Links join full names first; their connected components are the entities. A name that has only an initial (or no line of business)
 joins an entity if it is the only one that it fits. Components come from label propagation over shuffled tables, each round
-written to the shared folder.
+written to the shared folder. All joins are merge joins: a table that looks small once compressed would be broadcast, and several of them at once
+are more than a driver holds.
 
 Defined results: null, empty and unreadable names stay alone; rows of one id count once (the first by name); same readings are linked also if the
 name is short; a person and an organisation of one name are different; a native name only supports a link or, if both natives are full and differ, bars it.
@@ -277,11 +278,11 @@ def _organisations(rows: DataFrame) -> DataFrame:
     firm = rows.filter("kind = 'o' and size(words) > 1")
     word = firm.filter("legal").select(F.explode("words").alias("w"), F.array_join("words", " ").alias("all")).filter(~F.array_contains(given, F.col("w")))
     lines = word.groupBy("w").agg(F.count_distinct("all").alias("n")).filter(F.col("n") >= HOUSES).select("w")
-    hits = rows.filter("size(words) > 1").select("id", F.explode("words").alias("w")).join(lines, "w").groupBy("id").agg(F.array_sort(F.collect_set("w")).alias("own"))
+    hits = rows.filter("size(words) > 1").select("id", F.explode("words").alias("w")).join(lines.hint("merge"), "w").groupBy("id").agg(F.array_sort(F.collect_set("w")).alias("own"))
     # A name of the same two words or more as one with a legal form, if none of them is a given name.
     plain = rows.filter("kind = 'p' and size(words) > 1 and size(initials) = 0").select("id", F.array_join("words", " ").alias("all")).filter(~F.arrays_overlap(F.split("all", " "), given))
-    same = plain.join(firm.filter("legal and line = ''").select(F.array_join("words", " ").alias("all")).distinct(), "all", "left_semi").select("id", F.lit(True).alias("same"))
-    both = rows.join(hits, "id", "left").join(same, "id", "left")
+    same = plain.join(firm.filter("legal and line = ''").select(F.array_join("words", " ").alias("all")).distinct().hint("merge"), "all", "left_semi").select("id", F.lit(True).alias("same"))
+    both = rows.join(hits.hint("merge"), "id", "left").join(same.hint("merge"), "id", "left")
     rest = F.array_except("words", "own")
     turns = F.col("own").isNotNull() & (F.size(rest) > 0) & (F.size("initials") == 0) & (F.col("line") == "")
     firmly = turns | F.coalesce("same", F.lit(False))
@@ -306,10 +307,10 @@ def _keys(word: str, near: bool = False) -> set[str]:
 
 def _salted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """left and right joined; the rows of right that share a value are dealt to sub-blocks of about BLOCK rows, each of which meets all of left."""
-    n = right.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("salts"))
+    n = right.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("salts")).hint("merge")
     l = left.join(n, on).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     r = right.join(n, on).withColumn("salt", F.pmod(F.xxhash64(*right.columns), F.col("salts")).cast("int")).drop("salts")
-    return l.join(r, [on, "salt"]).drop("salt")
+    return l.join(r.hint("merge"), [on, "salt"]).drop("salt")
 
 
 def _near(w: str | Column, v: str | Column) -> Column:
@@ -345,11 +346,11 @@ def candidates(recs: DataFrame) -> DataFrame:
     like = _alike(met, GIVEN_RATIO)
     like = stored(like.unionByName(like.select(F.col("v").alias("w"), F.col("w").alias("v"))).unionByName(vocabulary.select("w", F.col("w").alias("v"))), "alike")
     # Of two records that fit, each word of the one with fewer words is like a word of the other: its rarest one is looked up.
-    count = like.join(word.groupBy(F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("n")), "v").groupBy("w").agg(F.sum("n").alias("n"))
-    rarest = word.join(count, "w").groupBy("sig").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
-    ask = rarest.join(like, "w").select("v", F.col("sig").alias("a"))
+    count = like.join(word.groupBy(F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("n")).hint("merge"), "v").groupBy("w").agg(F.sum("n").alias("n"))
+    rarest = word.join(count.hint("merge"), "w").groupBy("sig").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+    ask = rarest.join(like.hint("merge"), "w").select("v", F.col("sig").alias("a"))
     both = _salted(ask, word.select(F.col("w").alias("v"), F.col("sig").alias("b")).dropDuplicates(), "v").filter("a <> b").select("a", "b")
-    side = lambda s: own.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "words", "initials", "size")])
+    side = lambda s: own.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "words", "initials", "size")]).hint("merge")
     both = both.dropDuplicates().join(side("a"), "a").join(side("b"), "b")
     letters = F.transform("initials_a", lambda i: F.substring(i, 1, 1))
     # What no pair that fits lacks: the other words alike; for a given name left over, an initial that may stand for it.
@@ -363,7 +364,7 @@ def candidates(recs: DataFrame) -> DataFrame:
     joined = persons.filter("size > 1").select("sig", F.explode(runs).alias("w")).filter(F.length("w") >= 10)
     k1, k2 = _keyed(single.select("w").distinct(), True), _keyed(joined.select("w").distinct(), True).withColumnRenamed("w", "v")
     met = _alike(_salted(k1, k2, "k").filter(_near("w", "v")).select("w", "v"), 0.92)
-    run_on = met.join(single.select("w", F.col("sig").alias("a")), "w").join(joined.select(F.col("w").alias("v"), F.col("sig").alias("b")), "v").select("a", "b")
+    run_on = met.join(single.select("w", F.col("sig").alias("a")).hint("merge"), "w").join(joined.select(F.col("w").alias("v"), F.col("sig").alias("b")).hint("merge"), "v").select("a", "b")
     both = both.unionByName(run_on)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").dropDuplicates()
 
@@ -373,14 +374,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).dropDuplicates(), "edges")
     labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("comp")), "labels")  # only nodes with edges take part
     while True:
-        got = both.join(labels, both["y"] == labels["node"]).groupBy("x").agg(F.min("comp").alias("least"))
-        new = labels.join(got, labels["node"] == got["x"]).select("node", F.least("comp", "least").alias("comp"), F.col("comp").alias("old"))
+        got = both.join(labels.hint("merge"), both["y"] == labels["node"]).groupBy("x").agg(F.min("comp").alias("least"))
+        new = labels.join(got.hint("merge"), labels["node"] == got["x"]).select("node", F.least("comp", "least").alias("comp"), F.col("comp").alias("old"))
         jump = new.select(F.col("node").alias("c"), F.col("comp").alias("to"))
-        new = stored(new.join(jump, F.col("comp") == F.col("c")).select("node", F.least("comp", "to").alias("comp"), "old"), "labels")
+        new = stored(new.join(jump.hint("merge"), F.col("comp") == F.col("c")).select("node", F.least("comp", "to").alias("comp"), "old"), "labels")
         labels = new.select("node", "comp")
         if new.filter("comp <> old").limit(1).count() == 0:
             break
-    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    return nodes.select("node").join(labels.hint("merge"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
 def entities(people: DataFrame, key: str = "id", name: str = "name", native: str = "name_native") -> DataFrame:
@@ -391,7 +392,7 @@ def entities(people: DataFrame, key: str = "id", name: str = "name", native: str
     named = rows.filter("kind <> ''")
     recs = stored(named.groupBy(sig_cols).agg(F.min("id").alias("sig")), "records")
     pairs = candidates(recs)
-    side = lambda s: recs.select(F.col("sig").alias(s), F.struct(*sig_cols).alias(f"r{s}"))
+    side = lambda s: recs.select(F.col("sig").alias(s), F.struct(*sig_cols).alias(f"r{s}")).hint("merge")
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     flat = pairs.select("a", "b", *[F.col(f"r{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in sig_cols])
 
@@ -406,16 +407,16 @@ def entities(people: DataFrame, key: str = "id", name: str = "name", native: str
     part = recs.filter("(kind = 'o' and line = '') or (kind = 'p' and size(words) = 1)").select(F.col("sig").alias("node"))
     weak = edges.filter("fit = 1")
     weak = weak.select("a", "b").unionByName(weak.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    whole = nodes.join(part, "node", "left_anti").withColumnRenamed("node", "b")
-    asks = weak.join(part.withColumnRenamed("node", "a"), "a", "left_semi").join(whole, "b", "left_semi")
-    labelled = asks.join(full.select(F.col("node").alias("b"), F.col("comp").alias("to")), "b").join(full.select(F.col("node").alias("a"), F.col("comp").alias("own")), "a")
+    whole = nodes.join(part.hint("merge"), "node", "left_anti").withColumnRenamed("node", "b")
+    asks = weak.join(part.withColumnRenamed("node", "a").hint("merge"), "a", "left_semi").join(whole.hint("merge"), "b", "left_semi")
+    labelled = asks.join(full.select(F.col("node").alias("b"), F.col("comp").alias("to")).hint("merge"), "b").join(full.select(F.col("node").alias("a"), F.col("comp").alias("own")).hint("merge"), "a")
     only = labelled.groupBy("own").agg(F.min("to").alias("to"), F.max("to").alias("to2")).filter("to = to2").select(F.col("own").alias("a"), F.col("to").alias("b"))
-    left = part.join(labelled.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-    among = weak.filter("a < b").join(left.withColumnRenamed("node", "a"), "a", "left_semi").join(left.withColumnRenamed("node", "b"), "b", "left_semi")
+    left = part.join(labelled.select(F.col("a").alias("node")).distinct().hint("merge"), "node", "left_anti")
+    among = weak.filter("a < b").join(left.withColumnRenamed("node", "a").hint("merge"), "a", "left_semi").join(left.withColumnRenamed("node", "b").hint("merge"), "b", "left_semi")
     strong = edges.filter("fit = 2").select("a", "b")
     final = components(strong.unionByName(only).unionByName(among), nodes)
-    back = named.join(recs, [named[c].eqNullSafe(recs[c]) for c in sig_cols]).select(named["id"], "sig")
-    member = back.join(final, F.col("sig") == F.col("node")).select("id", F.col("comp").alias("entity"))
+    back = named.join(recs.hint("merge"), [named[c].eqNullSafe(recs[c]) for c in sig_cols]).select(named["id"], "sig")
+    member = back.join(final.hint("merge"), F.col("sig") == F.col("node")).select("id", F.col("comp").alias("entity"))
     return member.unionByName(alone).withColumnRenamed("id", key)
 
 
@@ -423,4 +424,4 @@ def same_pairs(people: DataFrame, key: str = "id", name: str = "name", native: s
     """id_a < id_b: all pairs of ids of one entity. Entities of one row give none."""
     e = stored(entities(people, key, name, native).withColumnRenamed(key, "id"), "entities")
     a, b = e.select("entity", F.col("id").alias("id_a")), e.select("entity", F.col("id").alias("id_b"))
-    return a.join(b, "entity").filter("id_a < id_b").select("id_a", "id_b")
+    return a.join(b.hint("merge"), "entity").filter("id_a < id_b").select("id_a", "id_b")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import canon, langid, leak, mix, names, ocr, split, subjects, truncated
+from foliant.session import stored
 
 ENG = "The committee of the archive has found that the letters were not in the office. We have asked for a copy of the report, and it will be there in two weeks. "
 DEU = "Der Ausschuss hat festgestellt, dass die Briefe nicht in der Geschäftsstelle sind. Wir haben um eine Kopie des Berichts gebeten, und sie wird in zwei Wochen da sein. "
@@ -65,6 +66,16 @@ def test_names(spark):
     assert names.same_pairs(empty(df)).count() == 0
 
 
+def test_names_send_no_table_to_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(names, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    df = spark.createDataFrame([(1, "Margaret Gambodubek", None), (2, "GAMBODUBEK, Maggie", ""), (3, "M. Gambodubek", None)], "id long, name string, name_native string")
+    out = names.same_pairs(df)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 3 and any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_split(spark, docs):
     limits = spark.createDataFrame([("text/plain", 100, 10), ("*", 50, None), ("bad", 0, 5)], "original_type string, max_chars int, overlap_chars int")
     rows = split.split(docs, limits).collect()
