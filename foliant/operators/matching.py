@@ -14,6 +14,8 @@ from foliant.session import stored
 
 #: Most vectors that are held in memory at once; more are taken in blocks of this size.
 HELD_VECTORS = 50_000
+#: Most similarities (8 bytes each) that a task holds at once.
+HELD_CELLS = 4_000_000
 # Least similarity for a match and for a replacement, by model.
 THRESHOLDS = {"bge-m3": (0.40, 0.80), "mpnet": (0.30, 0.75), "minilm": (0.25, 0.70)}
 TOP = 15
@@ -119,19 +121,27 @@ def similar(queries: DataFrame, targets: DataFrame, least: float, top: int = TOP
         def run(batches: Iterator[pd.DataFrame], b=b) -> Iterator[pd.DataFrame]:
             names, m = b.value
             order = np.argsort(np.array(names), kind="stable")
+            names, m = [names[i] for i in order], m[order]
+            step = max(1, HELD_CELLS // len(names))
             for x in batches:
                 rows = []
                 ok = [v is not None and len(v) == m.shape[1] for v in x.v]
-                if any(ok):
-                    sub = x[ok]
-                    sims = np.round(np.stack(sub.v.to_list()).astype(np.float64) @ m.T, 6)
-                    for q, s in zip(sub.q, sims):
-                        hit = order[s[order] >= least]
-                        for i in hit[np.argsort(-s[hit], kind="stable")][:top]:
-                            rows.append((q, names[i], float(s[i])))
+                sub = x[ok]
+                for at in range(0, len(sub), step):
+                    part = sub.iloc[at : at + step]
+                    sims = np.stack(part.v.to_list()).astype(np.float64) @ m.T
+                    for q, s in zip(part.q, sims):
+                        near = np.flatnonzero(s >= least - 1e-6)
+                        s = np.round(s[near], 6)
+                        near, s = near[s >= least], s[s >= least]
+                        for i in np.argsort(-s, kind="stable")[:top]:
+                            rows.append((q, names[near[i]], float(s[i])))
                 yield pd.DataFrame(rows, columns=["q", "t", "similarity"])
 
-        one = queries.select("q", "v").mapInPandas(run, f"q {qt}, t {tt}, similarity double")
+        asked = queries.select("q", "v")
+        if more:  # the work is in the pairs, not in the bytes that Spark divides by
+            asked = asked.repartition(4 * queries.sparkSession.sparkContext.defaultParallelism)
+        one = asked.mapInPandas(run, f"q {qt}, t {tt}, similarity double")
         if more:
             one = stored(one, "similar")
             b.unpersist()

@@ -19,18 +19,25 @@ from foliant.operators import enrich, state
 # What a status of an orphaned file came from.
 ACTIONS = {"deleted": "delete", "restored": "restore", "reingested": "move_to_inbox"}
 MOST_LIVE = 4
-#: Names that a document without matches may be given; what is broadcast is at most so long.
-MOST_NAMES = 20_000
 
 
 def suggestions(documents: DataFrame, matches: DataFrame, tags: DataFrame) -> DataFrame:
-    """id, tags: the names matched to each document, best first; a document without matches gets all names, of which there may be MOST_NAMES (a longer list
-    goes into no prompt: an error). matches: q, t (name), similarity."""
-    if (n := tags.select("name").distinct().count()) > MOST_NAMES:
-        raise ValueError(f"{n} names are too many to suggest to a document without matches")
-    m = matches.groupBy(F.col("q").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "t"))), lambda x: x["t"]).alias("m"))
+    """id, tags: the names matched to each document, best first; a document without matches gets all names, however many. matches: q, t (name), similarity.
+    The list of all names stands in every such row: for its length alone see `suggested`."""
     every = tags.agg(F.array_sort(F.collect_set("name")).alias("every"))
-    return documents.select("id").join(m, "id", "left").join(F.broadcast(every), F.lit(True)).select("id", F.coalesce("m", "every").alias("tags"))
+    return _matched(documents, matches).join(F.broadcast(every), F.lit(True)).select("id", F.coalesce("m", "every").alias("tags"))
+
+
+def suggested(documents: DataFrame, matches: DataFrame, tags: DataFrame) -> DataFrame:
+    """id, tags: how many names `suggestions` has for each document, without laying out the list of all names for any."""
+    every = tags.agg(F.count_distinct("name").cast("int").alias("every"))
+    return _matched(documents, matches).join(F.broadcast(every), F.lit(True)).select("id", F.when(F.col("m").isNotNull(), F.size("m")).otherwise(F.col("every")).alias("tags"))
+
+
+def _matched(documents: DataFrame, matches: DataFrame) -> DataFrame:
+    """id, m: the names matched to each document, best first; null without any."""
+    m = matches.groupBy(F.col("q").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "t"))), lambda x: x["t"]).alias("m"))
+    return documents.select("id").join(m, "id", "left")
 
 
 def second_look(docs: DataFrame, key: str, text: str, target: int, model: Callable[[str], str], types: str, head: int = enrich.HEAD, tail: int = enrich.TAIL) -> DataFrame:

@@ -49,3 +49,11 @@ def test_trash_catalog_zip_and_orphans(spark, tmp_path):
         P.move_orphan(str(tmp_path / "x.pdf"), str(tmp_path / "q"))
     assert sorted(p.name for p in (tmp_path / "q").iterdir()) == ["x-1.pdf", "x.pdf"]
     assert tuple(backup.totals(spark.createDataFrame([("a", 3), ("b", 4)], "path string, length long")).first()) == (2, 7)
+
+
+def test_many_names(spark):
+    names = spark.range(20_500).select(F.concat(F.lit("n"), F.col("id")).alias("name"))
+    m = spark.createDataFrame([(1, "n7", 0.9), (1, "n5", 0.5)], "q long, t string, similarity double")
+    docs = spark.createDataFrame([(1,), (2,)], "id long")
+    assert {r.id: len(r.tags) for r in P.suggestions(docs, m, names).collect()} == {1: 2, 2: 20_500}
+    assert {r.id: r.tags for r in P.suggested(docs, m, names.union(names)).collect()} == {1: 2, 2: 20_500}
