@@ -1,8 +1,25 @@
-"""Gradient-boosted trees for a few numeric features, in numpy: logistic loss, depth-limited trees over quantile bins."""
+"""Gradient-boosted trees for a few numeric features, in numpy: logistic loss, depth-limited trees over quantile bins.
+
+`Boosted.fit` takes arrays, `fit_rows` a table of packed rows of any size. Trees are grown level by level from sums over bins: of rows in the driver while these are
+at most AT_HAND (a byte a feature), else of sums that the tasks make. Every row is used: with more than ROWS rows they are dealt to chunks, at most one for each tree, and
+the trees take the chunks in turn."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliant.llm.common import in_batches
+from foliant.session import stored
+
+ROWS, AT_HAND = 20_000, 2_000_000
+#: Rows are dealt to so many parts by a hash; a multiple of the usual numbers of trees.
+PARTS = 720
+PACKED = "part binary, y binary, x binary"
 
 
 class Boosted:
@@ -11,43 +28,52 @@ class Boosted:
         self.bias, self.forest = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        codes = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
-        p0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
+        x, y = np.asarray(x, np.float32), np.asarray(y, float)
+        cuts = [self.cuts(*np.unique(x[:, j], return_counts=True)) for j in range(x.shape[1])]
+        return self.grow(cuts, AtHand(_codes(x, cuts), y, np.zeros(len(y), int)), len(y), y.sum())
+
+    def cuts(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The bounds of the bins, from the values of a feature and how often each stands."""
+        total = counts.cumsum()
+        at = np.linspace(0, 1, self.bins + 1)[1:-1] * (total[-1] - 1)
+        low, high = (values[np.searchsorted(total, i, "right")].astype(float) for i in (np.floor(at), np.ceil(at)))
+        return np.unique((low + (high - low) * (at - np.floor(at))).astype(np.float32))
+
+    def grow(self, cuts: list[np.ndarray], rows: AtHand | Apart, n: int, positive: float) -> Boosted:
+        width = self.bins + 1
+        chunks = max(1, min(self.trees, n // ROWS))
+        p0 = min(max(positive / n, 1e-3), 1 - 1e-3)
         self.bias = float(np.log(p0 / (1 - p0)))
-        f = np.full(len(y), self.bias)
-        for _ in range(self.trees):
-            p = 1 / (1 + np.exp(-f))
-            g, h = y - p, p * (1 - p)
-            tree: list = []
-            self._grow(tree, codes, cuts, g, h, np.arange(len(y)), 0)
-            self.forest.append(tree)
-            f += self.rate * self._one(tree, x)
+        rows.begin(self.bias, self.rate, chunks)
+        coded: list[list] = []
+        for t in range(self.trees):
+            tree: list = [(-1, 0, 0, 0, 0.0)]
+            nodes = [0]
+            for _ in range(self.depth):
+                if not nodes:
+                    break
+                s = rows.sums(coded, tree, nodes, t % chunks, len(cuts), width).cumsum(3)
+                after = []
+                for me, (n_, gs, hs) in zip(nodes, s.transpose(1, 0, 2, 3)):
+                    total, total_g, total_h = n_[0, -1], gs[0, -1], hs[0, -1]
+                    tree[me] = (-1, 0, 0, 0, float(total_g / (total_h + 1.0)))
+                    if total < 2 * self.least:
+                        continue
+                    gain = gs**2 / (hs + 1) + (total_g - gs) ** 2 / (total_h - hs + 1) - total_g**2 / (total_h + 1)
+                    gain[(n_ < self.least) | (total - n_ < self.least)] = -1
+                    j, k = divmod(int(gain.argmax()), width)
+                    if gain[j, k] <= 1e-6:
+                        continue
+                    a = len(tree)
+                    tree[me] = (j, k, a, a + 1, tree[me][4])
+                    tree += [(-1, 0, 0, 0, float(gs[j, k] / (hs[j, k] + 1.0))), (-1, 0, 0, 0, float((total_g - gs[j, k]) / (total_h - hs[j, k] + 1.0)))]
+                    after += [a, a + 1]
+                nodes = after
+            coded.append(tree)
+            rows.add(tree)
+        self.forest = [[(j, float(cuts[j][k]) if j >= 0 else 0.0, a, b, leaf) for j, k, a, b, leaf in tree] for tree in coded]
         return self
 
-    def _grow(self, tree: list, codes, cuts, g, h, at, depth) -> int:
-        me = len(tree)
-        leaf = float(g[at].sum() / (h[at].sum() + 1.0))
-        tree.append((-1, 0.0, 0, 0, leaf))
-        if depth == self.depth or len(at) < 2 * self.least:
-            return me
-        width, features = self.bins + 1, codes.shape[1]
-        cells = (codes[at] + np.arange(features) * width).ravel()
-        sums = [np.bincount(cells, w, features * width).reshape(features, width).cumsum(1) for w in (None, np.repeat(g[at], features), np.repeat(h[at], features))]
-        n, gs, hs = sums
-        total_g, total_h = gs[0, -1], hs[0, -1]
-        gain = gs**2 / (hs + 1) + (total_g - gs) ** 2 / (total_h - hs + 1) - total_g**2 / (total_h + 1)
-        gain[(n < self.least) | (len(at) - n < self.least)] = -1
-        j, k = divmod(int(gain.argmax()), width)
-        if gain[j, k] <= 1e-6:
-            return me
-        left = codes[at, j] <= k
-        a = self._grow(tree, codes, cuts, g, h, at[left], depth + 1)
-        b = self._grow(tree, codes, cuts, g, h, at[~left], depth + 1)
-        tree[me] = (j, float(cuts[j][k]), a, b, leaf)
-        return me
-
     @staticmethod
     def _one(tree: list, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
@@ -64,8 +90,147 @@ class Boosted:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probabilities."""
-        x = np.asarray(x, float)
+        x = np.asarray(x, np.float32)
         f = np.full(len(x), self.bias)
         for t in self.forest:
             f += self.rate * self._one(t, x)
         return 1 / (1 + np.exp(-f))
+
+
+def _codes(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1).astype(np.uint8)
+
+
+def _route(tree: list, codes: np.ndarray) -> np.ndarray:
+    """The node of the tree that each row comes to."""
+    out = np.zeros(len(codes), int)
+    todo = [(0, np.arange(len(codes)))]
+    while todo:
+        node, at = todo.pop()
+        j, k, a, b, _ = tree[node]
+        if j < 0:
+            out[at] = node
+        else:
+            left = codes[at, j] <= k
+            todo += [(a, at[left]), (b, at[~left])]
+    return out
+
+
+def _leaves(tree: list) -> np.ndarray:
+    return np.array([node[4] for node in tree])
+
+
+def _sums(codes: np.ndarray, y: np.ndarray, f: np.ndarray, tree: list, nodes: list[int], width: int) -> np.ndarray:
+    """Of the rows that come to each of the nodes: number, gradients and curvatures in each bin of each feature."""
+    slot = np.full(len(tree), -1)
+    slot[nodes] = np.arange(len(nodes))
+    s = slot[_route(tree, codes)]
+    at = np.flatnonzero(s >= 0)
+    p = 1 / (1 + np.exp(-f[at]))
+    features = codes.shape[1]
+    cells = ((s[at, None] * features + np.arange(features)) * width + codes[at]).ravel()
+    size = len(nodes) * features * width
+    return np.stack([np.bincount(cells, w, size) for w in (None, np.repeat(y[at] - p, features), np.repeat(p * (1 - p), features))]).reshape(3, len(nodes), features, width)
+
+
+class AtHand:
+    """Rows in the driver."""
+
+    def __init__(self, codes: np.ndarray, y: np.ndarray, part: np.ndarray):
+        self.codes, self.y, self.part = codes, y, part
+
+    def begin(self, bias: float, rate: float, chunks: int) -> None:
+        order = np.argsort(self.part % chunks, kind="stable")
+        self.codes, self.y, self.rate = self.codes[order], self.y[order], rate
+        self.ends = np.bincount(self.part % chunks, minlength=chunks).cumsum()
+        self.f = np.full(len(self.y), bias)
+
+    def sums(self, coded: list, tree: list, nodes: list[int], chunk: int, features: int, width: int) -> np.ndarray:
+        at = slice(self.ends[chunk - 1] if chunk else 0, self.ends[chunk])
+        return _sums(self.codes[at], self.y[at], self.f[at], tree, nodes, width)
+
+    def add(self, tree: list) -> None:
+        self.f += self.rate * _leaves(tree)[_route(tree, self.codes)]
+
+
+class Apart:
+    """Rows in a table of packed codes, which stays where it is: the driver gets sums."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def begin(self, bias: float, rate: float, chunks: int) -> None:
+        def deal(b: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for part, y, x in zip(b.part, b.y, b.x):
+                to = np.frombuffer(part, np.int16) % chunks
+                y, x = np.frombuffer(y, np.uint8), np.frombuffer(x, np.uint8).reshape(len(to), -1)
+                out += [(int(c), y[to == c].tobytes(), x[to == c].tobytes()) for c in np.unique(to)]
+            return pd.DataFrame(out, columns=["chunk", "y", "x"])
+
+        self.rows = stored(in_batches(self.table, deal, "chunk int, y binary, x binary").sortWithinPartitions("chunk"), "rows")
+        self.bias, self.rate = bias, rate
+
+    def sums(self, coded: list, tree: list, nodes: list[int], chunk: int, features: int, width: int) -> np.ndarray:
+        bias, rate, forest = self.bias, self.rate, list(coded)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros((3, len(nodes), features, width))
+            for b in batches:
+                if not len(b):
+                    continue
+                y, x = np.frombuffer(b"".join(b.y), np.uint8), np.frombuffer(b"".join(b.x), np.uint8).reshape(-1, features)
+                f = np.full(len(y), bias)
+                for t in forest:
+                    f += rate * _leaves(t)[_route(t, x)]
+                out += _sums(x, y, f, tree, nodes, width)
+            n, g, h = out.reshape(3, -1)
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"cell": at, "n": n[at], "g": g[at], "h": h[at]})
+
+        got = self.rows.filter(F.col("chunk") == chunk).select("y", "x").mapInPandas(run, "cell long, n double, g double, h double")
+        got = got.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
+        out = np.zeros((3, len(nodes) * features * width))
+        out[:, got.cell.to_numpy()] = got[["n", "g", "h"]].to_numpy().T
+        return out.reshape(3, len(nodes), features, width)
+
+    def add(self, tree: list) -> None:
+        pass
+
+
+def packed(part: list[int], y: list[int], x: list[list[float]]) -> tuple[bytes, bytes, bytes]:
+    """Rows as one row of a table (PACKED): their parts (any integers), classes and features."""
+    return (np.array(part) % PARTS).astype(np.int16).tobytes(), np.array(y, np.uint8).tobytes(), np.array(x, np.float32).tobytes()
+
+
+def fit_rows(table: DataFrame, trees: int, depth: int, least: tuple[int, int] = (21, 21), at_hand: int = AT_HAND) -> Boosted | None:
+    """The trees of all packed rows; None if there are less than `least` of class 0 or of class 1."""
+
+    def values(b: pd.DataFrame) -> pd.DataFrame:
+        y = np.frombuffer(b"".join(b.y), np.uint8)
+        x = np.frombuffer(b"".join(b.x), np.float32).reshape(len(y), -1) if len(y) else np.zeros((0, 0))
+        out = [(-1, float(v), n) for v, n in zip(*np.unique(y, return_counts=True))]
+        for j in range(x.shape[1]):
+            out += [(j, float(v), n) for v, n in zip(*np.unique(x[:, j].round(3), return_counts=True))]
+        return pd.DataFrame(out, columns=["j", "v", "n"])
+
+    table = table.select("part", "y", "x")
+    seen = in_batches(table, values, "j int, v double, n long").groupBy("j", "v").agg(F.sum("n").alias("n")).toPandas().sort_values(["j", "v"])
+    classes = dict(zip(seen.v[seen.j < 0], seen.n[seen.j < 0]))
+    if any(classes.get(float(k), 0) < n for k, n in enumerate(least)):
+        return None
+    m = Boosted(trees=trees, depth=depth)
+    cuts = [m.cuts(own.v.to_numpy(np.float32), own.n.to_numpy()) for _, own in seen[seen.j >= 0].groupby("j")]
+
+    def code(b: pd.DataFrame) -> pd.DataFrame:
+        return b.assign(x=[_codes(np.frombuffer(x, np.float32).reshape(-1, len(cuts)), cuts).tobytes() for x in b.x])
+
+    coded, n = in_batches(table, code, PACKED), int(sum(classes.values()))
+    if n > at_hand:
+        return m.grow(cuts, Apart(coded), n, classes[1.0])
+    got = coded.collect()
+    part, y, x = (np.frombuffer(b"".join(bytes(r[c]) for r in got), kind) for c, kind in (("part", np.int16), ("y", np.uint8), ("x", np.uint8)))
+    # in the order of their content, so that sums do not depend on how the table is divided
+    x = x.reshape(len(y), -1)
+    order = np.lexsort((*x.T, y, part))
+    return m.grow(cuts, AtHand(x[order], y[order].astype(float), part[order].astype(int)), n, classes[1.0])

@@ -42,14 +42,6 @@ def distance(a: str, b: str, most: int = 4) -> int:
     return min(row[-1], most)
 
 
-def one_slip(a: str, b: str) -> bool:
-    """Is the Levenshtein distance at most one?"""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
-
-
 def misread(w: str, rnd: random.Random) -> str | None:
     """w as a scan may misread it; None if no character of it lends itself."""
     ways = [(w[:i] + y + w[i + len(x) :]) for a, b in PAIRS for x, y in ((a, b), (b, a)) for i in range(len(w)) if w.startswith(x, i)]

@@ -1,7 +1,7 @@
 """Noise in text from scanned pages: words hyphenated across lines, misrecognised characters, running headers, page numbers.
 
-One pass over all texts splits each into lines, marks furniture (pages.py: line-pair classifiers find headers and page numbers) and puts out, beside
-the document's kinds, its broken words, the counts of its words, and those of its words that the sample does not vouch for. From there on everything
+A first pass over all texts counts words and makes up pages to learn from. A second one splits each text into lines, marks furniture (pages.py: line-pair
+classifiers find headers and page numbers) and puts out, beside the document's kinds, its broken words, the counts of its words, and those of its words that the first counts do not vouch for. From there on everything
 is a join of shuffled tables:
 
 - a correction differs from the doubtful word by look-alikes and at most one more slip, and is several times as frequent in the corpus; candidates come from
@@ -10,9 +10,8 @@ is a join of shuffled tables:
 - broken words are asked for as a whole, too, so that a misread one is still joined;
 - a line-pair classifier joins a broken word, or keeps the mark of a compound broken at its own hyphen, by how often the corpus has the word joined, as a compound and in parts.
 
-The trees and the classifiers are fitted on at most FIT_DOCUMENTS texts of at most FIT_CHARS characters (drawn by the hash of their id) in which
-errors and furniture are planted: frequent words are misread by the usual confusions, clean texts are cut into pages, words are broken. Counts, candidates and
-decisions cover all texts.
+The trees and the classifiers are fitted on all texts and all words, in which errors and furniture are planted: every clean text is cut into pages, all words that are
+frequent enough to correct others are misread by the usual confusions, all words are broken. The rows to learn from are tables; `fit_rows` (boost.py) uses every one of them.
 
 Defined results: null and empty texts and texts without letters have no noise and stay as they are; rows of one id count once (noise of any of them; the first text is repaired); ties between corrections go to the more frequent, then to the first in
 order.
@@ -27,23 +26,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliant.llm.boost import Boosted
-from foliant.llm.common import bounded, in_batches
-from foliant.llm.glyphs import distance, gram_keys, misread, one_slip, skeleton
+from foliant.llm.boost import PACKED, Boosted, fit_rows, packed
+from foliant.llm.common import in_batches
+from foliant.llm.glyphs import distance, gram_keys, misread, skeleton
 from foliant.llm.names import lcs_ratio
-from foliant.llm.pages import HYPHENS, Lines, Page, body, breaks, split_lines
+from foliant.llm.pages import HYPHENS, PLAIN, Lines, Page, body, breaks, examples, split_lines
 from foliant.session import stored
 
-FIT_DOCUMENTS, FIT_CHARS = 1500, 20_000
+#: Made-up pages: one of every text, up to three while there are fewer than so many.
+PAGES = 4500
 #: A correction is this many times as frequent as the word it replaces, seen so often at least, and this likely.
 TIMES, LEAST_SEEN, LIKELY = 5, 8, 0.5
 #: The same for a word that is seen more than FEW times.
 TIMES_MORE, FEW = 25, 3
-#: A word seen so often in the sample, without a look-alike more frequent than this many times, is not doubted.
-VOUCHED, RIVAL = 4, 3
+#: A word seen LEAST_SEEN times, and so often a text, without a look-alike more frequent than RIVAL times, is not doubted.
+VOUCHED, RIVAL = LEAST_SEEN / 1500, 3
+#: The order of the inverted join knows so many q-grams, the most frequent ones; others come first in it. Its result does not depend on the order.
+GRAMS = 100_000
 
 _TOKEN = re.compile(r"(?:[@|!](?=[^\W\d_]))?[^\W_]++(?:[@|!$][^\W_]++)*+")
 _COMPOUND = re.compile(r"\b[^\W\d_]++-[^\W\d_]+")
@@ -66,49 +69,10 @@ def doubtful(w: str) -> bool:
 
 
 class Fitted:
-    """The models of the pass: the line classifier, the ranking, and the words the sample vouches for."""
-
-    def __init__(self, texts: list[str], seed: int = 11):
-        rnd = random.Random(seed)
-        self.lines = Lines(texts)
-        counts: Counter = Counter()
-        for t in texts:
-            counts.update(_TOKEN.findall(t.lower()))
-        frequent = {w: n for w, n in counts.items() if n >= LEAST_SEEN and w.isalpha() and len(w) >= 3}
-        by_form: dict[str, list[str]] = {}
-        for w in frequent:
-            by_form.setdefault(skeleton(w), []).append(w)
-        top = {k: max(frequent[w] for w in ws) for k, ws in by_form.items()}
-        self.vouched = {w for w, n in frequent.items() if n >= VOUCHED and top[skeleton(w)] <= RIVAL * n} | {w for w in counts if not doubtful(w)}
-        forms = Counter(g for w in frequent for s in [f"^{skeleton(w)}$"] for q in (2, 3) for g in {s[i : i + q] for i in range(len(s) - q + 1)})
-        self.order = dict(forms)
-        self.joins = _join_model(texts, counts, rnd)
-        lists: dict[str, list[str]] = {}
-        for w in frequent:
-            for g in gram_keys(skeleton(w), self.order, (-1, 0, 1)):
-                lists.setdefault(g, []).append(w)
-        xs, ys = [], []
-
-        def near(w: str) -> list[str]:
-            """Candidates as the inverted join finds them, the most alike first."""
-            form = skeleton(w)
-            met = {c for g in gram_keys(form, self.order, (0,)) for c in lists.get(g, ()) if c != w and one_slip(form, skeleton(c))}
-            return sorted(met, key=lambda c: (-lcs_ratio(w, c), c))
-
-        words = sorted(frequent)
-        for w in rnd.sample(words, min(len(words), 1500)):
-            times = float(np.exp(rnd.uniform(np.log(TIMES), np.log(max(TIMES + 1, frequent[w])))))
-            for m in {misread(w, rnd) for _ in range(4)} - {None} - set(frequent):
-                xs.append(features(m, w, times))
-                ys.append(1)
-                for c in near(m)[:3]:
-                    if c != w:
-                        xs.append(features(m, c, times))
-                        ys.append(0)
-            for c in near(w)[:3]:  # a word of its own, rarer than a neighbour
-                xs.append(features(w, c, float(np.exp(rnd.uniform(np.log(TIMES), np.log(max(TIMES + 1, frequent[c])))))))
-                ys.append(0)
-        self.rank = Boosted(trees=80, depth=4).fit(np.array(xs), np.array(ys)) if sum(ys) > 20 else None
+    """The models of the passes: the line classifiers, the ranking, the joining, and the words that all texts vouch for."""
+
+    def __init__(self, lines: Lines, vouched: set[str], rank: Boosted | None, joins: Boosted | None):
+        self.lines, self.vouched, self.rank, self.joins = lines, vouched, rank, joins
 
 
 def join_features(left: str, right: str, mark: str, n: tuple[float, float, float, float]) -> list[float]:
@@ -117,23 +81,105 @@ def join_features(left: str, right: str, mark: str, n: tuple[float, float, float
     return [joined, compound, joined - compound, min(a, b), max(a, b), min(a, b) - joined, float(mark in "\u00ad¬"), float(min(len(left), 12)), float(min(len(right), 12)), float(n[0] <= 0), float(n[1] <= 0)]
 
 
+def _broken(word: str) -> tuple[str, str]:
+    """The word in two, at a place that depends on nothing else."""
+    k = random.Random(word).randint(2, len(word) - 2)
+    return word[:k], word[k:]
+
+
+def _join_rows(left: str, right: str, own: tuple[int, ...], y: int, rnd: random.Random, xs: list, ys: list) -> None:
+    """Rows to learn joining from. All counts are thinned at random, so that words and compounds stand for rarer ones, too."""
+    for share in (1.0, rnd.random(), rnd.random() ** 3):
+        n = tuple(float(np.floor(x * share + rnd.random())) - (i == 1 - y) for i, x in enumerate(own))  # the occurrence itself does not count
+        xs.append(join_features(left, right, rnd.choice(HYPHENS) if y else rnd.choice("-‐"), n))
+        ys.append(y)
+
+
 def _join_model(texts: list[str], counts: Counter, rnd: random.Random) -> Boosted | None:
-    """Learned from words of the sample that are broken anywhere and compounds that are broken at their hyphen. All counts are thinned at random,
-    so that words and compounds stand for rarer ones, too."""
+    """Learned from words that are broken anywhere and compounds that are broken at their hyphen, of texts that are at hand; `_joining` is the same for tables."""
     compounds = Counter(c for t in texts for c in _COMPOUND.findall(t.lower()))
     words = sorted(w for w, n in counts.items() if w.isalpha() and len(w) > 4)
-    broken = [(w[:k], w[k:], 1) for w in rnd.sample(words, min(len(words), 1500)) for k in [rnd.randint(2, len(w) - 2)]]
-    broken += [(*c.split("-", 1), 0) for c in sorted(compounds) for _ in range(min(compounds[c], max(2, 600 // max(1, len(compounds)))))]
+    broken = [(*_broken(w), 1) for w in words]
+    broken += [(*c.split("-", 1), 0) for c in sorted(compounds) for _ in range(min(compounds[c], _times(len(words), len(compounds))))]
     xs, ys = [], []
     for left, right, y in broken:
-        own = (counts[left + right], compounds[f"{left}-{right}"], counts[left], counts[right])
-        for share in (1.0, rnd.random(), rnd.random() ** 3):
-            n = tuple(float(np.floor(x * share + rnd.random())) - (i == 1 - y) for i, x in enumerate(own))  # the occurrence itself does not count
-            xs.append(join_features(left, right, rnd.choice(HYPHENS) if y else rnd.choice("-‐"), n))
-            ys.append(y)
+        _join_rows(left, right, (counts[left + right], compounds[f"{left}-{right}"], counts[left], counts[right]), y, rnd, xs, ys)
     return Boosted(trees=60, depth=4).fit(np.array(xs), np.array(ys)) if min(sum(ys), len(ys) - sum(ys)) > 20 else None
 
 
+def _times(words: int, compounds: int) -> int:
+    """How often a compound is taken at most, so that compounds, which are few, weigh up to two fifths of the words, or 600."""
+    return max(2, max(600, 2 * words // 5) // max(1, compounds))
+
+
+def _joining(counts: DataFrame) -> Boosted | None:
+    words = counts.filter(F.col("word").rlike(r"^[\p{L}]{5,}$"))
+    compounds = counts.filter(F.col("word").contains("-"))
+    most = _times(words.count(), compounds.count())
+
+    def halves(b: pd.DataFrame) -> pd.DataFrame:
+        out = [(*w.split("-", 1), 0, min(int(n), most)) if "-" in w else (*_broken(w), 1, 1) for w, n in zip(b.word, b.n)]
+        return pd.DataFrame(out, columns=["left", "right", "y", "times"])
+
+    forms = in_batches(words.unionByName(compounds), halves, "left string, right string, y int, times long")
+    known = _known(forms, counts, ["left", "right", "y", "times"])
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        parts, xs, ys = [], [], []
+        for left, right, y, times, *own in zip(b.left, b.right, b.y, b.times, b.n0, b.n1, b.n2, b.n3):
+            rnd = random.Random(f"{left} {right} {y}")
+            for _ in range(times):
+                _join_rows(left, right, tuple(own), y, rnd, xs, ys)
+            parts += [rnd.randrange(1 << 20) for _ in range(len(ys) - len(parts))]
+        return pd.DataFrame([packed(parts, ys, xs)], columns=["part", "y", "x"])
+
+    return fit_rows(stored(in_batches(known, run, PACKED), "joins"), 60, 4)
+
+
+def _ranking(counts: DataFrame, order) -> Boosted | None:
+    """Learned from all words that may correct others, misread, against the candidates that the inverted join finds beside them, and from words of their own, rarer than a neighbour."""
+    vocab = _vocabulary(counts)
+
+    def plant(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for w, n in zip(b.word, b.n):
+            rnd = random.Random(w)
+            times = _more(rnd, n)
+            out.append((w, None, times))
+            out += [(m, w, times) for m in sorted({misread(w, rnd) for _ in range(4)} - {None})]
+        return pd.DataFrame(out, columns=["w", "target", "times"])
+
+    planted = in_batches(vocab, plant, "w string, target string, times double")
+    planted = stored(planted.join(vocab.select(F.col("word").alias("w"), F.lit(True).alias("own")).hint("merge"), "w", "left").filter("own is null or target is null").drop("own"), "planted")
+    mine = _keyed(planted.select(F.col("w").alias("word"), F.lit(0).cast("long").alias("n")).distinct(), order, (0,)).select(F.col("word").alias("w"), F.col("form").alias("fw"), "g")
+    lists = _keyed(vocab, order, (-1, 0, 1)).withColumnsRenamed({"n": "nc", "form": "fc"})
+    met = mine.join(lists.hint("merge"), "g").filter((F.col("w") != F.col("word")) & _one_slip("fw", "fc")).select("w", "word", "nc").dropDuplicates()
+
+    def alike(b: pd.DataFrame) -> pd.DataFrame:
+        return b.assign(p=[lcs_ratio(w, c) for w, c in zip(b.w, b.word)])
+
+    near = in_batches(met, alike, "w string, word string, nc long, p double")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("p"), "word"))).filter("k <= 3")
+    wrong = planted.join(near.hint("merge"), "w").filter("target is null or word != target").select("w", "target", F.col("word").alias("c"), "times", "nc", F.lit(0).alias("y"))
+    right = planted.filter("target is not null").select("w", "target", F.col("target").alias("c"), "times", F.lit(None).cast("long").alias("nc"), F.lit(1).alias("y"))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        parts, xs, ys = [], [], []
+        for w, target, c, times, nc, y in zip(b.w, b.target, b.c, b.times, b.nc, b.y):
+            rnd = random.Random(f"{w} {c} {target}")
+            xs.append(features(w, c, times if isinstance(target, str) else _more(rnd, nc)))
+            ys.append(y)
+            parts.append(rnd.randrange(1 << 20))
+        return pd.DataFrame([packed(parts, ys, xs)], columns=["part", "y", "x"])
+
+    return fit_rows(stored(in_batches(right.unionByName(wrong), run, PACKED), "ranks"), 80, 4, (0, 21))
+
+
+def _more(rnd: random.Random, n: float) -> float:
+    """How many times as frequent as the word that it replaces a word is that is seen n times: at random between TIMES and n."""
+    return float(np.exp(rnd.uniform(np.log(TIMES), np.log(max(TIMES + 1, n)))))
+
+
 _SCHEMA = "kind int, id long, a string, b string, n long"
 
 
@@ -162,7 +208,7 @@ def _scan(fitted, kept: bool = False) -> callable:
                 cut = breaks(lines)
                 for at, left, mark, right in cut:
                     rows.append((1, i, left.lower() + "\n" + right.lower(), mark, at))
-                    if (whole := (left + right).lower()) not in vouched:
+                    if doubtful(whole := (left + right).lower()) and whole not in vouched:
                         rows.append((4, i, whole, None, 0))
                 low = "\n".join(lines).lower()
                 ws = _TOKEN.findall(low)
@@ -170,7 +216,7 @@ def _scan(fitted, kept: bool = False) -> callable:
                 if "-" in low:
                     counts.update(_COMPOUND.findall(low))
                 parts = {x.lower() for c in cut for x in (c[1], c[3])}
-                rows += [(3, i, w, None, 0) for w in set(ws) - vouched - parts]
+                rows += [(3, i, w, None, 0) for w in set(ws) - vouched - parts if doubtful(w)]
             yield pd.DataFrame(rows, columns=["kind", "id", "a", "b", "n"])
             if counts:
                 yield pd.DataFrame({"kind": 2, "id": 0, "a": list(counts), "b": None, "n": list(counts.values())})
@@ -178,27 +224,35 @@ def _scan(fitted, kept: bool = False) -> callable:
     return run
 
 
+def _vocabulary(counts: DataFrame) -> DataFrame:
+    """The words that may correct others."""
+    return counts.filter((F.col("n") >= LEAST_SEEN) & F.col("word").rlike(r"^[\p{L}]{3,}$"))
+
+
+def _one_slip(a: str, b: str) -> Column:
+    return (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b, 1) >= 0)
+
+
 def _keyed(words: DataFrame, held, shifts: tuple[int, ...]) -> DataFrame:
     """word, n, form (its skeleton), g: a row for each of its keys."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        order = held.value.order
+        order = held.value
         rows = [(w, n, s, g) for w, n in zip(b.word, b.n) for s in [skeleton(w)] for g in gram_keys(s, order, shifts)]
         return pd.DataFrame(rows, columns=["word", "n", "form", "g"])
 
     return in_batches(words.select("word", "n"), run, "word string, n long, form string, g string")
 
 
-def corrections(scan: DataFrame, counts: DataFrame, held) -> DataFrame:
+def corrections(scan: DataFrame, counts: DataFrame, held, order) -> DataFrame:
     """word, better, p: the accepted corrections, from the inverted join of doubtful and frequent words by the q-grams of their skeletons."""
     asked = scan.filter("kind in (3, 4)").select(F.col("a").alias("word")).distinct().join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     asked = asked.filter((F.length("word") >= 3) & F.col("word").rlike(r"[\p{L}]"))
-    vocab = counts.filter((F.col("n") >= LEAST_SEEN) & F.col("word").rlike(r"^[\p{L}]{3,}$"))
-    mine = _keyed(asked, held, (0,)).withColumnsRenamed({"word": "w", "form": "fw"})
-    lists = _keyed(vocab, held, (-1, 0, 1)).withColumnsRenamed({"n": "nc", "form": "fc"})
+    mine = _keyed(asked, order, (0,)).withColumnsRenamed({"word": "w", "form": "fw"})
+    lists = _keyed(_vocabulary(counts), order, (-1, 0, 1)).withColumnsRenamed({"n": "nc", "form": "fc"})
     times = F.when(F.col("n") > FEW, TIMES_MORE).otherwise(TIMES)
     met = mine.join(lists, "g").filter((F.abs(F.length("fw") - F.length("fc")) <= 1) & (F.col("nc") >= times * F.col("n")) & (F.abs(F.length("w") - F.length("word")) <= 3) & (F.col("w") != F.col("word")))
-    met = met.filter(F.levenshtein("fw", "fc", 1) >= 0).select("w", "word", "n", "nc").dropDuplicates()
+    met = met.filter(_one_slip("fw", "fc")).select("w", "word", "n", "nc").dropDuplicates()
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         keep, xs = [], []
@@ -215,21 +269,26 @@ def corrections(scan: DataFrame, counts: DataFrame, held) -> DataFrame:
     return best.select(F.col("w").alias("word"), F.col("x.word").alias("better"), F.col("x.p").alias("p"))
 
 
+def _known(forms: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
+    """The broken words with the counts n0 to n3 of the joined word, of the compound, of the left and the right part."""
+    keys = F.array(F.struct(F.lit(0).alias("f"), F.concat("left", "right").alias("word")), F.struct(F.lit(1).alias("f"), F.concat_ws("-", "left", "right").alias("word")), F.struct(F.lit(2).alias("f"), F.col("left").alias("word")), F.struct(F.lit(3).alias("f"), F.col("right").alias("word")))
+    known = forms.select(*by, F.explode(keys).alias("x")).select(*by, "x.*").join(counts.hint("merge"), "word", "left")
+    n = [F.coalesce(F.sum(F.when(F.col("f") == f, F.col("n"))), F.lit(0)).alias(f"n{f}") for f in range(4)]
+    return known.groupBy(*by).agg(*n)
+
+
 def joins(scan: DataFrame, counts: DataFrame, fixes: DataFrame, held) -> DataFrame:
     """id, left, right, joined (boolean) of the broken words. One that has a correction as a whole is joined, too."""
     pair = scan.filter("kind = 1").select("id", F.split_part("a", F.lit("\n"), F.lit(1)).alias("left"), F.split_part("a", F.lit("\n"), F.lit(2)).alias("right"), F.col("b").alias("mark"))
     forms = pair.select("left", "right", "mark").distinct()
-    keys = F.array(F.struct(F.lit(0).alias("f"), F.concat("left", "right").alias("word")), F.struct(F.lit(1).alias("f"), F.concat_ws("-", "left", "right").alias("word")), F.struct(F.lit(2).alias("f"), F.col("left").alias("word")), F.struct(F.lit(3).alias("f"), F.col("right").alias("word")))
-    known = forms.select("left", "right", "mark", F.explode(keys).alias("x")).select("left", "right", "mark", "x.*").join(counts, "word", "left")
-    n = [F.coalesce(F.sum(F.when(F.col("f") == f, F.col("n"))), F.lit(0)).alias(f"n{f}") for f in range(4)]
-    known = known.groupBy("left", "right", "mark").agg(*n)
+    known = _known(forms, counts, ["left", "right", "mark"])
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         m = held.value.joins
         if m:
             x = [join_features(*row[:3], row[3:]) for row in zip(b.left, b.right, b["mark"], b.n0, b.n1, b.n2, b.n3)]
             joined = m.score(np.array(x)) >= 0.5
-        else:  # the sample has no compounds to learn from
+        else:  # the texts have no compounds to learn from
             joined = (b.n0 > b.n1) | ((b.n1 == 0) & ~((b.n2 >= LEAST_SEEN) & (b.n3 >= LEAST_SEEN)))
         return pd.DataFrame({"left": b.left, "right": b.right, "mark": b["mark"], "joined": joined})
 
@@ -239,18 +298,79 @@ def joins(scan: DataFrame, counts: DataFrame, fixes: DataFrame, held) -> DataFra
     return pair.join(decided, ["left", "right", "mark"]).select("id", "left", "right", (F.col("joined") | F.coalesce("wrong", F.lit(False))).alias("joined"))
 
 
+_LEARNED = f"kind int, a string, n long, {PACKED}"
+
+
+def _learn(texts: DataFrame, least: int, times: int) -> DataFrame:
+    """One pass over all texts: the counts of their words (kind 2), and packed rows of headers (0) and page numbers (1) of `times` pages made up from each text with `fit` of `least` or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            counts, parts, rows = Counter(), ([], []), (([], []), ([], []))
+            for t, pick, fit in zip(b.text, b.pick, b.fit):
+                low = t.lower()
+                counts.update(_TOKEN.findall(low))
+                if "-" in low:
+                    counts.update(_COMPOUND.findall(low))
+                if fit >= least:
+                    rnd = random.Random(int(pick))
+                    for _ in range(times):
+                        examples(t, rnd, *rows)
+                    for part, (_, ys) in zip(parts, rows):
+                        part += [int(pick)] * (len(ys) - len(part))
+            if counts:
+                yield pd.DataFrame({"kind": 2, "a": list(counts), "n": list(counts.values()), "part": None, "y": None, "x": None})
+            out = [(k, None, 0, *packed(part, ys, xs)) for k, (part, (xs, ys)) in enumerate(zip(parts, rows)) if ys]
+            if out:
+                yield pd.DataFrame(out, columns=["kind", "a", "n", "part", "y", "x"])
+
+    return texts.select("text", "pick", "fit").mapInPandas(run, _LEARNED)
+
+
+def _order(vocab: DataFrame) -> dict[str, int]:
+    """How often the q-grams of skeletons stand in the vocabulary."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        forms = Counter(g for w in b.word for s in [f"^{skeleton(w)}$"] for q in (2, 3) for g in {s[i : i + q] for i in range(len(s) - q + 1)})
+        return pd.DataFrame({"g": list(forms), "n": list(forms.values())})
+
+    grams = in_batches(vocab.select("word"), run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return {r.g: r.n for r in grams.orderBy(F.desc("n"), "g").limit(GRAMS).collect()}
+
+
+def _vouched(vocab: DataFrame, texts: int) -> set[str]:
+    """The words that are not doubted. They are so frequent that a text has no more than its length / VOUCHED of them, however many texts there are."""
+    seen = {r.word: r.n for r in vocab.filter(F.col("n") >= VOUCHED * texts).select("word", "n").collect()}
+    top: dict[str, int] = {}
+    for w, n in seen.items():
+        k = skeleton(w)
+        top[k] = max(n, top.get(k, 0))
+    return {w for w, n in seen.items() if top[skeleton(w)] <= RIVAL * n}
+
+
 def _fit(docs: DataFrame):
-    sample = bounded(docs, "id", FIT_DOCUMENTS).filter((F.length("text") > 0) & (F.length("text") <= FIT_CHARS)).select("text")
-    return Fitted([r.text for r in sample.collect()])
+    """The models, of all texts, and the order of the q-grams, both broadcast."""
+    sc = docs.sparkSession.sparkContext
+    clean = ~F.col("text").contains("\f") & (F.length("text") > 400)
+    long = F.col("text").rlike("(?:^|\n)[^\n]{111}")  # not wrapped: no scans among them, with furniture of their own
+    texts = docs.filter(F.length("text") > 0).select("text", F.xxhash64("text").alias("pick"), F.when(clean & long, 2).when(clean, 1).otherwise(0).alias("fit"))
+    n = {r.fit: r["count"] for r in texts.groupBy("fit").count().collect()}
+    least = 2 if n.get(2, 0) >= PLAIN else 1
+    own = sum(v for k, v in n.items() if k >= least)
+    learned = stored(_learn(texts, least, min(3, max(1, PAGES // max(1, own)))), "learned")
+    counts = stored(learned.filter("kind = 2").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")), "words")
+    vocab = _vocabulary(counts)
+    order = _order(vocab)
+    held = sc.broadcast(order)
+    lines = Lines.of(*(fit_rows(learned.filter(F.col("kind") == k), 90, 4) for k in (0, 1)))
+    return sc.broadcast(Fitted(lines, _vouched(vocab, sum(n.values())), _ranking(counts, held), _joining(counts))), held
 
 
 def _found(docs: DataFrame, kept: bool = False):
-    sc = docs.sparkSession.sparkContext
-    fitted = _fit(docs)
-    held = sc.broadcast(fitted)
+    held, order = _fit(docs)
     scan = stored(docs.mapInPandas(_scan(held, kept), _SCHEMA), "pages")
     counts = stored(scan.filter("kind = 2").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")), "counts")
-    fixes = stored(corrections(scan, counts, held), "corrections")
+    fixes = stored(corrections(scan, counts, held, order), "corrections")
     return held, scan, counts, fixes
 
 

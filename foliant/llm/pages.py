@@ -30,6 +30,8 @@ _INTEGER = re.compile(r"(?<![^\W_])\d{1,5}(?![^\W_])")
 _BULLET = re.compile(r"^\s*(?:[-*•–]\s|\d{1,3}[.)]\s)")
 _ENDS = re.compile(r"[.!?:;…][)\]\"”»’']*\s*$")
 FORMS = "abcdef"
+#: Texts with long lines, of which only these serve for made-up pages if there are so many.
+PLAIN = 50
 
 
 @dataclass
@@ -90,23 +92,18 @@ class Lines:
         numbers: tuple[list, list] = ([], [])
         whole = [t for t in texts if "\f" not in t and len(t) > 400]
         plain = [t for t in whole if max(map(len, t.split("\n"))) > 110]  # not wrapped: no scans among them, with furniture of their own
-        for t in plain if len(plain) >= 50 else whole:
+        for t in plain if len(plain) >= PLAIN else whole:
             for _ in range(3):
-                made = _made_up(t, rnd)
-                if made is None:
-                    continue
-                page = split_lines(made[0])
-                for i, x, _ in number_pairs(page):
-                    numbers[0].append(x)
-                    numbers[1].append(made[1][i] in ("pagenum", "both"))
-                for i, k in enumerate(made[1]):
-                    if k in ("pagenum", "both"):
-                        page.kinds[i] = "pagenum"
-                for i, x, _ in repeats(page):
-                    heads[0].append(x)
-                    heads[1].append(made[1][i] in ("header", "both"))
+                examples(t, rnd, heads, numbers)
         self.heads, self.numbers = (Boosted(trees=90, depth=4).fit(np.array(x), np.array(y)) if sum(y) > 20 and len(y) - sum(y) > 20 else None for x, y in (heads, numbers))
 
+    @classmethod
+    def of(cls, heads: Boosted | None, numbers: Boosted | None) -> Lines:
+        """With models that are fitted elsewhere, on `examples` of all texts."""
+        out = cls([])
+        out.heads, out.numbers = heads, numbers
+        return out
+
     def read(self, text: str) -> Page:
         return self.read_all([text])[0]
 
@@ -252,10 +249,13 @@ def repeats(page: Page) -> list[tuple[int, list[float], str]]:
     for k in groups:  # lines that look alike at either end and are of like length are compared
         for e in ("<" + k[:4], ">" + k[-4:]):
             ends.setdefault(e, {}).setdefault(len(k), []).append(k)
+    alone = {e for e, by in ends.items() if len(by) == 1 and len(next(iter(by.values()))) == 1}
     lens.sort()
     width = max(lens[int(0.9 * (len(lens) - 1))], 20)
     out, place, grams = [], None, {}
     for k, own in groups.items():
+        if len(own) < 2 and "<" + k[:4] in alone and ">" + k[-4:] in alone:  # nothing is like it
+            continue
         most = max(2, len(k) // 8)
         near = {x for e in ("<" + k[:4], ">" + k[-4:]) for n2, xs in ends[e].items() if abs(n2 - len(k)) <= most for x in xs}
         like, ratio = [k], 1.0 if len(own) > 1 else 0.0
@@ -322,22 +322,41 @@ def _features(page: Page, i: int, width: int, ratio: float, place: tuple[int, in
 # ---- made-up pages ----
 
 
+def examples(text: str, rnd: random.Random, heads: tuple[list, list], numbers: tuple[list, list]) -> None:
+    """Adds the features and the classes of the lines of a page made up from the text that may be headers and page numbers."""
+    made = _made_up(text, rnd)
+    if made is None:
+        return
+    page = split_lines(made[0])
+    for i, x, _ in number_pairs(page):
+        numbers[0].append(x)
+        numbers[1].append(made[1][i] in ("pagenum", "both"))
+    for i, k in enumerate(made[1]):
+        if k in ("pagenum", "both"):
+            page.kinds[i] = "pagenum"
+    for i, x, _ in repeats(page):
+        heads[0].append(x)
+        heads[1].append(made[1][i] in ("header", "both"))
+
+
 def _wrapped(text: str, width: int, hyphens: str, rnd: random.Random) -> list[str]:
     """The lines of a text that is wrapped at a width; with a mark, words are broken."""
     lines: list[str] = []
     for paragraph in text.split("\n"):
-        now = ""
+        now: list[str] = []
+        size = 0
         for w in paragraph.split():
-            room = width - len(now) - 2
-            if len(now) + len(w) + 1 <= width:
-                now = f"{now} {w}".strip()
-            elif hyphens and w.isalpha() and len(w) > 5 and 2 <= room <= len(w) - 2 and rnd.random() < 0.5:
-                lines.append(f"{now} {w[:room]}{hyphens}")
-                now = w[room:]
+            room = width - size - 2
+            if size + len(w) + 1 <= width:
+                size += len(w) + bool(now)
+                now.append(w)
+            elif hyphens and len(w) > 5 and 2 <= room <= len(w) - 2 and w.isalpha() and rnd.random() < 0.5:
+                lines.append(f"{' '.join(now)} {w[:room]}{hyphens}")
+                now, size = [w[room:]], len(w) - room
             else:
-                lines.append(now)
-                now = w
-        lines.append(now)
+                lines.append(" ".join(now))
+                now, size = [w], len(w)
+        lines.append(" ".join(now))
     return lines
 
 

@@ -1,9 +1,13 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import random
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import canon, langid, leak, mix, names, ocr, split, subjects, truncated
+from foliant.llm import boost, canon, langid, leak, mix, names, ocr, split, subjects, truncated
 from foliant.session import stored
 
 ENG = "The committee of the archive has found that the letters were not in the office. We have asked for a copy of the report, and it will be there in two weeks. "
@@ -99,6 +103,34 @@ def test_split(spark, docs):
     assert split.split(empty(docs), limits).count() == 0
 
 
+def test_noise_models_come_from_all_texts(spark):
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(3, 5))) for _ in range(80)})
+    rows = [(i, "".join(rnd.choice(words) + (" " if k % 12 else ".\n\n") for k in range(4000))) for i in range(1, 5)]  # none of 20,000 characters or fewer
+    assert min(len(t) for _, t in rows) > 20_000
+    odd = next(w for w in words if "l" in w)
+    rows[2] = (3, rows[2][1] + odd.replace("l", "1", 1) + " " + words[0] + ".")
+    df = spark.createDataFrame(rows, "id long, text_content string")
+    assert {(r.id, r.noise) for r in ocr.noise(df).collect()} == {(3, "misread")}
+    once = spark.range(3000).select(F.concat(F.lit("Once more "), F.col("id") % 7, F.lit(" well-known")).alias("text"), F.col("id").alias("pick"), F.lit(0).alias("fit"))
+    n = {r.a: r.n for r in ocr._learn(once, 1, 1).filter("kind = 2").groupBy("a").agg(F.sum("n").alias("n")).collect()}
+    assert n["once"] == n["well-known"] == n["known"] == 3000
+
+
+def test_trees_of_all_rows(spark, monkeypatch):
+    """With chunks of rows, at hand or summed in the tasks, the trees are the same, and a rare case in one text in a hundred counts."""
+    monkeypatch.setattr(boost, "ROWS", 500)
+    rnd = np.random.default_rng(1)
+    x = rnd.random((2400, 3)).round(2)
+    x[:, 2] = np.arange(2400) % 100 == 7
+    y = (((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)) | (x[:, 2] > 0)).astype(int)
+    table = spark.createDataFrame(pd.DataFrame([boost.packed(list(range(i, i + 100)), y[i : i + 100].tolist(), x[i : i + 100].tolist()) for i in range(0, 2400, 100)], columns=["part", "y", "x"]), boost.PACKED)
+    held, apart = boost.fit_rows(table, 8, 3), boost.fit_rows(table, 8, 3, at_hand=0)
+    assert np.allclose(held.score(x), apart.score(x)) and ((held.score(x) > 0.5) == y).mean() > 0.95
+    assert boost.fit_rows(table.limit(0), 8, 3) is None
+    assert [len(c) for c in (held.forest, apart.forest)] == [8, 8]
+
+
 def test_noise(docs):
     assert ocr.noise(docs).count() >= 0
     assert ocr.noise(empty(docs)).count() == 0
