@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +21,19 @@ def read(spark: SparkSession, data: str, name: str) -> DataFrame:
     return table(spark, data, name)
 
 
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
+_APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def words(text: str) -> list[str]:
+    """The runs of letters and digits, as `[^\\W_]+` finds them: all that is neither is made a blank at once, in its UTF-8 bytes."""
+    if not text.isascii():
+        for c in set("".join(_BEYOND.findall(text))):
+            if not c.isalnum():
+                text = text.replace(c, " ")
+    return text.encode("utf-8", "surrogatepass").translate(_APART).decode("utf-8", "surrogatepass").split()
+
+
 def in_batches(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """f over the Arrow batches of df."""
 
