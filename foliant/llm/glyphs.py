@@ -10,8 +10,9 @@ PAIRS = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li",
 CLASSES = ["hbn", "ec", "tf", "o0", "il1!|", "a@", "s5$", "g9q", "z2"]
 #: Each character as the strokes it is read from: what looks alike, one by one or in pairs, has the same strokes.
 _STROKES = str.maketrans({c: k[0] for k in CLASSES for c in k} | dict.fromkeys("hbnu", "ii") | {"r": "i", "m": "iii", "d": "ei", "w": "vv"})
-_ONE = str.maketrans({c: None for c in " \t\"'(),-./:;<>[]_&*#%+=?"} | {c: k[0] for k in CLASSES for c in k})
-_NUMBERS = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
+_NONE = b" \t\"'(),-./:;<>[]_&*#%+=?"
+_ONE = bytes.maketrans("".join(CLASSES).encode(), "".join(k[0] * len(k) for k in CLASSES).encode())
+_NUMBERS = re.compile(r"\d(?<![^\W_]\d)\d*(?![^\W_])")
 _DIGIT = re.compile(r"\d")
 _REST = re.compile(r"[\W\d_]+")
 
@@ -23,11 +24,16 @@ def skeleton(w: str) -> str:
 
 def line_key(line: str) -> str:
     """The letters of a line, each as the first of its class; numbers of their own do not count."""
-    s = line.lower()
+    return line_keys([line])[0]
+
+
+def line_keys(lines: list[str]) -> list[str]:
+    """The keys of lines (without line ends in them), found at once: only characters of ASCII are replaced, so UTF-8 bytes can be."""
+    s = "\n".join(lines).lower()
     if _DIGIT.search(s):
         s = _NUMBERS.sub("", s)
-    s = s.translate(_ONE)
-    return s if s.isalpha() else _REST.sub("", s)
+    s = s.encode("utf-8", "surrogatepass").translate(_ONE, _NONE).decode("utf-8", "surrogatepass")
+    return [x if x.isalpha() else _REST.sub("", x) for x in s.split("\n")]
 
 
 def distance(a: str, b: str, most: int = 4) -> int:

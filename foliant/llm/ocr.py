@@ -1,7 +1,7 @@
 """Noise in text from scanned pages: words hyphenated across lines, misrecognised characters, running headers, page numbers.
 
 A first pass over all texts counts words and makes up pages to learn from. A second one splits each text into lines, marks furniture (pages.py: line-pair
-classifiers find headers and page numbers) and puts out, beside the document's kinds, its broken words, the counts of its words, and those of its words that the first counts do not vouch for. From there on everything
+classifiers find headers and page numbers) and puts out, beside the document's kinds, its broken words, the counts of the words of its furniture, which are taken off the first ones, and those of its words that the first counts do not vouch for. From there on everything
 is a join of shuffled tables:
 
 - a correction differs from the doubtful word by look-alikes and at most one more slip, and is several times as frequent in the corpus; candidates come from
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.llm.boost import PACKED, Boosted, fit_rows, packed
-from foliant.llm.common import in_batches
+from foliant.llm.common import in_batches, words
 from foliant.llm.glyphs import distance, gram_keys, misread, skeleton
 from foliant.llm.names import lcs_ratio
 from foliant.llm.pages import HYPHENS, PLAIN, Lines, Page, body, breaks, examples, split_lines
@@ -49,6 +49,7 @@ VOUCHED, RIVAL = LEAST_SEEN / 1500, 3
 GRAMS = 100_000
 
 _TOKEN = re.compile(r"(?:[@|!](?=[^\W\d_]))?[^\W_]++(?:[@|!$][^\W_]++)*+")
+_JOINED = re.compile(r"[@|!$][^\W_]")
 _COMPOUND = re.compile(r"\b[^\W\d_]++-[^\W\d_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[\d@|!$]")
@@ -63,6 +64,16 @@ def features(w: str, c: str, times: float) -> list[float]:
     ]
 
 
+def tokens(low: str) -> list[str]:
+    """What `_TOKEN` finds in a text; where no mark stands before a letter or digit, these are its words."""
+    return _TOKEN.findall(low) if _JOINED.search(low) else words(low)
+
+
+def compounds_of(low: str) -> list[str]:
+    """What `_COMPOUND` finds in a text, looked for where hyphens are."""
+    return _COMPOUND.findall(" ".join([x for x in low.split() if "-" in x])) if "-" in low else []
+
+
 def doubtful(w: str) -> bool:
     """Is the token a word that may be misread: letters, perhaps with odd characters between, and no code?"""
     return len(w) >= 3 and any(c.isalpha() for c in w) and sum(c.isdigit() for c in w) <= max(1, len(w) // 4)
@@ -188,13 +199,22 @@ _CODES = {"text": "t", "blank": "b", "header": "h", "pagenum": "n", "both": "2"}
 _KINDS = {c: k for k, c in _CODES.items()}
 
 
+def _counts(lows: list[str]) -> Counter:
+    """How often words and compounds stand in texts in lower case. None goes beyond a line, so those of a text are those of its lines."""
+    out = Counter()
+    for low in lows:
+        out.update(tokens(low))
+        out.update(compounds_of(low))
+    return out
+
+
 def _scan(fitted, kept: bool = False) -> callable:
     """kept: put out the kinds of each text's lines, too."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = fitted.value
         vouched = m.vouched
         for b in batches:
-            rows, counts = [], Counter()
+            rows, gone = [], []
             own = [(i, t) for i, t in zip(b.id, b.text) if isinstance(t, str) and any(c.isalpha() for c in t)]
             for (i, t), page in zip(own, m.lines.read_all([t for _, t in own])):
                 kinds = set(page.kinds)
@@ -210,16 +230,13 @@ def _scan(fitted, kept: bool = False) -> callable:
                     rows.append((1, i, left.lower() + "\n" + right.lower(), mark, at))
                     if doubtful(whole := (left + right).lower()) and whole not in vouched:
                         rows.append((4, i, whole, None, 0))
-                low = "\n".join(lines).lower()
-                ws = _TOKEN.findall(low)
-                counts.update(ws)
-                if "-" in low:
-                    counts.update(_COMPOUND.findall(low))
+                gone += [l for l, k in zip(page.lines, page.kinds) if k not in ("text", "blank")]
+                ws = tokens("\n".join(lines).lower())
                 parts = {x.lower() for c in cut for x in (c[1], c[3])}
                 rows += [(3, i, w, None, 0) for w in set(ws) - vouched - parts if doubtful(w)]
             yield pd.DataFrame(rows, columns=["kind", "id", "a", "b", "n"])
-            if counts:
-                yield pd.DataFrame({"kind": 2, "id": 0, "a": list(counts), "b": None, "n": list(counts.values())})
+            if counts := _counts(["\n".join(gone).lower()]):
+                yield pd.DataFrame({"kind": 2, "id": 0, "a": list(counts), "b": None, "n": [-n for n in counts.values()]})
 
     return run
 
@@ -306,12 +323,8 @@ def _learn(texts: DataFrame, least: int, times: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            counts, parts, rows = Counter(), ([], []), (([], []), ([], []))
+            counts, parts, rows = _counts([t.lower() for t in b.text]), ([], []), (([], []), ([], []))
             for t, pick, fit in zip(b.text, b.pick, b.fit):
-                low = t.lower()
-                counts.update(_TOKEN.findall(low))
-                if "-" in low:
-                    counts.update(_COMPOUND.findall(low))
                 if fit >= least:
                     rnd = random.Random(int(pick))
                     for _ in range(times):
@@ -349,7 +362,7 @@ def _vouched(vocab: DataFrame, texts: int) -> set[str]:
 
 
 def _fit(docs: DataFrame):
-    """The models, of all texts, and the order of the q-grams, both broadcast."""
+    """The models, of all texts, and the order of the q-grams, both broadcast, and the counts of the words of all texts."""
     sc = docs.sparkSession.sparkContext
     clean = ~F.col("text").contains("\f") & (F.length("text") > 400)
     long = F.col("text").rlike("(?:^|\n)[^\n]{111}")  # not wrapped: no scans among them, with furniture of their own
@@ -363,13 +376,14 @@ def _fit(docs: DataFrame):
     order = _order(vocab)
     held = sc.broadcast(order)
     lines = Lines.of(*(fit_rows(learned.filter(F.col("kind") == k), 90, 4) for k in (0, 1)))
-    return sc.broadcast(Fitted(lines, _vouched(vocab, sum(n.values())), _ranking(counts, held), _joining(counts))), held
+    return sc.broadcast(Fitted(lines, _vouched(vocab, sum(n.values())), _ranking(counts, held), _joining(counts))), held, counts
 
 
 def _found(docs: DataFrame, kept: bool = False):
-    held, order = _fit(docs)
+    held, order, words = _fit(docs)
     scan = stored(docs.mapInPandas(_scan(held, kept), _SCHEMA), "pages")
-    counts = stored(scan.filter("kind = 2").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")), "counts")
+    furniture = scan.filter("kind = 2").select(F.col("a").alias("word"), "n")  # counted below zero
+    counts = stored(words.unionByName(furniture).groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "counts")
     fixes = stored(corrections(scan, counts, held, order), "corrections")
     return held, scan, counts, fixes
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from foliant.llm.boost import Boosted
-from foliant.llm.glyphs import line_key, misread
+from foliant.llm.glyphs import line_key, line_keys, misread
 from foliant.llm.names import lcs_ratio
 
 HYPHENS = "-­‐¬"
@@ -28,8 +29,9 @@ _NUMERIC = re.compile(r"\d|^\s*[ivxlc]{1,6}(?:\s|$)|\s[ivxlc]{1,6}\s*$", re.I)
 _FIGURE = re.compile(r"\d+")
 _INTEGER = re.compile(r"(?<![^\W_])\d{1,5}(?![^\W_])")
 _BULLET = re.compile(r"^\s*(?:[-*•–]\s|\d{1,3}[.)]\s)")
-_ENDS = re.compile(r"[.!?:;…][)\]\"”»’']*\s*$")
+_STOPS, _CLOSERS = tuple(".!?:;…"), ")]\"”»’'"
 FORMS = "abcdef"
+_USUAL, _UNARY = "ehtioasgzdkmpruvwy", [((1 << n) - 1).to_bytes(4) for n in range(33)]
 #: Texts with long lines, of which only these serve for made-up pages if there are so many.
 PLAIN = 50
 
@@ -41,6 +43,7 @@ class Page:
     lines: list[str] = field(default_factory=list)
     breaks: list[bool] = field(default_factory=list)  # a form feed stands before the line
     kinds: list[str] = field(default_factory=list)
+    strips: list[str] = field(default_factory=list)  # the lines without blanks around them
 
     def places(self) -> list[tuple[int, int, bool, bool]]:
         """For each line: how many lines that are not blank stand before and after it on its page (between form feeds), and whether a form feed bounds the page there."""
@@ -58,10 +61,12 @@ def split_lines(text: str) -> Page:
     """The lines of a text, all taken for text or blank."""
     page = Page()
     for n, part in enumerate(text.replace("\r\n", "\n").split("\f")):
-        for k, line in enumerate(part.split("\n")):
-            page.lines.append(line)
-            page.breaks.append(n > 0 and k == 0)
-            page.kinds.append("text" if line.strip() else "blank")
+        lines = part.split("\n")
+        strips = [line.strip() for line in lines]
+        page.lines += lines
+        page.strips += strips
+        page.breaks += [n > 0] + [False] * (len(lines) - 1)
+        page.kinds += ["text" if s else "blank" for s in strips]
     return page
 
 
@@ -144,13 +149,15 @@ def number_pairs(page: Page) -> list[tuple[int, list[float], str]]:
     """(line, features, form) of each line that may bear a page number: of it and the number before and after it that grow by one."""
     n = len(page.lines)
     found: dict[str, list[tuple[int, int, bool]]] = {}
-    for i, line in enumerate(page.lines):
+    # A number alone has at most 21 characters that are not blank, in five groups: a longer line has three blanks in a row or other ones.
+    for i in [i for i, s in enumerate(page.strips) if s and (len(s) <= 40 or "   " in s or not s.isprintable())]:
+        line, s = page.lines[i], page.strips[i]
         if page.kinds[i] != "text" or not _NUMERIC.search(line):
             continue
         if m := _ALONE.match(line):
             v, form = _number(m)
             found.setdefault(form, []).append((i, v, False))
-        elif "   " in line.strip() and (m := _HEAD_THEN.match(line) or _THEN_HEAD.match(line)) and any(c.isalpha() for c in m["text"]):
+        elif "   " in s and (m := _HEAD_THEN.match(line) or _THEN_HEAD.match(line)) and any(c.isalpha() for c in m["text"]):
             v, form = _number(m)
             found.setdefault(form, []).append((i, v, True))
     if not found:
@@ -172,7 +179,7 @@ def number_pairs(page: Page) -> list[tuple[int, list[float], str]]:
             rule = inside and len(run) >= 2 and (far or form not in "ef") or len(run) < 2 and _edge(place[i]) < 2 and form in "abcd"
             x = [
                 float(inside), float(min(len(run), 8)), len(run) / len(at), float(min(gaps, default=0)), spread, float(_edge(place[i])), edges,
-                float(min(i, n - 1 - i, 9)), float((i - 1 in numeric) + (i + 1 in numeric)), float(FORMS.index(form)), float(head), float(_interrupts(page, i)),
+                float(min(i, n - 1 - i, 9)), float((i - 1 in numeric) + (i + 1 in numeric)), float(FORMS.index(form)), float(head), float(_interrupts(*_around(page, i))),
                 float(min(p, 5)), float(min(q, 5)), float(before + after), float(rule), float(v < 3), float(v > 1500),
             ]
             out.append((i, x, form if inside else f"{form}{i}"))
@@ -228,63 +235,88 @@ def repeats(page: Page) -> list[tuple[int, list[float], str]]:
     n = len(page.lines)
     groups: dict[str, list[int]] = {}
     lens = []
-    for i, line in enumerate(page.lines):
-        k = page.kinds[i]
+    for i, (line, s, k, key) in enumerate(zip(page.lines, page.strips, page.kinds, line_keys(page.strips))):
         if k == "blank":
             continue
         lens.append(len(line.rstrip()))
-        s = line.strip()
         if k == "pagenum":
             s = _head(s)
             if s is None:
                 continue
-        elif k != "text" or _BULLET.match(s):
+            key = line_key(s)
+        elif k != "text" or not s[0].isalpha() and _BULLET.match(s):
             continue
-        key = line_key(s)
         if len(key) >= 2:
             groups.setdefault(key, []).append(i)
     if len(lens) < 3:
         return []
-    ends: dict[str, dict[int, list[str]]] = {}
-    for k in groups:  # lines that look alike at either end and are of like length are compared
-        for e in ("<" + k[:4], ">" + k[-4:]):
-            ends.setdefault(e, {}).setdefault(len(k), []).append(k)
-    alone = {e for e, by in ends.items() if len(by) == 1 and len(next(iter(by.values()))) == 1}
+    heads, tails = _shared(groups, slice(4)), _shared(groups, slice(-4, None))  # lines that look alike at either end and are of like length are compared
     lens.sort()
     width = max(lens[int(0.9 * (len(lens) - 1))], 20)
-    out, place, grams = [], None, {}
+    out, place, seen, grams, ratios = [], None, {}, {}, {}
     for k, own in groups.items():
-        if len(own) < 2 and "<" + k[:4] in alone and ">" + k[-4:] in alone:  # nothing is like it
+        alike = [by for by in (heads.get(k[:4]), tails.get(k[-4:])) if by]
+        if len(own) < 2 and not alike:  # nothing is like it
             continue
         most = max(2, len(k) // 8)
-        near = {x for e in ("<" + k[:4], ">" + k[-4:]) for n2, xs in ends[e].items() if abs(n2 - len(k)) <= most for x in xs}
+        near = {x for by in alike for n2, xs in by.items() if abs(n2 - len(k)) <= most for x in xs}
+        near.discard(k)
         like, ratio = [k], 1.0 if len(own) > 1 else 0.0
-        if len(near) > 1:
-            gk = _trigrams(k, grams)
+        if near:
+            sk, rk = _letters(k, seen)
             for x in near:
-                if x != k and 2 * len(gk & _trigrams(x, grams)) + 4 >= len(gk) and (r := lcs_ratio(k, x)) >= 0.85:
-                    like.append(x)
-                    ratio = max(ratio, r)
+                sx, rx = _letters(x, seen)
+                if 2 * ((sk & sx).bit_count() + min(rk, rx)) / (len(k) + len(x)) < 0.85:  # more letters than those in common are in no common sequence
+                    continue
+                gk = _trigrams(k, grams)
+                if 2 * len(gk & (_trigrams(x, grams))) + 4 >= len(gk):
+                    pair = (k, x) if k < x else (x, k)
+                    if (r := ratios.get(pair)) is None:
+                        r = ratios[pair] = lcs_ratio(*pair)
+                    if r >= 0.85:
+                        like.append(x)
+                        ratio = max(ratio, r)
         copies = sorted(i for x in like for i in groups[x])
         if len(copies) < 2:
             continue
-        place = place or page.places()
-        feeds = sum(page.breaks)
+        if place is None:
+            place, feeds = page.places(), sum(page.breaks)
         gaps = [b - a for a, b in zip(copies, copies[1:])]
         mean = sum(gaps) / len(gaps)
         spread = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean if len(gaps) > 1 else -1.0
         edge = sum(_edge(place[i]) < 2 for i in copies) / len(copies)
         numbered = sum(any(page.kinds[j] == "pagenum" for j in range(max(0, i - 2), min(n, i + 3))) for i in copies) / len(copies)
-        split = sum(_interrupts(page, i) for i in copies) / len(copies)
+        split = sum(_interrupts(*_around(page, i)) for i in copies) / len(copies)
         figures = [_FIGURE.findall(page.lines[i]) for i in copies]
         same = sum(a == b for a, b in zip(figures, figures[1:])) / len(gaps)  # tables repeat words with other figures
         counts = sum(len(a) == len(b) > 0 and sum(x != y for x, y in zip(a, b)) == 1 and any(int(y) - int(x) in (1, 2) for x, y in zip(a, b) if x.isdecimal() and y.isdecimal()) for a, b in zip(figures, figures[1:])) / len(gaps)
         of_group = [same, counts, float(min(len(copies) - 1, 8)), float(min(gaps)), mean / n, spread, edge, split, numbered, len(copies) / (feeds + 1) if feeds else -1.0]
         for i in own:
-            out.append((i, _features(page, i, width, ratio, place[i]) + of_group, min(like)))
+            out.append((i, _features(page, i, width, ratio, place[i], *_around(page, i)) + of_group, min(like)))
     return out
 
 
+def _shared(keys: dict[str, list[int]], end: slice) -> dict[str, dict[int, list[str]]]:
+    """The keys with one end in common, by their lengths; ends of a single key are left out."""
+    ends = [k[end] for k in keys]
+    if len(found := Counter(ends)) == len(ends):
+        return {}
+    out: dict[str, dict[int, list[str]]] = {}
+    for k, e in zip(keys, ends):
+        if found[e] > 1:
+            out.setdefault(e, {}).setdefault(len(k), []).append(k)
+    return out
+
+
+def _letters(k: str, known: dict[str, tuple[int, int]]) -> tuple[int, int]:
+    """How often each of the usual letters stands in the key, as so many bits of a number, and how many other characters (or letters beyond 32) it has."""
+    if k not in known:
+        n = [k.count(c) for c in _USUAL]
+        bits = int.from_bytes(b"".join([_UNARY[min(x, 32)] for x in n]))
+        known[k] = bits, len(k) - bits.bit_count()
+    return known[k]
+
+
 def _trigrams(k: str, known: dict[str, set[str]]) -> set[str]:
     if k not in known:
         known[k] = {k[i : i + 3] for i in range(max(1, len(k) - 2))}
@@ -293,28 +325,33 @@ def _trigrams(k: str, known: dict[str, set[str]]) -> set[str]:
 
 def _around(page: Page, i: int) -> tuple[str, str]:
     """The lines of text before and after a line, on whichever page."""
-    n = len(page.lines)
-    a = next((j for j in range(i - 1, -1, -1) if page.kinds[j] == "text"), -1)
-    b = next((j for j in range(i + 1, n) if page.kinds[j] == "text"), -1)
-    return page.lines[a].strip() if a >= 0 else "", page.lines[b].strip() if b >= 0 else ""
+    kinds, n, a, b = page.kinds, len(page.kinds), i - 1, i + 1
+    while a >= 0 and kinds[a] != "text":
+        a -= 1
+    while b < n and kinds[b] != "text":
+        b += 1
+    return page.strips[a] if a >= 0 else "", page.strips[b] if b < n else ""
+
 
+def _ends(s: str) -> bool:
+    """Does a line without blanks around it end a sentence?"""
+    return s.rstrip(_CLOSERS)[-1:] in _STOPS
 
-def _interrupts(page: Page, i: int) -> bool:
-    """Does the line stand in the middle of a sentence?"""
-    before, after = _around(page, i)
-    return bool(before) and not _ENDS.search(before) and bool(after) and (after[0].islower() or before[-1] in HYPHENS)
 
+def _interrupts(before: str, after: str) -> bool:
+    """Does a line between these two stand in the middle of a sentence?"""
+    return bool(before) and bool(after) and (after[0].islower() or before[-1] in HYPHENS) and not _ends(before)
 
-def _features(page: Page, i: int, width: int, ratio: float, place: tuple[int, int, bool, bool]) -> list[float]:
+
+def _features(page: Page, i: int, width: int, ratio: float, place: tuple[int, int, bool, bool], before: str, after: str) -> list[float]:
     n = len(page.lines)
-    s = page.lines[i].strip()
-    before, _ = _around(page, i)
-    broken = bool(before) and not _ENDS.search(before)
-    letters = [c for c in s if c.isalpha()]
+    s = page.strips[i]
+    broken = bool(before) and not _ends(before)
+    letters = list(filter(str.isalpha, s))
     edge = _edge(place)
     return [
-        ratio, min(len(s) / width, 1.2), float(page.kinds[i] == "pagenum"), float(_interrupts(page, i)), float(broken), float(edge < 2), float(edge),
-        sum(c.isupper() for c in letters) / max(1, len(letters)), float(bool(_ENDS.search(s))), float(s[-1:] in ".,;!?"), float((i == 0 or not page.lines[i - 1].strip()) + (i + 1 == n or not page.lines[i + 1].strip())),
+        ratio, min(len(s) / width, 1.2), float(page.kinds[i] == "pagenum"), float(_interrupts(before, after)), float(broken), float(edge < 2), float(edge),
+        sum(map(str.isupper, letters)) / max(1, len(letters)), float(_ends(s)), float(s[-1:] in ".,;!?"), float((i == 0 or not page.strips[i - 1]) + (i + 1 == n or not page.strips[i + 1])),
         float(min(place[0], 4)), float(min(place[1], 4)), float(s[:1].islower()), float(min(len(s.split()), 15)), float(any(c.isdigit() for c in s)),
     ]
 
@@ -343,20 +380,24 @@ def _wrapped(text: str, width: int, hyphens: str, rnd: random.Random) -> list[st
     """The lines of a text that is wrapped at a width; with a mark, words are broken."""
     lines: list[str] = []
     for paragraph in text.split("\n"):
-        now: list[str] = []
-        size = 0
-        for w in paragraph.split():
-            room = width - size - 2
-            if size + len(w) + 1 <= width:
-                size += len(w) + bool(now)
-                now.append(w)
-            elif hyphens and len(w) > 5 and 2 <= room <= len(w) - 2 and w.isalpha() and rnd.random() < 0.5:
-                lines.append(f"{' '.join(now)} {w[:room]}{hyphens}")
-                now, size = [w[room:]], len(w) - room
+        s = " ".join(paragraph.split())
+        if s.find(" ", 0, width) < 0 and len(s) >= width:  # a first word without room leaves an empty line before it
+            s = f" {s}"
+        at = 0
+        while len(s) - at > width or s[at : at + 1] == " ":
+            end = at if s[at] == " " else s.rfind(" ", at, at + width + 1)
+            if end < 0 and (end := s.find(" ", at)) < 0:
+                break
+            w, room = "", width - (end - at) - 2
+            if hyphens and room >= 2:
+                w = s[end + 1 : (s.find(" ", end + 1) + 1 or len(s) + 1) - 1]
+            if len(w) > 5 and room <= len(w) - 2 and w.isalpha() and rnd.random() < 0.5:
+                lines.append(s[at : end + 1 + room] + hyphens)
+                at = end + 1 + room
             else:
-                lines.append(" ".join(now))
-                now, size = [w], len(w)
-        lines.append(" ".join(now))
+                lines.append(s[at:end])
+                at = end + 1
+        lines.append(s[at:])
     return lines
 
 

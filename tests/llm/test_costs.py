@@ -5,8 +5,10 @@ import re
 import sys
 
 import numpy as np
+import pandas as pd
 
-from foliant.llm import common, langid
+from foliant.llm import common, glyphs, langid, ocr, pages
+from foliant.llm.names import lcs_ratio
 
 ODD = [
     "", " ", "a_b A B Zürich ² ½ Ⅷ İstanbul ΟΔΟΣ x1 2019/7 Az. 2019/77 end", "Nr. 12.50\nSum 3,5\r\nTotal\n12\nBest. 1234/5 und mehr\nA. 7", "“quoted”—dash…\x1c\x1f\u2028tail\x85end no\u00a0break",
@@ -82,3 +84,75 @@ def test_calls_a_word_of_languages():
     paragraphs = re.sub(r"((?:\S+ ){40})", "\\1\n\n", text)
     assert calls(lambda: langid.counted([paragraphs], rows, score)) < 2 * n  # 5 a word when each was lowered and looked up by itself
     assert calls(lambda: model.ids(text, model.rows())) < n
+
+
+def test_tokens_and_compounds():
+    rnd = random.Random(8)
+    for s in ODD + ["".join(rnd.choice(["a", "é", "1", "@", "|", "!", "$", "-", " ", "_", "\n", "--", "ab", "“"]) for _ in range(30)) for _ in range(3000)]:
+        assert ocr.tokens(s) == ocr._TOKEN.findall(s)
+        assert ocr.compounds_of(s) == ocr._COMPOUND.findall(s)
+
+
+def test_line_keys():
+    one = str.maketrans({c: None for c in " \t\"'(),-./:;<>[]_&*#%+=?"} | {c: k[0] for k in glyphs.CLASSES for c in k})
+
+    def plain(line):
+        s = re.sub(r"(?<![^\W_])\d+(?![^\W_])", "", line.lower()).translate(one)
+        return s if s.isalpha() else re.sub(r"[\W\d_]+", "", s)
+
+    rnd = random.Random(9)
+    lines = [l.replace("\n", " ") for l in ODD] + ["".join(rnd.choice(["1", "22", "x", "é", "S$", " ", "_", "Ⅷ", "²", "-", "“", "Σ", "."]) for _ in range(12)) for _ in range(3000)]
+    assert glyphs.line_keys(lines) == [plain(l) for l in lines] == [glyphs.line_key(l) for l in lines]
+
+
+def test_wrapped_as_word_by_word():
+    def plain(text, width, hyphens, rnd):
+        lines = []
+        for paragraph in text.split("\n"):
+            now, size = [], 0
+            for w in paragraph.split():
+                room = width - size - 2
+                if size + len(w) + 1 <= width:
+                    size += len(w) + bool(now)
+                    now.append(w)
+                elif hyphens and len(w) > 5 and 2 <= room <= len(w) - 2 and w.isalpha() and rnd.random() < 0.5:
+                    lines.append(f"{' '.join(now)} {w[:room]}{hyphens}")
+                    now, size = [w[room:]], len(w) - room
+                else:
+                    lines.append(" ".join(now))
+                    now, size = [w], len(w)
+            lines.append(" ".join(now))
+        return lines
+
+    rnd = random.Random(10)
+    for k in range(3000):
+        text = "".join(rnd.choice(["a", "be", "straße", "x" * rnd.randint(1, 30), "1.2"]) + rnd.choice([" ", " ", "  ", "\n", "\t"]) for _ in range(rnd.randint(0, 40)))
+        width, hyphens = rnd.randint(4, 30), rnd.choice(["", "-"])
+        assert pages._wrapped(text, width, hyphens, random.Random(k)) == plain(text, width, hyphens, random.Random(k))
+
+
+def test_letters_bound_common_sequences():
+    rnd = random.Random(12)
+    for _ in range(3000):
+        a = "".join(rnd.choice("eehtiéxq漢") for _ in range(rnd.randint(2, 90)))
+        b = "".join(c for c in a if rnd.random() < 0.9) + rnd.choice(["", "e" * 40])
+        (x, m), (y, n) = pages._letters(a, {}), pages._letters(b, {})
+        assert 2 * ((x & y).bit_count() + min(m, n)) / (len(a) + len(b)) >= lcs_ratio(a, b)
+
+
+def test_furniture_is_taken_off_the_counts():
+    body = ["the well-known garden was\nseen by", "another place (of which\nwe heard", "no more than twenty\nhouses stood", "nobody came late to\nthat market"]
+    text = "".join(f"Annual Report\n{b}\n\f" for b in body)
+    held = type("Held", (), {"value": ocr.Fitted(pages.Lines([]), set(), None, None)})
+    out = pd.concat(ocr._scan(held)(iter([pd.DataFrame({"id": [1], "text": [text]})])))
+    counts = ocr._counts([text.lower()])
+    counts.update(dict(zip(out.a[out.kind == 2], out.n[out.kind == 2])))
+    assert "header" in set(out.a[out.kind == 0])
+    assert +counts == ocr._counts(body)
+
+
+def test_calls_a_line_of_pages():
+    text = prose(6000)
+    n, page = len(text.split()), pages.split_lines("\n".join(pages._wrapped(text, 70, "-", random.Random(1))))
+    assert calls(lambda: pages._wrapped(text, 70, "-", random.Random(1))) < n  # 3 when each word was measured by itself
+    assert calls(lambda: pages.number_pairs(page)) < 4 * len(page.lines)
