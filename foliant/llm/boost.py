@@ -30,7 +30,7 @@ class Boosted:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         x, y = np.asarray(x, np.float32), np.asarray(y, float)
         cuts = [self.cuts(*np.unique(x[:, j], return_counts=True)) for j in range(x.shape[1])]
-        return self.grow(cuts, AtHand(_codes(x, cuts), y, np.zeros(len(y), int)), len(y), y.sum())
+        return self.grow(cuts, AtHand(_codes(x, cuts).T, y, np.zeros(len(y), int)), len(y), y.sum())
 
     def cuts(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The bounds of the bins, from the values of a feature and how often each stands."""
@@ -101,18 +101,19 @@ def _codes(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1).astype(np.uint8)
 
 
-def _route(tree: list, codes: np.ndarray) -> np.ndarray:
-    """The node of the tree that each row comes to."""
-    out = np.zeros(len(codes), int)
-    todo = [(0, np.arange(len(codes)))]
+def _route(tree: list, columns: np.ndarray) -> np.ndarray:
+    """The node of the tree that each row comes to. columns: the codes of each feature."""
+    out = np.zeros(columns.shape[1], np.int64)
+    todo: list[tuple[int, np.ndarray | None]] = [(0, None)]
     while todo:
         node, at = todo.pop()
         j, k, a, b, _ = tree[node]
         if j < 0:
-            out[at] = node
-        else:
-            left = codes[at, j] <= k
-            todo += [(a, at[left]), (b, at[~left])]
+            if at is not None:
+                out[at] = node
+            continue
+        left = (columns[j] if at is None else columns[j][at]) <= k
+        todo += [(n, np.flatnonzero(x) if at is None else at[x]) for n, x in ((a, left), (b, ~left))]
     return out
 
 
@@ -120,37 +121,40 @@ def _leaves(tree: list) -> np.ndarray:
     return np.array([node[4] for node in tree])
 
 
-def _sums(codes: np.ndarray, y: np.ndarray, f: np.ndarray, tree: list, nodes: list[int], width: int) -> np.ndarray:
+def _sums(columns: np.ndarray, y: np.ndarray, f: np.ndarray, tree: list, nodes: list[int], width: int) -> np.ndarray:
     """Of the rows that come to each of the nodes: number, gradients and curvatures in each bin of each feature."""
     slot = np.full(len(tree), -1)
     slot[nodes] = np.arange(len(nodes))
-    s = slot[_route(tree, codes)]
+    s = slot[_route(tree, columns)]
     at = np.flatnonzero(s >= 0)
     p = 1 / (1 + np.exp(-f[at]))
-    features = codes.shape[1]
-    cells = ((s[at, None] * features + np.arange(features)) * width + codes[at]).ravel()
-    size = len(nodes) * features * width
-    return np.stack([np.bincount(cells, w, size) for w in (None, np.repeat(y[at] - p, features), np.repeat(p * (1 - p), features))]).reshape(3, len(nodes), features, width)
+    first, weights = s[at] * width, (None, y[at] - p, p * (1 - p))
+    out = np.empty((3, len(nodes), len(columns), width))
+    for j, column in enumerate(columns):  # a feature's bins are few: they stay in the cache
+        cells = first + column[at]
+        for k, w in enumerate(weights):
+            out[k, :, j] = np.bincount(cells, w, len(nodes) * width).reshape(-1, width)
+    return out
 
 
 class AtHand:
-    """Rows in the driver."""
+    """Rows in the driver, a column of codes for each feature."""
 
-    def __init__(self, codes: np.ndarray, y: np.ndarray, part: np.ndarray):
-        self.codes, self.y, self.part = codes, y, part
+    def __init__(self, columns: np.ndarray, y: np.ndarray, part: np.ndarray):
+        self.columns, self.y, self.part = columns, y, part
 
     def begin(self, bias: float, rate: float, chunks: int) -> None:
         order = np.argsort(self.part % chunks, kind="stable")
-        self.codes, self.y, self.rate = self.codes[order], self.y[order], rate
+        self.columns, self.y, self.rate = np.stack([c[order] for c in self.columns]), self.y[order], rate
         self.ends = np.bincount(self.part % chunks, minlength=chunks).cumsum()
         self.f = np.full(len(self.y), bias)
 
     def sums(self, coded: list, tree: list, nodes: list[int], chunk: int, features: int, width: int) -> np.ndarray:
         at = slice(self.ends[chunk - 1] if chunk else 0, self.ends[chunk])
-        return _sums(self.codes[at], self.y[at], self.f[at], tree, nodes, width)
+        return _sums(self.columns[:, at], self.y[at], self.f[at], tree, nodes, width)
 
     def add(self, tree: list) -> None:
-        self.f += self.rate * _leaves(tree)[_route(tree, self.codes)]
+        self.f += self.rate * _leaves(tree)[_route(tree, self.columns)]
 
 
 class Apart:
@@ -179,7 +183,7 @@ class Apart:
             for b in batches:
                 if not len(b):
                     continue
-                y, x = np.frombuffer(b"".join(b.y), np.uint8), np.frombuffer(b"".join(b.x), np.uint8).reshape(-1, features)
+                y, x = np.frombuffer(b"".join(b.y), np.uint8), np.ascontiguousarray(np.frombuffer(b"".join(b.x), np.uint8).reshape(-1, features).T)
                 f = np.full(len(y), bias)
                 for t in forest:
                     f += rate * _leaves(t)[_route(t, x)]
@@ -233,4 +237,4 @@ def fit_rows(table: DataFrame, trees: int, depth: int, least: tuple[int, int] =
     # in the order of their content, so that sums do not depend on how the table is divided
     x = x.reshape(len(y), -1)
     order = np.lexsort((*x.T, y, part))
-    return m.grow(cuts, AtHand(x[order], y[order].astype(float), part[order].astype(int)), n, classes[1.0])
+    return m.grow(cuts, AtHand(x[order].T, y[order].astype(float), part[order].astype(int)), n, classes[1.0])

@@ -10,11 +10,14 @@ PAIRS = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li",
 CLASSES = ["hbn", "ec", "tf", "o0", "il1!|", "a@", "s5$", "g9q", "z2"]
 #: Each character as the strokes it is read from: what looks alike, one by one or in pairs, has the same strokes.
 _STROKES = str.maketrans({c: k[0] for k in CLASSES for c in k} | dict.fromkeys("hbnu", "ii") | {"r": "i", "m": "iii", "d": "ei", "w": "vv"})
-_NONE = b" \t\"'(),-./:;<>[]_&*#%+=?"
+#: All of ASCII but line ends, letters and members of a class.
+_NONE = bytes(c for c in range(128) if c != 10 and not chr(c).isalpha() and chr(c) not in "".join(CLASSES))
+_ASCII = bytes(range(128))
 _ONE = bytes.maketrans("".join(CLASSES).encode(), "".join(k[0] * len(k) for k in CLASSES).encode())
 _NUMBERS = re.compile(r"\d(?<![^\W_]\d)\d*(?![^\W_])")
-_DIGIT = re.compile(r"\d")
-_REST = re.compile(r"[\W\d_]+")
+#: A digit as 0, a letter as a, and a number of its own in these.
+_KINDS = bytes(48 if 48 <= c < 58 else 97 if c >= 128 or chr(c).isalpha() else 10 for c in range(256))
+_ALONE = re.compile(rb"0(?<![a0]0)0*+(?!a)")
 
 
 def skeleton(w: str) -> str:
@@ -30,16 +33,42 @@ def line_key(line: str) -> str:
 def line_keys(lines: list[str]) -> list[str]:
     """The keys of lines (without line ends in them), found at once: only characters of ASCII are replaced, so UTF-8 bytes can be."""
     s = "\n".join(lines).lower()
-    if _DIGIT.search(s):
-        s = _NUMBERS.sub("", s)
-    s = s.encode("utf-8", "surrogatepass").translate(_ONE, _NONE).decode("utf-8", "surrogatepass")
-    return [x if x.isalpha() else _REST.sub("", x) for x in s.split("\n")]
+    b, beyond = s.encode("utf-8", "surrogatepass"), set()
+    if not b.isascii():
+        beyond = set(b.translate(None, _ASCII).decode("utf-8", "surrogatepass"))
+        if digits := set(filter(str.isdecimal, beyond)):
+            s = _NUMBERS.sub("", s)
+        for c in beyond:
+            if not c.isalnum():
+                s = s.replace(c, " ")
+        for c in digits:
+            s = s.replace(c, "")
+        b = s.encode("utf-8", "surrogatepass")
+    if not any(map(str.isdecimal, beyond)) and b"0" in (kinds := b.translate(_KINDS)):
+        parts, at = [], 0
+        for m in _ALONE.finditer(kinds):
+            parts.append(b[at : m.start()])
+            at = m.end()
+        b = b"".join([*parts, b[at:]])
+    return b.translate(_ONE, _NONE).decode("utf-8", "surrogatepass").split("\n")
+
+
+def apart(a: str, b: str) -> tuple[str, str]:
+    """Both without what they begin and end with in common, which is neither in their distance nor out of their common sequence."""
+    k, n = 0, min(len(a), len(b))
+    while k < n and a[k] == b[k]:
+        k += 1
+    m = 0
+    while m < n - k and a[-1 - m] == b[-1 - m]:
+        m += 1
+    return a[k : len(a) - m], b[k : len(b) - m]
 
 
 def distance(a: str, b: str, most: int = 4) -> int:
     """Levenshtein distance, at most `most`."""
     if abs(len(a) - len(b)) >= most:
         return most
+    a, b = apart(a, b)
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         before, row[0] = row[0], i
@@ -50,12 +79,13 @@ def distance(a: str, b: str, most: int = 4) -> int:
 
 def misread(w: str, rnd: random.Random) -> str | None:
     """w as a scan may misread it; None if no character of it lends itself."""
-    ways = [(w[:i] + y + w[i + len(x) :]) for a, b in PAIRS for x, y in ((a, b), (b, a)) for i in range(len(w)) if w.startswith(x, i)]
+    ways = [(i, len(x), y) for a, b in PAIRS for x, y in ((a, b), (b, a)) if x in w for i in range(len(w)) if w.startswith(x, i)]
     for k in CLASSES:
-        for i, c in enumerate(w):
-            if c in k:
-                ways += [w[:i] + x + w[i + 1 :] for x in k if x != c]
-    return rnd.choice(ways) if ways else None
+        ways += [(i, 1, x) for i, c in enumerate(w) if c in k for x in k if x != c]
+    if not ways:
+        return None
+    i, n, y = rnd.choice(ways)
+    return w[:i] + y + w[i + n :]
 
 
 #: Words of so many letters (of the skeleton) and more are looked up by three letters in a row, shorter ones by two.

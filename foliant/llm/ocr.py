@@ -34,7 +34,7 @@ from foliant.llm.boost import PACKED, Boosted, fit_rows, packed
 from foliant.llm.common import in_batches, words
 from foliant.llm.glyphs import distance, gram_keys, misread, skeleton
 from foliant.llm.names import lcs_ratio
-from foliant.llm.pages import HYPHENS, PLAIN, Lines, Page, body, breaks, examples, split_lines
+from foliant.llm.pages import HYPHENS, PLAIN, Lines, Page, body, breaks, examples_all, split_lines
 from foliant.session import stored
 
 #: Made-up pages: one of every text, up to three while there are fewer than so many.
@@ -51,7 +51,10 @@ GRAMS = 100_000
 _TOKEN = re.compile(r"(?:[@|!](?=[^\W\d_]))?[^\W_]++(?:[@|!$][^\W_]++)*+")
 _JOINED = re.compile(r"[@|!$][^\W_]")
 _COMPOUND = re.compile(r"\b[^\W\d_]++-[^\W\d_]+")
+_HYPHENED = re.compile(r"-[^\W\d_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Made-up pages of so many characters are compared at once.
+AT_ONCE = 1_000_000
 _ODD = re.compile(r"[\d@|!$]")
 
 
@@ -66,17 +69,25 @@ def features(w: str, c: str, times: float) -> list[float]:
 
 def tokens(low: str) -> list[str]:
     """What `_TOKEN` finds in a text; where no mark stands before a letter or digit, these are its words."""
-    return _TOKEN.findall(low) if _JOINED.search(low) else words(low)
+    return _TOKEN.findall(low) if any(c in low for c in "!|@$") and _JOINED.search(low) else words(low)
 
 
 def compounds_of(low: str) -> list[str]:
     """What `_COMPOUND` finds in a text, looked for where hyphens are."""
-    return _COMPOUND.findall(" ".join([x for x in low.split() if "-" in x])) if "-" in low else []
+    out, end = [], 0
+    for m in _HYPHENED.finditer(low) if "-" in low else ():
+        at = i = m.start()
+        while i > end and (c := low[i - 1]).isalnum() and not c.isdecimal():
+            i -= 1
+        if i < at and not (i and ((c := low[i - 1]).isalnum() or c == "_")):
+            end = m.end()
+            out.append(low[i:end])
+    return out
 
 
 def doubtful(w: str) -> bool:
     """Is the token a word that may be misread: letters, perhaps with odd characters between, and no code?"""
-    return len(w) >= 3 and any(c.isalpha() for c in w) and sum(c.isdigit() for c in w) <= max(1, len(w) // 4)
+    return len(w) >= 3 and (w.isalpha() or any(map(str.isalpha, w)) and sum(map(str.isdigit, w)) <= max(1, len(w) // 4))
 
 
 class Fitted:
@@ -318,19 +329,30 @@ def joins(scan: DataFrame, counts: DataFrame, fixes: DataFrame, held) -> DataFra
 _LEARNED = f"kind int, a string, n long, {PACKED}"
 
 
+def _chunks(texts: list[tuple[str, int]]) -> Iterator[list[tuple[str, int]]]:
+    """The texts in parts of about AT_ONCE characters."""
+    out, size = [], 0
+    for x in texts:
+        out.append(x)
+        size += len(x[0])
+        if size >= AT_ONCE:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def _learn(texts: DataFrame, least: int, times: int) -> DataFrame:
     """One pass over all texts: the counts of their words (kind 2), and packed rows of headers (0) and page numbers (1) of `times` pages made up from each text with `fit` of `least` or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             counts, parts, rows = _counts([t.lower() for t in b.text]), ([], []), (([], []), ([], []))
-            for t, pick, fit in zip(b.text, b.pick, b.fit):
-                if fit >= least:
-                    rnd = random.Random(int(pick))
-                    for _ in range(times):
-                        examples(t, rnd, *rows)
-                    for part, (_, ys) in zip(parts, rows):
-                        part += [int(pick)] * (len(ys) - len(part))
+            for own in _chunks([(t, int(pick)) for t, pick, fit in zip(b.text, b.pick, b.fit) if fit >= least]):
+                turns = [(t, rnd, pick) for t, pick in own for rnd in [random.Random(pick)] for _ in range(times)]
+                for (_, _, pick), added in zip(turns, examples_all([x[:2] for x in turns], *rows)):
+                    for part, n in zip(parts, added):
+                        part += [pick] * n
             if counts:
                 yield pd.DataFrame({"kind": 2, "a": list(counts), "n": list(counts.values()), "part": None, "y": None, "x": None})
             out = [(k, None, 0, *packed(part, ys, xs)) for k, (part, (xs, ys)) in enumerate(zip(parts, rows)) if ys]

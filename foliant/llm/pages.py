@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from foliant.llm.boost import Boosted
-from foliant.llm.glyphs import line_key, line_keys, misread
+from foliant.llm.glyphs import apart, line_key, line_keys, misread
 from foliant.llm.names import lcs_ratio
 
 HYPHENS = "-­‐¬"
@@ -26,12 +25,16 @@ _ALONE = re.compile(rf"^\s*{_NUMBER}\s*$", re.I)
 _HEAD_THEN = re.compile(rf"^\s*(?P<text>\S.*?\S)\s{{3,}}{_NUMBER}\s*$", re.I)
 _THEN_HEAD = re.compile(rf"^\s*{_NUMBER}\s{{3,}}(?P<text>\S.*\S)\s*$", re.I)
 _NUMERIC = re.compile(r"\d|^\s*[ivxlc]{1,6}(?:\s|$)|\s[ivxlc]{1,6}\s*$", re.I)
+#: What a roman number may begin and end with, in any case.
+_ROMAN = frozenset("ivxlcIVXLC\u0130\u0131")
 _FIGURE = re.compile(r"\d+")
 _INTEGER = re.compile(r"(?<![^\W_])\d{1,5}(?![^\W_])")
 _BULLET = re.compile(r"^\s*(?:[-*•–]\s|\d{1,3}[.)]\s)")
 _STOPS, _CLOSERS = tuple(".!?:;…"), ")]\"”»’'"
 FORMS = "abcdef"
 _USUAL, _UNARY = "ehtioasgzdkmpruvwy", [((1 << n) - 1).to_bytes(4) for n in range(33)]
+_NO_LETTER, _NO_CAPITAL = (bytes(c for c in range(128) if not own(chr(c))) for own in (str.isalpha, str.isupper))
+PAIRS_AT_ONCE = 100_000
 #: Texts with long lines, of which only these serve for made-up pages if there are so many.
 PLAIN = 50
 
@@ -116,10 +119,10 @@ class Lines:
         """The pages of many texts; all of their lines are scored at once."""
         pages = [split_lines(t) for t in texts]
         long = [p for p in pages if len(p.lines) >= 3]
-        for page, found in self._scored(long, number_pairs, lambda x: self.numbers.score(x) if self.numbers else x[:, 15]):
+        for page, found in self._scored(long, lambda own: map(number_pairs, own), lambda x: self.numbers.score(x) if self.numbers else x[:, 15]):
             for i in found:
                 page.kinds[i] = "pagenum"
-        for page, found in self._scored(long, repeats, lambda x: self.heads.score(x) if self.heads else (x[:, 22] + x[:, 23] > 0.5).astype(float)):
+        for page, found in self._scored(long, repeats_all, lambda x: self.heads.score(x) if self.heads else (x[:, 22] + x[:, 23] > 0.5).astype(float)):
             for i in found if len(found) > 1 else ():  # a running header stands twice at least
                 page.kinds[i] = "both" if page.kinds[i] == "pagenum" else "header"
             mark_counting(page)
@@ -127,7 +130,7 @@ class Lines:
 
     @staticmethod
     def _scored(pages: list[Page], candidates: Callable, score: Callable) -> Iterator[tuple[Page, list[int]]]:
-        found = [(p, f) for p in pages if (f := candidates(p))]
+        found = [(p, f) for p, f in zip(pages, candidates(pages)) if f]
         if not found:
             return
         p = score(np.array([x for _, f in found for _, x, _ in f]))
@@ -152,7 +155,7 @@ def number_pairs(page: Page) -> list[tuple[int, list[float], str]]:
     # A number alone has at most 21 characters that are not blank, in five groups: a longer line has three blanks in a row or other ones.
     for i in [i for i, s in enumerate(page.strips) if s and (len(s) <= 40 or "   " in s or not s.isprintable())]:
         line, s = page.lines[i], page.strips[i]
-        if page.kinds[i] != "text" or not _NUMERIC.search(line):
+        if page.kinds[i] != "text" or not (s[0] in _ROMAN or s[-1] in _ROMAN or _FIGURE.search(s)) or not _NUMERIC.search(line):
             continue
         if m := _ALONE.match(line):
             v, form = _number(m)
@@ -232,13 +235,28 @@ def pairs(page: Page) -> list[tuple[int, list[float]]]:
 
 def repeats(page: Page) -> list[tuple[int, list[float], str]]:
     """(line, features of it and the lines that it repeats, group) for each line that repeats another one."""
-    n = len(page.lines)
+    return repeats_all([page])[0]
+
+
+def repeats_all(pages: list[Page]) -> list[list[tuple[int, list[float], str]]]:
+    """`repeats` of many pages; all of their lines that look alike at an end are compared by their letters at once."""
+    groups = [_groups(p) for p in pages]
+    alike: list[dict[str, list[tuple[str, float]]]] = [{} for _ in pages]
+    waiting: list[tuple[int, str, str]] = []
+    for n, own in enumerate(groups):
+        for k, x in _ends_alike(own):
+            waiting.append((n, k, x))
+            if len(waiting) >= PAIRS_AT_ONCE:
+                _compare(waiting, alike)
+                waiting = []
+    _compare(waiting, alike)
+    return [_repeats(*x) for x in zip(pages, groups, alike)]
+
+
+def _groups(page: Page) -> dict[str, list[int]]:
+    """The lines that may be headers, by their keys."""
     groups: dict[str, list[int]] = {}
-    lens = []
-    for i, (line, s, k, key) in enumerate(zip(page.lines, page.strips, page.kinds, line_keys(page.strips))):
-        if k == "blank":
-            continue
-        lens.append(len(line.rstrip()))
+    for i, (s, k, key) in enumerate(zip(page.strips, page.kinds, line_keys(page.strips))):
         if k == "pagenum":
             s = _head(s)
             if s is None:
@@ -247,64 +265,107 @@ def repeats(page: Page) -> list[tuple[int, list[float], str]]:
         elif k != "text" or not s[0].isalpha() and _BULLET.match(s):
             continue
         if len(key) >= 2:
-            groups.setdefault(key, []).append(i)
+            if key in groups:
+                groups[key].append(i)
+            else:
+                groups[key] = [i]
+    return groups
+
+
+def _most(n: int) -> int:
+    """How many letters more or less a key may have than one of n letters that it is compared with."""
+    return max(2, n // 8)
+
+
+def _ends_alike(keys: dict[str, list[int]]) -> Iterator[tuple[str, str]]:
+    """The pairs of keys that look alike at either end and are of like length, each once."""
+    heads, tails = _shared(keys, slice(4)), _shared(keys, slice(-4, None))
+    for k in dict.fromkeys(x for ends in (heads, tails) for by in ends.values() for xs in by.values() for x in xs):
+        n = len(k)
+        most = _most(n)
+        near = {x for by in (heads.get(k[:4]), tails.get(k[-4:])) if by for m, xs in by.items() if abs(m - n) <= most for x in xs}
+        for x in near:
+            if k < x or k != x and abs(len(x) - n) > _most(len(x)):  # else x meets k
+                yield k, x
+
+
+def _compare(pairs: list[tuple[int, str, str]], alike: list[dict[str, list[tuple[str, float]]]]) -> None:
+    """Adds the keys, of the pages by their numbers, that are the same but for a few letters."""
+    grams: dict[str, set[str]] = {}
+    for (n, k, x), enough in zip(pairs, _in_common(pairs)):
+        if not enough:
+            continue
+        both, r = 2 * len(_trigrams(k, grams) & _trigrams(x, grams)) + 4, None
+        for a, b in ((k, x), (x, k)):
+            if abs(len(a) - len(b)) <= _most(len(a)) and both >= len(grams[a]):
+                r = _ratio(k, x) if r is None else r
+                if r >= 0.85:
+                    alike[n].setdefault(a, []).append((b, r))
+
+
+def _ratio(a: str, b: str) -> float:
+    """`lcs_ratio` of keys that may be long and differ in little."""
+    c, d = apart(a, b)
+    return 2 * (len(a) - len(c) + round(lcs_ratio(c, d) * (len(c) + len(d)) / 2)) / (len(a) + len(b))
+
+
+def _in_common(pairs: list[tuple[int, str, str]]) -> list[bool]:
+    """May the keys of each pair have a common sequence of 0.85 of their letters? Not if they don't have so many letters in common."""
+    if len(pairs) < 50:
+        seen: dict[str, tuple[int, int]] = {}
+        letters = [(_letters(k, seen), _letters(x, seen), len(k) + len(x)) for _, k, x in pairs]
+        return [2 * ((a & b).bit_count() + min(m, n)) / both >= 0.85 for (a, m), (b, n), both in letters]
+    at: dict[str, int] = {}
+    one = np.array([at.setdefault(k, len(at)) for _, k, _ in pairs])
+    two = np.array([at.setdefault(x, len(at)) for _, _, x in pairs])
+    size = np.array(list(map(len, at)))
+    codes = np.frombuffer("".join(at).encode("utf-32-le", "surrogatepass"), np.uint32) & 31  # letters that share a code only add to what is in common
+    counts = np.bincount(np.repeat(np.arange(len(size)) * 32, size) + codes, minlength=32 * len(size)).reshape(-1, 32).astype(np.int32)
+    return (2 * np.minimum(counts[one], counts[two]).sum(1) / (size[one] + size[two]) >= 0.85).tolist()
+
+
+def _repeats(page: Page, groups: dict[str, list[int]], alike: dict[str, list[tuple[str, float]]]) -> list[tuple[int, list[float], str]]:
+    """alike: the keys that are like a key, with the ratios."""
+    n, out, of_line = len(page.lines), [], {}
+    found = [(k, own) for k, own in groups.items() if len(own) > 1 or k in alike]
+    if not found:
+        return []
+    lens = sorted([len(line.rstrip()) for line, k in zip(page.lines, page.kinds) if k != "blank"])
     if len(lens) < 3:
         return []
-    heads, tails = _shared(groups, slice(4)), _shared(groups, slice(-4, None))  # lines that look alike at either end and are of like length are compared
-    lens.sort()
     width = max(lens[int(0.9 * (len(lens) - 1))], 20)
-    out, place, seen, grams, ratios = [], None, {}, {}, {}
-    for k, own in groups.items():
-        alike = [by for by in (heads.get(k[:4]), tails.get(k[-4:])) if by]
-        if len(own) < 2 and not alike:  # nothing is like it
-            continue
-        most = max(2, len(k) // 8)
-        near = {x for by in alike for n2, xs in by.items() if abs(n2 - len(k)) <= most for x in xs}
-        near.discard(k)
-        like, ratio = [k], 1.0 if len(own) > 1 else 0.0
-        if near:
-            sk, rk = _letters(k, seen)
-            for x in near:
-                sx, rx = _letters(x, seen)
-                if 2 * ((sk & sx).bit_count() + min(rk, rx)) / (len(k) + len(x)) < 0.85:  # more letters than those in common are in no common sequence
-                    continue
-                gk = _trigrams(k, grams)
-                if 2 * len(gk & (_trigrams(x, grams))) + 4 >= len(gk):
-                    pair = (k, x) if k < x else (x, k)
-                    if (r := ratios.get(pair)) is None:
-                        r = ratios[pair] = lcs_ratio(*pair)
-                    if r >= 0.85:
-                        like.append(x)
-                        ratio = max(ratio, r)
+    place, feeds, numbers = page.places(), sum(page.breaks), {i for i, k in enumerate(page.kinds) if k == "pagenum"}
+    for k, own in found:
+        like = [k, *(x for x, _ in alike.get(k, ()))]
+        ratio = 1.0 if len(own) > 1 else max(r for _, r in alike[k])
         copies = sorted(i for x in like for i in groups[x])
-        if len(copies) < 2:
-            continue
-        if place is None:
-            place, feeds = page.places(), sum(page.breaks)
+        for i in copies:
+            if i not in of_line:
+                before, after = _around(page, i)
+                of_line[i] = before, after, _interrupts(before, after), _FIGURE.findall(page.lines[i]), not numbers.isdisjoint(range(i - 2, i + 3)), _edge(place[i]) < 2
         gaps = [b - a for a, b in zip(copies, copies[1:])]
         mean = sum(gaps) / len(gaps)
         spread = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 / mean if len(gaps) > 1 else -1.0
-        edge = sum(_edge(place[i]) < 2 for i in copies) / len(copies)
-        numbered = sum(any(page.kinds[j] == "pagenum" for j in range(max(0, i - 2), min(n, i + 3))) for i in copies) / len(copies)
-        split = sum(_interrupts(*_around(page, i)) for i in copies) / len(copies)
-        figures = [_FIGURE.findall(page.lines[i]) for i in copies]
-        same = sum(a == b for a, b in zip(figures, figures[1:])) / len(gaps)  # tables repeat words with other figures
-        counts = sum(len(a) == len(b) > 0 and sum(x != y for x, y in zip(a, b)) == 1 and any(int(y) - int(x) in (1, 2) for x, y in zip(a, b) if x.isdecimal() and y.isdecimal()) for a, b in zip(figures, figures[1:])) / len(gaps)
-        of_group = [same, counts, float(min(len(copies) - 1, 8)), float(min(gaps)), mean / n, spread, edge, split, numbered, len(copies) / (feeds + 1) if feeds else -1.0]
+        _, _, splits, figures, numbered, edge = zip(*[of_line[i] for i in copies])
+        same, counts = 1.0, 0.0
+        if any(figures):
+            same = sum(a == b for a, b in zip(figures, figures[1:])) / len(gaps)  # tables repeat words with other figures
+            counts = sum(len(a) == len(b) > 0 and sum(x != y for x, y in zip(a, b)) == 1 and any(int(y) - int(x) in (1, 2) for x, y in zip(a, b) if x.isdecimal() and y.isdecimal()) for a, b in zip(figures, figures[1:])) / len(gaps)
+        of_group = [same, counts, float(min(len(copies) - 1, 8)), float(min(gaps)), mean / n, spread, sum(edge) / len(copies), sum(splits) / len(copies), sum(numbered) / len(copies), len(copies) / (feeds + 1) if feeds else -1.0]
         for i in own:
-            out.append((i, _features(page, i, width, ratio, place[i], *_around(page, i)) + of_group, min(like)))
+            out.append((i, _features(page, i, width, ratio, place[i], *of_line[i][:2]) + of_group, min(like)))
     return out
 
 
 def _shared(keys: dict[str, list[int]], end: slice) -> dict[str, dict[int, list[str]]]:
     """The keys with one end in common, by their lengths; ends of a single key are left out."""
     ends = [k[end] for k in keys]
-    if len(found := Counter(ends)) == len(ends):
+    if len(last := dict(zip(ends, keys))) == len(ends):
         return {}
-    out: dict[str, dict[int, list[str]]] = {}
+    out: dict[str, dict[int, list[str]]] = {e: {} for e, k in zip(ends, keys) if last[e] is not k}
     for k, e in zip(keys, ends):
-        if found[e] > 1:
-            out.setdefault(e, {}).setdefault(len(k), []).append(k)
+        if e in out:
+            out[e].setdefault(len(k), []).append(k)
     return out
 
 
@@ -347,40 +408,57 @@ def _features(page: Page, i: int, width: int, ratio: float, place: tuple[int, in
     n = len(page.lines)
     s = page.strips[i]
     broken = bool(before) and not _ends(before)
-    letters = list(filter(str.isalpha, s))
+    letters, capitals = _cases(s)
     edge = _edge(place)
     return [
         ratio, min(len(s) / width, 1.2), float(page.kinds[i] == "pagenum"), float(_interrupts(before, after)), float(broken), float(edge < 2), float(edge),
-        sum(map(str.isupper, letters)) / max(1, len(letters)), float(_ends(s)), float(s[-1:] in ".,;!?"), float((i == 0 or not page.strips[i - 1]) + (i + 1 == n or not page.strips[i + 1])),
-        float(min(place[0], 4)), float(min(place[1], 4)), float(s[:1].islower()), float(min(len(s.split()), 15)), float(any(c.isdigit() for c in s)),
+        capitals / max(1, letters), float(_ends(s)), float(s[-1:] in ".,;!?"), float((i == 0 or not page.strips[i - 1]) + (i + 1 == n or not page.strips[i + 1])),
+        float(min(place[0], 4)), float(min(place[1], 4)), float(s[:1].islower()), float(min(len(s.split()), 15)), float(any(map(str.isdigit, s))),
     ]
 
 
+def _cases(s: str) -> tuple[int, int]:
+    """How many letters and how many capitals a line has."""
+    if s.isascii():
+        b = s.encode()
+        return len(b.translate(None, _NO_LETTER)), len(b.translate(None, _NO_CAPITAL))
+    letters = list(filter(str.isalpha, s))
+    return len(letters), sum(map(str.isupper, letters))
+
+
 # ---- made-up pages ----
 
 
 def examples(text: str, rnd: random.Random, heads: tuple[list, list], numbers: tuple[list, list]) -> None:
     """Adds the features and the classes of the lines of a page made up from the text that may be headers and page numbers."""
-    made = _made_up(text, rnd)
-    if made is None:
-        return
-    page = split_lines(made[0])
-    for i, x, _ in number_pairs(page):
-        numbers[0].append(x)
-        numbers[1].append(made[1][i] in ("pagenum", "both"))
-    for i, k in enumerate(made[1]):
-        if k in ("pagenum", "both"):
-            page.kinds[i] = "pagenum"
-    for i, x, _ in repeats(page):
-        heads[0].append(x)
-        heads[1].append(made[1][i] in ("header", "both"))
+    examples_all([(text, rnd)], heads, numbers)
+
+
+def examples_all(texts: Iterable[tuple[str, random.Random]], heads: tuple[list, list], numbers: tuple[list, list]) -> list[tuple[int, int]]:
+    """`examples` of many texts; how many rows of headers and of page numbers each one adds."""
+    made = [_made_up(text, rnd) for text, rnd in texts]
+    pages, own = [split_lines(m[0]) for m in made if m], [m[1] for m in made if m]
+    found = []
+    for page, kinds in zip(pages, own):
+        found.append(number_pairs(page))
+        for i, k in enumerate(kinds):
+            if k in ("pagenum", "both"):
+                page.kinds[i] = "pagenum"
+    ready, added = iter(zip(own, repeats_all(pages), found)), []
+    for m in made:
+        kinds, repeated, counted = next(ready) if m else ((), (), ())
+        for rows, got, names in ((heads, repeated, ("header", "both")), (numbers, counted, ("pagenum", "both"))):
+            rows[0].extend([x for _, x, _ in got])
+            rows[1].extend([kinds[i] in names for i, _, _ in got])
+        added.append((len(repeated), len(counted)))
+    return added
 
 
 def _wrapped(text: str, width: int, hyphens: str, rnd: random.Random) -> list[str]:
     """The lines of a text that is wrapped at a width; with a mark, words are broken."""
     lines: list[str] = []
     for paragraph in text.split("\n"):
-        s = " ".join(paragraph.split())
+        s = paragraph.strip(" ") if "  " not in paragraph and paragraph.isprintable() else " ".join(paragraph.split())
         if s.find(" ", 0, width) < 0 and len(s) >= width:  # a first word without room leaves an empty line before it
             s = f" {s}"
         at = 0

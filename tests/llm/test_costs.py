@@ -7,7 +7,7 @@ import sys
 import numpy as np
 import pandas as pd
 
-from foliant.llm import common, glyphs, langid, ocr, pages
+from foliant.llm import boost, common, glyphs, langid, ocr, pages
 from foliant.llm.names import lcs_ratio
 
 ODD = [
@@ -156,3 +156,67 @@ def test_calls_a_line_of_pages():
     n, page = len(text.split()), pages.split_lines("\n".join(pages._wrapped(text, 70, "-", random.Random(1))))
     assert calls(lambda: pages._wrapped(text, 70, "-", random.Random(1))) < n  # 3 when each word was measured by itself
     assert calls(lambda: pages.number_pairs(page)) < 4 * len(page.lines)
+
+
+def noisy_page(rnd: random.Random) -> pages.Page:
+    """A page of lines of which some repeat others, misread, with numbers or in capitals."""
+    base = ["".join(rnd.choice("abcdefgh   ") for _ in range(rnd.randint(3, 60))) for _ in range(6)]
+
+    def like(line):
+        return "".join(rnd.choice("aeio12é") if rnd.random() < 0.06 else c for c in line)
+
+    page = pages.split_lines("\n".join(rnd.choice(["", like(rnd.choice(base)), rnd.choice(base).title(), f"{rnd.choice(base)}    {rnd.randint(1, 9)}", f"- {rnd.randint(1, 5)} -"]) for _ in range(rnd.randint(1, 60))))
+    for i, _, _ in pages.number_pairs(page)[::2]:
+        page.kinds[i] = "pagenum"
+    return page
+
+
+def test_repeats_as_pair_by_pair(monkeypatch):
+    """What lines repeat is the same whether pairs are compared by their letters at once, a few of them, or one by one without that bound."""
+    rnd = random.Random(14)
+    many = [noisy_page(rnd) for _ in range(200)]
+
+    def plain(page):
+        groups = pages._groups(page)
+        like = {}
+        for k in groups:
+            for x in groups:
+                if k != x and (k[:4] == x[:4] or k[-4:] == x[-4:]) and abs(len(k) - len(x)) <= max(2, len(k) // 8) and 2 * len(pages._trigrams(k, {}) & pages._trigrams(x, {})) + 4 >= len(pages._trigrams(k, {})) and lcs_ratio(k, x) >= 0.85:
+                    like.setdefault(k, []).append((x, lcs_ratio(k, x)))
+        return pages._repeats(page, groups, like)
+
+    want = [plain(p) for p in many]
+    assert sum(map(len, want)) > 500
+    assert pages.repeats_all(many) == want
+    assert [pages.repeats(p) for p in many] == want
+    monkeypatch.setattr(pages, "PAIRS_AT_ONCE", 70)
+    assert pages.repeats_all(many) == want
+
+
+def test_calls_a_made_up_page():
+    rnd, texts = random.Random(15), [prose(700, k) for k in range(20)]
+    texts = [t + "".join(f"\nAnnual rep{rnd.choice('oc0')}rt of the house" for _ in range(6)) for t in texts]
+    table = pd.DataFrame({"text": texts, "pick": range(20), "fit": 1})
+    run = {}
+    held = type("Texts", (), {"select": lambda self, *c: self, "mapInPandas": lambda self, f, schema: run.setdefault("f", f)})()
+    ocr._learn(held, 1, 1)
+    made = [pages._made_up(t, random.Random(k)) for k, t in enumerate(texts)]
+    lines = sum(len(m[1]) for m in made)
+    n = calls(lambda: list(run["f"](iter([table])))) - calls(lambda: [pages._made_up(t, random.Random(k)) for k, t in enumerate(texts)])
+    assert n < 50 * lines, n / lines  # 97 when pairs of lines were compared one by one
+
+
+def test_trees_grow_by_columns():
+    """The sums over bins are those of each node, row by row."""
+    rnd = np.random.default_rng(2)
+    codes, y, f = rnd.integers(0, 5, (300, 3)).astype(np.uint8), rnd.integers(0, 2, 300).astype(float), rnd.normal(size=300)
+    tree = [(1, 2, 1, 2, 0.0), (-1, 0, 0, 0, 0.5), (0, 1, 3, 4, 0.0), (-1, 0, 0, 0, 0.1), (-1, 0, 0, 0, 0.2)]
+    at = np.array([1 if r[1] <= 2 else 3 if r[0] <= 1 else 4 for r in codes])
+    assert (boost._route(tree, np.ascontiguousarray(codes.T)) == at).all() and (boost._route([tree[1]], codes.T) == 0).all()
+    n, g, h = boost._sums(codes.T, y, f, tree, [1, 4], 6)
+    p = 1 / (1 + np.exp(-f))
+    for k, node in enumerate((1, 4)):
+        for j in range(3):
+            for b in range(6):
+                own = (at == node) & (codes[:, j] == b)
+                assert n[k, j, b] == own.sum() and np.isclose(g[k, j, b], (y - p)[own].sum()) and np.isclose(h[k, j, b], (p * (1 - p))[own].sum())
