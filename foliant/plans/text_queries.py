@@ -101,7 +101,7 @@ def tags_suggested(spark: SparkSession, data: str) -> DataFrame:
     names = a.tag.select("name").distinct()
     tags = V.encode(names, "name", V.hashed_encoder(64), "name").select(F.col("name").alias("t"), F.col("embedding").alias("v"))
     docs = V.encode(a.live.filter("title is not null"), "title", V.hashed_encoder(64)).select(F.col("id").alias("q"), F.col("embedding").alias("v"))
-    return P.suggested(a.live.select("id"), V.similar(docs, tags, 0.4, 5), names)
+    return P.suggestions(a.live.select("id"), V.similar(docs, tags, 0.4, 5), names)
 
 
 add("tags_suggested", tags_suggested)

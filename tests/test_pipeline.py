@@ -57,3 +57,13 @@ def test_many_names(spark):
     docs = spark.createDataFrame([(1,), (2,)], "id long")
     assert {r.id: len(r.tags) for r in P.suggestions(docs, m, names).collect()} == {1: 2, 2: 20_500}
     assert {r.id: r.tags for r in P.suggested(docs, m, names.union(names)).collect()} == {1: 2, 2: 20_500}
+
+
+def test_suggested_names(spark, tmp_path):
+    from foliant.plans import registry
+
+    docs = [(1, "tea tea tax", None), (2, None, None), (3, "orchestra", None), (4, "tea", datetime(2024, 1, 1))]
+    spark.createDataFrame(docs, "id long, title string, deleted_at timestamp").write.parquet(str(tmp_path / "archive_document.parquet"))
+    spark.createDataFrame([(1, "tea"), (2, "tax"), (3, "tea")], "id long, name string").write.parquet(str(tmp_path / "tag.parquet"))
+    got = registry.queries()["tags_suggested"](spark, str(tmp_path)).collect()
+    assert {r.id: r.tags for r in got} == {1: ["tea", "tax"], 2: ["tax", "tea"], 3: ["tax", "tea"]} and len(got) == 3
